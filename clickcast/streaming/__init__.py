@@ -1,0 +1,7 @@
+"""Streaming.
+
+The click-attribution workflow is batch only: it reads whole click logs and
+has no stream source, watermark, time window or state store.  Nothing is
+built here; the batch operators in ``clickcast.operators`` cover the
+workflow.
+"""
