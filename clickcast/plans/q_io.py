@@ -1 +1,74 @@
-"""Queries (filled in below)."""
+"""Queries: sources and sinks (CSV scan, extract and score-table round
+trips, model persistence).  Files go to a fresh folder under the shared
+``spark.checkpoint.dir``."""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
+
+
+from clickcast.operators import models as mo
+from clickcast.operators import scores as sc
+from clickcast.plans import training
+from clickcast.plans.catalog import register
+from clickcast.plans.q_features import RF_SMALL, _train_dev
+from clickcast.plans.q_sequence import EXTRACT_COLS, TRAINING_SQL
+from clickcast.plans.sqlbits import scores
+from clickcast.session import scratch_path
+from clickcast.sources.clicks import (
+    CLICK_SCHEMA,
+    EXTRACT_SCHEMA,
+    TIMESTAMP_FORMAT,
+    clicks_from_events,
+    read_clicks_csv,
+    read_csv,
+    write_csv,
+)
+
+RAW_COLS = [f.name for f in CLICK_SCHEMA.fields]
+
+
+@register("scan_clicks_csv", """
+SELECT CAST(ip AS INTEGER) AS ip, app, device, os, channel,
+       date_trunc('second', click_time) AS click_time,
+       date_trunc('second', attributed_time) AS attributed_time, is_attributed
+FROM clicks""")
+def scan_clicks_csv(spark, sf):
+    """The log written as a raw click CSV (second precision, empty = null),
+    then read back with the typed, malformed-dropping scan."""
+    path = scratch_path(spark, "clicks-csv")
+    raw = clicks_from_events(spark, sf).select(
+        *[F.date_format(c, TIMESTAMP_FORMAT).alias(c) if c in ("click_time", "attributed_time")
+          else F.col(c) for c in RAW_COLS])
+    raw.write.option("header", True).csv(path)
+    return read_clicks_csv(spark, path)
+
+
+@register("extract_csv_roundtrip", TRAINING_SQL + f"\nSELECT {EXTRACT_COLS} FROM features")
+def extract_csv_roundtrip(spark, sf):
+    path = scratch_path(spark, "extract-csv")
+    extract = training.modelling_extract(
+        training.training_features(clicks_from_events(spark, sf)))
+    write_csv(extract.select(*[f.name for f in EXTRACT_SCHEMA.fields]), path)
+    return read_csv(spark, path, EXTRACT_SCHEMA)
+
+
+@register("score_table_roundtrip", scores() + "\nSELECT * FROM scores")
+def score_table_roundtrip(spark, sf):
+    path = scratch_path(spark, "scores-parquet")
+    sc.score_tables(clicks_from_events(spark, sf)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("model_roundtrip")
+def model_roundtrip(spark, sf):
+    """Fit, save, load, score: predictions of the loaded model on dev."""
+    train, dev = _train_dev(spark, sf)
+    model, _ = mo.grid_search(train, mo.forest(), RF_SMALL)
+    path = scratch_path(spark, "forest-model")
+    model.write().overwrite().save(path)
+    return mo.predict(PipelineModel.load(path), dev)
+
+
+
