@@ -11,6 +11,7 @@ exact; only the work split depends on the approximation.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +28,10 @@ def running_totals(df: DataFrame, score: str, sums: dict, by=(), descending: boo
     ``descending``; the current score included)."""
     key = F.col(score).cast("double")
     ordered = -key if descending else key
+    # One row per distinct score, kept: the cut points and the totals both read it.
     distinct = (df.withColumn("_o", ordered).where(F.col("_o").isNotNull())
-                  .groupBy(*by, "_o").agg(*[e.alias(n) for n, e in sums.items()]))
+                  .groupBy(*by, "_o").agg(*[e.alias(n) for n, e in sums.items()])
+                  .persist(StorageLevel.MEMORY_AND_DISK))
     cuts = distinct.agg(F.percentile_approx(
         "_o", [i / n_buckets for i in range(1, n_buckets)], 10_000).alias("q")).first()["q"]
     splits = [float("-inf")] + sorted(set(cuts or [])) + [float("inf")]

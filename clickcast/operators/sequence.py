@@ -99,14 +99,16 @@ def sequence_features(df: DataFrame, user_cols=USER_COLS, time_col: str = "click
             .withColumn("_first2", F.first(time_col).over(wa)))
 
     # 2. One row per (user, chunk): what the chunk hands on to later chunks.
+    # The chunk's last row is taken whole (every column): the summary then
+    # reads exactly the columns the row branch reads, so both branches share
+    # one shuffle of the log instead of shuffling it twice.
     summ = df.groupBy(*part).agg(
         F.count(F.lit(1)).alias("_cnt"),
         F.coalesce(F.sum("_lab"), F.lit(0)).cast("long").alias("_conv"),
         F.min(time_col).alias("_ftime"),
-        F.max_by("_lab", "_rn").alias("_llab"),
-        F.max_by("_rn2", "_rn").alias("_lrn2"),
-        F.max_by("_first2", "_rn").alias("_lfirst2"),
-    )
+        F.max_by(F.struct(*[F.col(c) for c in df.columns]), "_rn").alias("_last"),
+    ).select(*part, "_cnt", "_conv", "_ftime", F.col("_last._lab").alias("_llab"),
+             F.col("_last._rn2").alias("_lrn2"), F.col("_last._first2").alias("_lfirst2"))
     ws = Window.partitionBy(*keys).orderBy("_chunk")
     wsb = ws.rowsBetween(Window.unboundedPreceding, -1)
     closed = F.col("_llab") == 1  # chunk ends with a conversion
