@@ -49,7 +49,8 @@ def quantiles_exact(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75), by=(),
                     names=None) -> DataFrame:
     """Discrete quantiles: the smallest value whose cumulative share reaches p."""
     names = names or [f"q{int(round(p * 100))}" for p in probs]
-    aggs = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{col}`)").alias(n)
+    dtype = dict(df.dtypes)[col]  # the result is an element of the column
+    aggs = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{col}`)").cast(dtype).alias(n)
             for p, n in zip(probs, names)]
     return df.groupBy(*by).agg(*aggs)
 

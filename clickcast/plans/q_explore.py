@@ -262,7 +262,7 @@ def median_click_diff(spark, sf):
 
 @register("histogram_bounded", DIFFS_SQL + """
 SELECT CAST(floor(click_time_diff / 5) AS BIGINT) AS bin, count(*) AS count,
-       CAST(floor(click_time_diff / 5) AS BIGINT) * 5.0 AS bin_lo
+       CAST(CAST(floor(click_time_diff / 5) AS BIGINT) * 5.0 AS DOUBLE) AS bin_lo
 FROM diffs WHERE unit = 'minutes' AND click_time_diff > 0 AND click_time_diff < 60
 GROUP BY 1""")
 def histogram_bounded(spark, sf):
@@ -366,7 +366,7 @@ def approx_quartiles(spark, sf):
 
 @register("histogram_channels_per_app", f"""
 SELECT CAST(floor(count / 1) AS BIGINT) AS bin, count(*) AS count,
-       CAST(floor(count / 1) AS BIGINT) * 1.0 AS bin_lo
+       CAST(CAST(floor(count / 1) AS BIGINT) * 1.0 AS DOUBLE) AS bin_lo
 FROM ({CHANNELS_PER_APP}) s GROUP BY 1""")
 def histogram_channels_per_app(spark, sf):
     return ex.histogram(channels_per_app(spark, sf), "count", 1)
