@@ -1,6 +1,6 @@
 """User cohorts and the path to conversion.
 
-Users are (ip, device, os).  The reference answers these questions with
+Users are (ip, device, os).  The original analysis answers these with
 per-user windows and self-joins; here each is a grouped aggregate on the
 map side first (so a user with a third of all clicks is never one task's
 raw input) followed by joins on keys that include the click time.
@@ -27,7 +27,7 @@ def _user_not_null(df: DataFrame, user=USER) -> DataFrame:
 
 def channel_pairs_per_converting_user(clicks: DataFrame, user=USER) -> DataFrame:
     """Per user with both classes: |channels when converting| × |channels
-    when not|, i.e. the number of (channel, channel) pairs the reference's
+    when not|, i.e. the number of (channel, channel) pairs the original
     join of the two distinct sets yields, computed without forming pairs."""
     d = (_user_not_null(clicks, user).where(F.col(LABEL).isin(0, 1))
          .select(*user, "channel", LABEL).distinct())
@@ -58,7 +58,7 @@ def channels_per_never_converted_user(clicks: DataFrame, user=USER) -> DataFrame
 
 
 def channels_per_nonconverting_click_user(clicks: DataFrame, user=USER) -> DataFrame:
-    """The reference's "never attributed" count as it computes it: its
+    """The original "never attributed" count as it computes it: its
     running sum is ordered by the label, so every non-converting click
     passes the filter; the result is distinct channels over non-converting
     clicks, converters included."""
@@ -101,12 +101,15 @@ _UNITS = {"days": None, "hours": 3600, "minutes": 60}
 def click_to_conversion(path: DataFrame, unit: str = "minutes", user=USER,
                         drop_first: bool = False) -> DataFrame:
     """Time from the previous row of the user's (first click, first
-    conversion) rows, in days (day-of-year difference), hours or minutes.
+    conversion) rows, in days (day-of-year difference), calendar days,
+    hours or minutes.
     The first row of each user gets 0 unless ``drop_first``."""
     w = Window.partitionBy(*user).orderBy("click_time", "click_id")  # ≤ a few rows per user
     prev = F.lag("click_time").over(w)
-    if unit == "days":
+    if unit == "days":  # day-of-year difference, as the original analysis takes it
         diff = F.abs(F.coalesce(F.dayofyear("click_time") - F.dayofyear(prev), F.lit(0)))
+    elif unit == "calendar_days":  # correct across year ends
+        diff = F.abs(F.coalesce(F.datediff(F.col("click_time"), prev), F.lit(0)))
     else:
         diff = F.abs(F.coalesce(epoch_seconds("click_time") - epoch_seconds(prev),
                                 F.lit(0))) / F.lit(_UNITS[unit])

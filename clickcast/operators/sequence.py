@@ -152,7 +152,7 @@ def sequence_features(df: DataFrame, user_cols=USER_COLS, time_col: str = "click
 
 def scoring_sequence_features(df: DataFrame, user_cols=USER_COLS, time_col: str = "click_time",
                               order_cols=("click_id",)) -> DataFrame:
-    """Sequence columns of the unlabelled (scoring) log, as the reference
+    """Sequence columns of the unlabelled (scoring) log, as the original
     computes them: the attempt id there is a running click count, so every
     distinct click time forms its own attempt.
 

@@ -207,6 +207,8 @@ def _diff_sql(unit: str) -> str:
     prev = "lag(click_time) OVER (PARTITION BY ip, device, os ORDER BY click_time, click_id)"
     if unit == "days":
         expr = f"abs(coalesce(dayofyear(click_time) - dayofyear({prev}), 0))"
+    elif unit == "calendar_days":
+        expr = f"abs(coalesce(datediff('day', {prev}, click_time), 0))"
     else:
         div = 3600 if unit == "hours" else 60
         expr = f"abs(coalesce({epoch_s('click_time')} - {epoch_s(prev)}, 0)) / {div}"
@@ -234,6 +236,11 @@ for _unit in ("days", "hours", "minutes"):
              DIFFS_SQL + f"\nSELECT {DIFF_OUT} FROM diffs WHERE unit = '{_unit}'")(_make(_unit))
 
 
+register("click_to_conversion_calendar_days", PATH_SQL + ", cal AS (SELECT click_id, ip, device, os, "
+         "click_time, is_attributed, CAST(" + _diff_sql("calendar_days") + " AS DOUBLE) AS "
+         "click_time_diff FROM path)\nSELECT " + DIFF_OUT + " FROM cal")(_make("calendar_days"))
+
+
 def _all_diffs(spark, sf):
     path = _path(spark, sf)
     parts = [_diffs(path, u).withColumn("unit", F.lit(u)) for u in ("days", "hours", "minutes")]
@@ -351,7 +358,7 @@ def quartiles_clicks_per_ip(spark, sf):
 
 @register("approx_quartiles")
 def approx_quartiles(spark, sf):
-    """The reference's approxQuantile(…, 0.25) on three count tables."""
+    """The original analysis's approxQuantile(…, 0.25) on three count tables."""
     parts = [
         ex.approx_quantiles(clicks_per_ip(spark, sf), "count", (0.5,), 0.25)
           .select(F.lit("clicks_per_ip").alias("table"), F.lit(None).cast("long").alias("q25"),

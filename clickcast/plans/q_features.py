@@ -455,6 +455,25 @@ def gbt_predictions(spark, sf):
     return mo.predict(mo.fit(train, est), dev)
 
 
+@register("rf_fold_metrics")
+def rf_fold_metrics(spark, sf):
+    """Cross-validated roc_auc, accuracy, f1, precision and recall per fold
+    of the best forest's parameters, with their mean and population std."""
+    train, _ = _train_dev(spark, sf)
+    _, rows = mo.grid_search(train, mo.forest(), RF_SMALL)
+    best = max(rows, key=lambda r: r["roc_auc"])
+    params = {k: (int(v) if k in ("numTrees", "maxDepth") else v)
+              for k, v in best.items() if k != "roc_auc"}
+    oof = mo.cross_validate(train, mo.forest(**params)).checkpoint(eager=True)
+    per_fold = ev.fold_metrics(oof)
+    summary = ev.fold_metrics_summary(per_fold)
+    return (per_fold.select(F.col("fold").cast("string").alias("fold"), *ev.METRICS)
+            .unionByName(summary.groupBy().pivot("metric", list(ev.METRICS)).agg(F.first("mean"))
+                         .select(F.lit("mean").alias("fold"), *ev.METRICS))
+            .unionByName(summary.groupBy().pivot("metric", list(ev.METRICS)).agg(F.first("std"))
+                         .select(F.lit("std").alias("fold"), *ev.METRICS)))
+
+
 @register("feature_importances")
 def feature_importances(spark, sf):
     model, _, _ = _best_forest(spark, sf)

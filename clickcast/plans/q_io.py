@@ -23,7 +23,9 @@ from clickcast.sources.clicks import (
     clicks_from_events,
     read_clicks_csv,
     read_csv,
+    read_score_files,
     write_csv,
+    write_score_files,
 )
 
 RAW_COLS = [f.name for f in CLICK_SCHEMA.fields]
@@ -54,11 +56,20 @@ def extract_csv_roundtrip(spark, sf):
     return read_csv(spark, path, EXTRACT_SCHEMA)
 
 
-@register("score_table_roundtrip", scores() + "\nSELECT * FROM scores")
+@register("score_table_roundtrip", scores() + """
+SELECT dim, key, custom_score FROM scores""")
 def score_table_roundtrip(spark, sf):
-    path = scratch_path(spark, "scores-parquet")
-    sc.score_tables(clicks_from_events(spark, sf)).write.parquet(path)
-    return spark.read.parquet(path)
+    """Score tables written as one CSV per category (text keys), read back
+    with their typed schemas and stacked (dim, key, custom_score)."""
+    root = scratch_path(spark, "score-files")
+    paths = write_score_files(sc.score_tables(clicks_from_events(spark, sf)), root)
+    parts = [df.select(F.lit(dim).alias("dim"), F.col(dim).try_cast("long").alias("key"),
+                       "custom_score")
+             for dim, df in read_score_files(spark, paths).items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @register("model_roundtrip")

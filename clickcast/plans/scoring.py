@@ -46,7 +46,7 @@ def scoring_features(clicks: DataFrame, lookups: dict[str, DataFrame], how: str
 
     Lookup keys may be text (score files): they are converted with
     ``try_cast`` so one bad key cannot fail the job.  ``how="inner"`` drops
-    clicks with unseen keys as the reference does; ``how="left"`` keeps them
+    clicks with unseen keys as the original workflow does; ``how="left"`` keeps them
     and, with ``fill_missing``, scores them 0.
     """
     base = clicks.select("click_id", "ip", "app", "device", "os", "channel", "click_time",

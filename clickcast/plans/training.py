@@ -58,13 +58,33 @@ def modelling_extract(features: DataFrame, keep_id: bool = False) -> DataFrame:
     return features.drop(*drop)
 
 
+def write_modelling_samples(clicks: DataFrame, out_dir: str, fractions=None,
+                            seeds=(16121993, 1, 2, 3)) -> DataFrame:
+    """The sampling job: features → extract → four stratified samples,
+    written as CSV (nulls as ``null``) in one distributed write, one folder
+    per sample.  Returns the class balance of the full extract."""
+    from clickcast.operators.explore import class_balance
+    from clickcast.operators.sampling import stratified_samples
+    from clickcast.sources.clicks import EXTRACT_SCHEMA
+
+    fractions = fractions or {1: 1.0, 0: 0.0080}
+    extract = modelling_extract(training_features(clicks))
+    samples = stratified_samples(extract, "is_attributed", fractions, seeds)
+    (samples.select("sample_id", *[f.name for f in EXTRACT_SCHEMA.fields])
+            .write.mode("overwrite").partitionBy("sample_id")
+            .option("header", True).option("nullValue", "null").csv(out_dir))
+    return class_balance(extract)
+
+
 def user_ever_attributed(clicks: DataFrame, user_cols=("ip", "device", "os"),
                          label_col: str = "is_attributed") -> DataFrame:
     """Conversions per user joined back to each click.
 
-    The per-user sum is a partial aggregate (skew-safe); the join back is a
-    shuffle join that AQE splits when one user is heavy.
+    The per-user sum is a partial aggregate (skew-safe).  The join back
+    broadcasts it when its measured size allows; otherwise it is a shuffle
+    join that AQE splits when one user is heavy.
     """
     per_user = (clicks.groupBy(*user_cols)
                       .agg(F.sum(label_col).cast("long").alias("ever_attributed")))
-    return per_user.join(clicks, on=list(user_cols), how="inner")
+    per_user, n = measured(per_user)
+    return clicks.join(maybe_broadcast(per_user, n), on=list(user_cols), how="inner")

@@ -10,8 +10,11 @@ from clickcast.sources.clicks import (
     pin_utc,
     read_clicks_csv,
     read_csv,
+    read_score_files,
+    score_file_schema,
     table,
     write_csv,
+    write_score_files,
 )
 
 __all__ = [
@@ -24,6 +27,9 @@ __all__ = [
     "pin_utc",
     "read_clicks_csv",
     "read_csv",
+    "read_score_files",
+    "score_file_schema",
     "table",
     "write_csv",
+    "write_score_files",
 ]

@@ -63,6 +63,20 @@ EXTRACT_SCHEMA = StructType([
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
+# Score files, one per category, with a text key.  Device and os files carry
+# the conversion share and the number of conversions, app and channel files
+# the score and the number of clicks.
+RATE_SCORE_DIMS = ("device", "os")
+
+
+def score_file_schema(dim: str) -> StructType:
+    if dim in RATE_SCORE_DIMS:
+        return StructType([StructField(dim, StringType()), StructField("prcnt_1", DoubleType()),
+                           StructField("1", IntegerType()),
+                           StructField("custom_score", DoubleType())])
+    return StructType([StructField(dim, StringType()), StructField("custom_score", DoubleType()),
+                       StructField("count", IntegerType())])
+
 
 def pin_utc(spark: SparkSession) -> None:
     """Calendar features and epoch seconds are defined in UTC."""
@@ -140,6 +154,27 @@ def write_csv(df: DataFrame, path: str, null_value: str = "null") -> str:
     return path
 
 
+def write_score_files(scores_long: DataFrame, root: str, dims=CATEGORY_COLS) -> dict[str, str]:
+    """One CSV per category from a long score table (see ``score_tables``)."""
+    paths = {}
+    for dim in dims:
+        part = scores_long.where(F.col("dim") == dim)
+        if dim in RATE_SCORE_DIMS:
+            cols = [F.col("key").cast("string").alias(dim), "prcnt_1",
+                    F.coalesce(F.col("1"), F.lit(0)).cast("int").alias("1"), "custom_score"]
+        else:
+            total = F.coalesce(F.col("0"), F.lit(0)) + F.coalesce(F.col("1"), F.lit(0))
+            cols = [F.col("key").cast("string").alias(dim), "custom_score",
+                    total.cast("int").alias("count")]
+        paths[dim] = write_csv(part.select(*cols), f"{root.rstrip('/')}/{dim}_score")
+    return paths
+
+
+def read_score_files(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    """Typed reads of the score CSVs (text keys, malformed rows dropped)."""
+    return {dim: read_csv(spark, path, score_file_schema(dim)) for dim, path in paths.items()}
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType,
              null_value: str = "null") -> DataFrame:
     return (spark.read.schema(schema)

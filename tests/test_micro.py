@@ -99,7 +99,7 @@ def test_day_of_year_difference_across_new_year(spark):
     rows = [(5, 1, 1, 10, "2017-12-31 23:00:00", 0), (5, 1, 1, 11, "2018-01-01 01:00:00", 1)]
     path = co.first_click_and_first_conversion(micro(spark, rows))
     days = co.click_to_conversion(path, "days").where("is_attributed = 1").first()
-    assert days.click_time_diff == 364  # as the reference computes it (day of year)
+    assert days.click_time_diff == 364  # as the original analysis computes it (day of year)
 
 
 def test_csv_scan_drops_malformed_rows(spark):

@@ -124,3 +124,18 @@ def test_models(spark):
 def test_assembled_vector_width(spark):
     v = Q["assembled_features"](spark, SF01).first().features
     assert v.size == 30
+
+
+def test_sampling_job_writes_four_samples(spark):
+    from clickcast.plans.training import write_modelling_samples
+    from clickcast.session import scratch_path
+    from clickcast.sources.clicks import EXTRACT_SCHEMA
+    out = scratch_path(spark, "samples")
+    bal = {r.is_attributed: r["count"] for r in
+           write_modelling_samples(clicks_from_events(spark, SF01), out).collect()}
+    from pyspark.sql.types import IntegerType, StructField, StructType
+    schema = StructType(EXTRACT_SCHEMA.fields + [StructField("sample_id", IntegerType())])
+    back = spark.read.option("header", True).option("nullValue", "null").schema(schema).csv(out)
+    ids = {r.sample_id for r in back.select("sample_id").distinct().collect()}
+    assert ids == {1, 2, 3, 4}
+    assert back.where("sample_id = 1 AND is_attributed = 1").count() == bal[1]
