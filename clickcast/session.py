@@ -39,13 +39,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     Set from a fresh local temp folder only when the session has none (tests).
     """
-    sc = spark.sparkContext
-    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote sessions have no SparkContext
+        sc = None
+    root = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="clickcast-ckpt-")
-    if sc.getCheckpointDir() is None:
+    if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
-    return sc.getCheckpointDir() or root
+    return (sc.getCheckpointDir() if sc else None) or root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -78,3 +78,24 @@ def test_scoring_variant_counts_ties_only(spark):
     got = {r.click_id: r for r in scoring_sequence_features(micro(spark)).collect()}
     assert sorted(r.n_previous_clicks for r in got.values()) == [0] * 8 + [1]
     assert {r.click_time_diff for r in got.values()} == {0.0}
+
+
+def test_single_hot_user_is_split_and_exact(spark, duck):
+    """Every click belongs to one user: the scan still splits the user into
+    many chunks (tasks) and matches the one-window result."""
+    from clickcast.operators.sequence import auto_chunk_seconds
+    from clickcast.plans.catalog import with_clicks
+    from clickcast.plans.sqlbits import sequence
+
+    hot = (clicks_from_events(spark, SF01).withColumn("ip", F.lit(1).cast("long"))
+           .withColumn("device", F.lit(0)).withColumn("os", F.lit(0)))
+    width = auto_chunk_seconds(hot, target_chunk_rows=500)
+    chunks = hot.select(F.floor(F.col("click_time").cast("long") / width)).distinct().count()
+    assert chunks >= 15
+    got = (sequence_features(hot, chunk_seconds=width, outputs=OUT)
+           .select("click_id", *OUT).toPandas())
+    sql = with_clicks(
+        ", hot AS (SELECT click_id, CAST(1 AS BIGINT) AS ip, 0 AS device, 0 AS os, click_time, "
+        "is_attributed FROM clicks)" + sequence("hot", "seq") +
+        "\nSELECT click_id, prev_label, times_attributed, n_previous_clicks, click_time_diff FROM seq")
+    assert compare(got, duck.sql(sql).df()) == "EQUAL"
