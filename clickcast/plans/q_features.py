@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clickcast.operators import evaluate as ev
@@ -78,6 +79,19 @@ def stratified_split(spark, sf):
         "click_id", "is_attributed", "split")
 
 
+@register("class_balance_by_split", _rank_sql("clicks") + f"""
+, s AS (SELECT is_attributed, {SPLIT_CASE} AS split FROM ranked)
+SELECT split, is_attributed, count, count * 100 / sum(count) OVER (PARTITION BY split) AS pct
+FROM (SELECT split, is_attributed, count(*) AS count FROM s GROUP BY ALL) g""")
+def class_balance_by_split(spark, sf):
+    """Clicks per label within each split, and their share of the split."""
+    split = sa.stratified_split(clicks_from_events(spark, sf))
+    counts = split.groupBy("split", "is_attributed").count()
+    # At most (splits × labels) rows: a window per split over them is tiny.
+    share = F.col("count") * 100 / F.sum("count").over(Window.partitionBy("split"))
+    return counts.select("split", "is_attributed", "count", share.alias("pct"))
+
+
 @register("undersample", _rank_sql("clicks") + """
 SELECT click_id, is_attributed FROM ranked
 WHERE rn <= (SELECT min(c) FROM (SELECT count(*) AS c FROM clicks GROUP BY is_attributed) t)""")
