@@ -11,10 +11,15 @@ Skew: a single user may own a third of the log, so the scan is not done with
 one window per user.  Each user's timeline is cut into time chunks
 (``chunk_seconds``); the windows run per (user, chunk), a per-chunk summary
 (one row per chunk) carries the open attempt from earlier chunks, and the
-summary is joined back on (user, chunk).  The only large shuffle is the one
-hash-partitioning rows by (user, chunk); the summary aggregate and the join
-reuse that partitioning.  The result is exact: identical to one window per
-user with the same order.
+summary is joined back on (user, chunk).  The result is exact: identical to
+one window per user with the same order.
+
+Shuffles: the rows are hash-partitioned once by (user, chunk); the join
+back reuses that partitioning, so the full-width rows move once.  The
+summary branch reads only keys, time, order columns and label (its own,
+narrower exchange by (user, chunk)), then one row per chunk moves by user.
+Sharing the wide exchange instead would make both branches read every
+column of it.
 """
 
 from __future__ import annotations
@@ -99,16 +104,14 @@ def sequence_features(df: DataFrame, user_cols=USER_COLS, time_col: str = "click
             .withColumn("_first2", F.first(time_col).over(wa)))
 
     # 2. One row per (user, chunk): what the chunk hands on to later chunks.
-    # The chunk's last row is taken whole (every column): the summary then
-    # reads exactly the columns the row branch reads, so both branches share
-    # one shuffle of the log instead of shuffling it twice.
     summ = df.groupBy(*part).agg(
         F.count(F.lit(1)).alias("_cnt"),
         F.coalesce(F.sum("_lab"), F.lit(0)).cast("long").alias("_conv"),
         F.min(time_col).alias("_ftime"),
-        F.max_by(F.struct(*[F.col(c) for c in df.columns]), "_rn").alias("_last"),
-    ).select(*part, "_cnt", "_conv", "_ftime", F.col("_last._lab").alias("_llab"),
-             F.col("_last._rn2").alias("_lrn2"), F.col("_last._first2").alias("_lfirst2"))
+        F.max_by("_lab", "_rn").alias("_llab"),
+        F.max_by("_rn2", "_rn").alias("_lrn2"),
+        F.max_by("_first2", "_rn").alias("_lfirst2"),
+    )
     ws = Window.partitionBy(*keys).orderBy("_chunk")
     wsb = ws.rowsBetween(Window.unboundedPreceding, -1)
     closed = F.col("_llab") == 1  # chunk ends with a conversion
@@ -152,7 +155,7 @@ def sequence_features(df: DataFrame, user_cols=USER_COLS, time_col: str = "click
 
 def scoring_sequence_features(df: DataFrame, user_cols=USER_COLS, time_col: str = "click_time",
                               order_cols=("click_id",)) -> DataFrame:
-    """Sequence columns of the unlabelled (scoring) log, as the original
+    """Sequence columns of the unlabelled (scoring) log, as the reference
     computes them: the attempt id there is a running click count, so every
     distinct click time forms its own attempt.
 

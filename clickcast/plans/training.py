@@ -20,6 +20,15 @@ EXTRACT_DROP = ("app", "device", "os", "ip", "channel", "click_time",
                 "attributed_time", "attributed_time_wday")
 
 
+def add_time_features(df: DataFrame) -> DataFrame:
+    """Adds the weekday of click and install and the hour of click."""
+    return df.withColumns({
+        "click_time_wday": weekday_abbr("click_time"),
+        "attributed_time_wday": weekday_abbr("attributed_time"),
+        "click_time_hour": hour_of_day("click_time"),
+    })
+
+
 def time_features(clicks: DataFrame, keep_id: bool = True) -> DataFrame:
     """Weekday of click and install, hour of click (strings)."""
     ids = ["click_id"] if keep_id and "click_id" in clicks.columns else []
@@ -42,8 +51,10 @@ def training_features(clicks: DataFrame, chunk_seconds: int | None = None,
     fitted long score table is given.  The score table is measured before it
     is broadcast; inner joins drop clicks with null or unseen keys.
     """
-    feats = sequence_features(time_features(clicks), chunk_seconds=chunk_seconds,
-                              outputs=("n_previous_clicks", "click_time_diff"))
+    # Calendar strings are derived after the shuffle, so it moves raw columns only.
+    seq = sequence_features(clicks, chunk_seconds=chunk_seconds,
+                            outputs=("n_previous_clicks", "click_time_diff"))
+    feats = add_time_features(seq)
     long = scores if scores is not None else score_tables(clicks, CATEGORY_COLS)
     long, n = measured(long)
     long = maybe_broadcast(long, n, broadcast_rows)
