@@ -40,7 +40,9 @@ def running_totals(df: DataFrame, score: str, sums: dict, by=(), descending: boo
     wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*by, "_b", *[
         F.coalesce(F.sum(f"_bt_{n}").over(wb), F.lit(0)).alias(f"_off_{n}") for n in sums])
-    joined = join_small(bucketed, offsets, on=[*by, "_b"])
+    # Without groups the offsets have at most n_buckets rows: a proven bound.
+    joined = (bucketed.join(F.broadcast(offsets), on=[*by, "_b"]) if not by
+              else join_small(bucketed, offsets, on=[*by, "_b"]))
     wr = Window.partitionBy(*by, "_b").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
     out = joined.select(*by, "_o", *sums.keys(), *[
         (F.col(f"_off_{n}") + F.sum(n).over(wr)).alias(f"cum_{n}") for n in sums])

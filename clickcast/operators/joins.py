@@ -7,6 +7,8 @@ it at runtime from real shuffle sizes, and splits skewed partitions).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,16 @@ def measured(df: DataFrame) -> tuple[DataFrame, int]:
     return df, df.count()
 
 
+def measured_many(dfs: dict) -> tuple[dict, dict]:
+    """Persist several small tables and count them all in one job."""
+    kept = {k: df.persist(StorageLevel.MEMORY_AND_DISK) for k, df in dfs.items()}
+    tagged = [df.select(F.lit(str(k)).alias("_t")) for k, df in kept.items()]
+    rows = reduce(lambda a, b: a.unionByName(b), tagged).groupBy("_t").count().collect()
+    counts = {k: 0 for k in kept}
+    counts.update({r["_t"]: r["count"] for r in rows})
+    return kept, counts
+
+
 def maybe_broadcast(df: DataFrame, n_rows: int,
                     max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if n_rows <= max_rows else df

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickcast.functions.calendar import hour_of_day, weekday_abbr
-from clickcast.operators.joins import DEFAULT_BROADCAST_ROWS, maybe_broadcast, measured
+from clickcast.operators.joins import DEFAULT_BROADCAST_ROWS, maybe_broadcast, measured_many
 from clickcast.operators.scores import CATEGORY_COLS
 from clickcast.operators.sequence import scoring_sequence_features
 
@@ -54,12 +54,13 @@ def scoring_features(clicks: DataFrame, lookups: dict[str, DataFrame], how: str
                          hour_of_day("click_time").alias("click_time_hour"))
     feats = scoring_sequence_features(base)
     types = dict(clicks.dtypes)
+    typed = {dim: lookups[dim].select(F.col(dim).try_cast(types[dim]).alias(dim),
+                                      F.col("custom_score").alias(f"{dim}_custom_score"))
+             for dim in SCORE_JOIN_ORDER}
+    typed, sizes = measured_many(typed)
     for dim in SCORE_JOIN_ORDER:
-        lk = lookups[dim]
-        lk = lk.select(F.col(dim).try_cast(types[dim]).alias(dim),
-                       F.col("custom_score").alias(f"{dim}_custom_score"))
-        lk, n = measured(lk)
-        feats = feats.join(maybe_broadcast(lk, n, broadcast_rows), on=dim, how=how).drop(dim)
+        lk = maybe_broadcast(typed[dim], sizes[dim], broadcast_rows)
+        feats = feats.join(lk, on=dim, how=how).drop(dim)
     if fill_missing:
         feats = feats.na.fill(0.0, subset=[f"{d}_custom_score" for d in SCORE_JOIN_ORDER])
     return feats
