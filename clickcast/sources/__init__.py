@@ -15,6 +15,7 @@ from clickcast.sources.clicks import (
     table,
     write_csv,
     write_score_files,
+    write_submission,
 )
 
 __all__ = [
@@ -32,4 +33,5 @@ __all__ = [
     "table",
     "write_csv",
     "write_score_files",
+    "write_submission",
 ]

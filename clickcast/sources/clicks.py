@@ -154,6 +154,13 @@ def write_csv(df: DataFrame, path: str, null_value: str = "null") -> str:
     return path
 
 
+def write_submission(predictions: DataFrame, path: str) -> str:
+    """The submission file: click_id, is_attributed with a header."""
+    (predictions.select("click_id", "is_attributed")
+                .write.mode("overwrite").option("header", True).csv(path))
+    return path
+
+
 def write_score_files(scores_long: DataFrame, root: str, dims=CATEGORY_COLS) -> dict[str, str]:
     """One CSV per category from a long score table (see ``score_tables``)."""
     paths = {}
