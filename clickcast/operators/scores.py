@@ -64,21 +64,43 @@ def category_score(df: DataFrame, key: str, label_col: str = "is_attributed") ->
     return piv.select(key, frac.alias("prcnt_1"), ones.alias("1"), score.alias("custom_score"))
 
 
-def score_tables(df: DataFrame, dims=CATEGORY_COLS, label_col: str = "is_attributed") -> DataFrame:
-    """Scores of several keys in one pass, long form:
-    dim, key (bigint), 0, 1, prcnt_1, custom_score."""
-    pairs = ", ".join(f"'{d}', CAST(`{d}` AS BIGINT)" for d in dims)
-    long = df.select(F.expr(f"stack({len(dims)}, {pairs}) AS (dim, key)"),
-                     F.col(label_col).alias("_label"))
-    counts = (long.where(F.col("key").isNotNull())
-                  .groupBy("dim", "key")
-                  .agg(F.count(F.when(F.col("_label") == 0, 1)).alias("_n0"),
-                       F.count(F.when(F.col("_label") == 1, 1)).alias("_n1")))
+def label_counts(df: DataFrame, dims=CATEGORY_COLS, label_col: str = "is_attributed",
+                 time_col: str | None = None) -> DataFrame:
+    """Clicks per (dim, key) and label, from one scan: dim, key, _n0, _n1.
+
+    With ``time_col`` a pseudo-dim ``_log`` (key 0) is added whose row holds
+    the whole log's size (``_n``) and time range (``_lo``, ``_hi``, epoch
+    seconds), so one pass also sizes later stages.
+    """
+    entries = [f"'{d}', CAST(`{d}` AS BIGINT)" for d in dims]
+    if time_col:
+        entries.append("'_log', CAST(0 AS BIGINT)")
+    cols = [F.expr(f"stack({len(entries)}, {', '.join(entries)}) AS (dim, key)"),
+            F.col(label_col).alias("_label")]
+    aggs = [F.count(F.when(F.col("_label") == 0, 1)).alias("_n0"),
+            F.count(F.when(F.col("_label") == 1, 1)).alias("_n1")]
+    if time_col:
+        cols.append(F.col(time_col).cast("timestamp").cast("long").alias("_t"))
+        aggs += [F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"),
+                 F.max("_t").alias("_hi")]
+    return (df.select(*cols).where(F.col("key").isNotNull())
+              .groupBy("dim", "key").agg(*aggs))
+
+
+def scores_from_counts(counts: DataFrame) -> DataFrame:
+    """Long score table from ``label_counts`` (the ``_log`` row excluded)."""
     n0 = F.when(F.col("_n0") > 0, F.col("_n0"))
     n1 = F.when(F.col("_n1") > 0, F.col("_n1"))
     frac, ones, score = _score_cols(n0, n1)
-    return counts.select("dim", "key", n0.alias("0"), n1.alias("1"),
-                         frac.alias("prcnt_1"), score.alias("custom_score"))
+    return counts.where(F.col("dim") != "_log").select(
+        "dim", "key", n0.alias("0"), n1.alias("1"),
+        frac.alias("prcnt_1"), score.alias("custom_score"))
+
+
+def score_tables(df: DataFrame, dims=CATEGORY_COLS, label_col: str = "is_attributed") -> DataFrame:
+    """Scores of several keys in one pass, long form:
+    dim, key (bigint), 0, 1, prcnt_1, custom_score."""
+    return scores_from_counts(label_counts(df, dims, label_col))
 
 
 def score_for(scores_long: DataFrame, dim: str, name: str | None = None) -> DataFrame:

@@ -45,7 +45,12 @@ def auto_chunk_seconds(df: DataFrame, time_col: str = "click_time",
     row = df.agg(F.count(F.lit(1)).alias("n"),
                  F.min(epoch_seconds(time_col)).alias("lo"),
                  F.max(epoch_seconds(time_col)).alias("hi")).first()
-    n, lo, hi = row["n"], row["lo"], row["hi"]
+    return chunk_seconds_for(row["n"], row["lo"], row["hi"], target_chunk_rows)
+
+
+def chunk_seconds_for(n: int, lo: int | None, hi: int | None,
+                      target_chunk_rows: int = 1_000_000) -> int:
+    """The chunk width from the log's size and time range (epoch seconds)."""
     if not n or lo is None:
         return 86_400
     span = max(int(hi) - int(lo) + 1, 1)

@@ -3,13 +3,14 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickcast.functions.calendar import hour_of_day, weekday_abbr
 from clickcast.operators.joins import DEFAULT_BROADCAST_ROWS, maybe_broadcast, measured
-from clickcast.operators.scores import CATEGORY_COLS, score_for, score_tables
-from clickcast.operators.sequence import sequence_features
+from clickcast.operators.scores import CATEGORY_COLS, label_counts, score_for, scores_from_counts
+from clickcast.operators.sequence import chunk_seconds_for, sequence_features
 
 TIME_FEATURE_COLS = (
     "ip", "app", "device", "os", "channel", "click_time", "click_time_wday",
@@ -44,20 +45,37 @@ def time_features(clicks: DataFrame, keep_id: bool = True) -> DataFrame:
 
 def training_features(clicks: DataFrame, chunk_seconds: int | None = None,
                       broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                      scores: DataFrame | None = None) -> DataFrame:
+                      scores: DataFrame | None = None,
+                      target_chunk_rows: int = 1_000_000) -> DataFrame:
     """Calendar + sequence features + the four category scores.
 
-    Scores are fitted on ``clicks`` (one scan, see ``score_tables``) unless a
-    fitted long score table is given.  The score table is measured before it
-    is broadcast; inner joins drop clicks with null or unseen keys.
+    Unless a fitted long score table is given, one scan of ``clicks``
+    yields the label counts of all four keys together with the log's size
+    and time range; that small table is kept, and one job reads from it both
+    the chunk width of the sequence scan and the score table's row count,
+    which decides the broadcast.  Inner joins drop clicks with null or
+    unseen keys.
     """
+    if scores is None:
+        counts = label_counts(clicks, CATEGORY_COLS, time_col="click_time")
+        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+        facts = {r["is_log"]: r for r in counts.groupBy(
+            (F.col("dim") == "_log").alias("is_log")).agg(
+                F.count(F.lit(1)).alias("rows"), F.max("_n").alias("n"),
+                F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).collect()}
+        log = facts.get(True)
+        if chunk_seconds is None and log is not None:
+            chunk_seconds = chunk_seconds_for(log["n"], log["lo"], log["hi"], target_chunk_rows)
+        long = scores_from_counts(counts)
+        n = facts[False]["rows"] if False in facts else 0
+    else:
+        long, n = measured(scores)
+    long = maybe_broadcast(long, n, broadcast_rows)
     # Calendar strings are derived after the shuffle, so it moves raw columns only.
     seq = sequence_features(clicks, chunk_seconds=chunk_seconds,
+                            target_chunk_rows=target_chunk_rows,
                             outputs=("n_previous_clicks", "click_time_diff"))
     feats = add_time_features(seq)
-    long = scores if scores is not None else score_tables(clicks, CATEGORY_COLS)
-    long, n = measured(long)
-    long = maybe_broadcast(long, n, broadcast_rows)
     for dim in CATEGORY_COLS:
         feats = feats.join(score_for(long, dim), on=dim, how="inner")
     return feats
