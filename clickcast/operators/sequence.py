@@ -57,23 +57,20 @@ def chunk_seconds_for(n: int, lo: int | None, hi: int | None,
     return max(1, int(span * target_chunk_rows // n))
 
 
-def _non_null_keys(df: DataFrame, cols) -> tuple[DataFrame, list[str]]:
+def _non_null_keys(df: DataFrame, cols) -> tuple[dict, list[str]]:
     """Null-free copies of the key columns plus a null bitmask.
 
     Equi-joins drop null keys; these copies keep null users as their own
     group without a null-safe join (which would re-shuffle the large side).
     """
     types = dict(df.dtypes)
-    keys, mask = [], F.lit(0)
+    new, mask = {}, F.lit(0)
     for i, c in enumerate(cols):
-        dt = types[c]
-        zero = F.lit("") if dt == "string" else F.lit(0).cast(dt)
-        name = f"_k{i}"
-        df = df.withColumn(name, F.coalesce(F.col(c), zero))
+        zero = F.lit("") if types[c] == "string" else F.lit(0).cast(types[c])
+        new[f"_k{i}"] = F.coalesce(F.col(c), zero)
         mask = mask + F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0))
-        keys.append(name)
-    df = df.withColumn("_knull", mask)
-    return df, keys + ["_knull"]
+    new["_knull"] = mask
+    return new, list(new)
 
 
 def sequence_features(df: DataFrame, user_cols=USER_COLS, time_col: str = "click_time",
@@ -89,24 +86,28 @@ def sequence_features(df: DataFrame, user_cols=USER_COLS, time_col: str = "click
     if chunk_seconds is None:
         chunk_seconds = auto_chunk_seconds(df, time_col, target_chunk_rows)
     original = df.columns
-    lab = F.col(label_col) if label_col else F.lit(0)
-    df, keys = _non_null_keys(df, user_cols)
-    df = df.withColumn("_lab", lab).withColumn(
-        "_chunk", F.coalesce(F.floor(epoch_seconds(time_col) / F.lit(chunk_seconds)),
-                             F.lit(_NULL_CHUNK)).cast("long"))
+    key_cols, keys = _non_null_keys(df, user_cols)
+    df = df.withColumns({
+        **key_cols,
+        "_lab": F.col(label_col) if label_col else F.lit(0),
+        "_chunk": F.coalesce(F.floor(epoch_seconds(time_col) / F.lit(chunk_seconds)),
+                             F.lit(_NULL_CHUNK)).cast("long"),
+    })
     part = keys + ["_chunk"]
     order = [F.col(time_col).asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in order_cols]
 
     # 1. Within each (user, chunk): position, previous label, local attempt id.
     wc = Window.partitionBy(*part).orderBy(*order)
     before = wc.rowsBetween(Window.unboundedPreceding, -1)
-    df = (df.withColumn("_rn", F.row_number().over(wc).cast("long"))
-            .withColumn("_lprev", F.lag("_lab").over(wc))
-            .withColumn("_lta", F.coalesce(F.sum("_lab").over(before), F.lit(0)).cast("long")))
+    df = df.withColumns({
+        "_rn": F.row_number().over(wc).cast("long"),
+        "_lprev": F.lag("_lab").over(wc),
+        "_lta": F.coalesce(F.sum("_lab").over(before), F.lit(0)).cast("long"),
+    })
     # Position and start time within the local attempt (same exchange, new sort).
     wa = Window.partitionBy(*part, "_lta").orderBy(*order)
-    df = (df.withColumn("_rn2", F.row_number().over(wa).cast("long"))
-            .withColumn("_first2", F.first(time_col).over(wa)))
+    df = df.withColumns({"_rn2": F.row_number().over(wa).cast("long"),
+                         "_first2": F.first(time_col).over(wa)})
 
     # 2. One row per (user, chunk): what the chunk hands on to later chunks.
     summ = df.groupBy(*part).agg(
@@ -125,13 +126,16 @@ def sequence_features(df: DataFrame, user_cols=USER_COLS, time_col: str = "click
         F.when(closed, F.lit(0).cast("long")).otherwise(F.col("_lrn2")).alias("tail"),
         F.when(closed, F.col("_next_ftime")).otherwise(F.col("_lfirst2")).alias("start"),
     ))
-    summ = (summ.withColumn("_cum", F.sum("_cnt").over(
-                    ws.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-                .withColumn("_next_ftime", F.lead("_ftime").over(ws)))
-    summ = (summ.withColumn("_p", F.last(mark, ignorenulls=True).over(wsb))
-                .withColumn("_conv_before", F.coalesce(F.sum("_conv").over(wsb), F.lit(0)))
-                .withColumn("_prev_llab", F.lag("_llab").over(ws))
-                .withColumn("_user_ftime", F.first("_ftime").over(ws)))
+    summ = summ.withColumns({
+        "_cum": F.sum("_cnt").over(ws.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "_next_ftime": F.lead("_ftime").over(ws),
+    })
+    summ = summ.withColumns({
+        "_p": F.last(mark, ignorenulls=True).over(wsb),
+        "_conv_before": F.coalesce(F.sum("_conv").over(wsb), F.lit(0)),
+        "_prev_llab": F.lag("_llab").over(ws),
+        "_user_ftime": F.first("_ftime").over(ws),
+    })
     cnt_before = F.col("_cum") - F.col("_cnt")
     summ = summ.select(
         *part,
