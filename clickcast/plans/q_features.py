@@ -14,7 +14,7 @@ from clickcast.operators import scores as sc
 from clickcast.plans import scoring, training
 from clickcast.plans.catalog import register
 from clickcast.plans.q_sequence import TRAINING_SQL, _scoring_sql
-from clickcast.plans.sqlbits import TIME_FEATURES
+from clickcast.plans.sqlbits import TIME_FEATURES, score_cols, score_joins, scores, sequence
 from clickcast.session import checkpoint_root
 from clickcast.sources.clicks import clicks_from_events
 
@@ -106,6 +106,22 @@ def stratified_folds(spark, sf):
         "click_id", "is_attributed", "fold")
 
 
+@register("training_features_train_fitted", _rank_sql("clicks") + f"""
+, trainc AS (SELECT * FROM ranked WHERE {SPLIT_CASE} = 'train')""" + TIME_FEATURES +
+          sequence() + scores("trainc") + f"""
+SELECT seq.click_id, seq.ip, seq.app, seq.device, seq.os, seq.channel, seq.click_time,
+       seq.click_time_wday, seq.attributed_time, seq.attributed_time_wday, seq.is_attributed,
+       seq.click_time_hour, seq.n_previous_clicks, seq.click_time_diff, {score_cols()}
+FROM seq
+{score_joins('seq')}""")
+def training_features_train_fitted(spark, sf):
+    """Scores fitted on the train split only, applied to every click (no
+    target leakage into train_dev / dev / test)."""
+    clicks = clicks_from_events(spark, sf)
+    train = sa.stratified_split(clicks).where(F.col("split") == "train")
+    return training.training_features(clicks, scores=sc.score_tables(train))
+
+
 # ---------------------------------------------------------------- feature preparation
 
 HOUR_FLAGS_SQL = ", ".join(f"CAST(coalesce(CAST(click_time_hour AS INTEGER) = {h}, false) AS INTEGER)"
