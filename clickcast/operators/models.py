@@ -23,12 +23,14 @@ FEATURE_COLS = NUMERIC_COLS + HOUR_FLAG_COLS
 LABEL = "is_attributed"
 SEED = 16121993
 
-# Grid of the original forest search (trees, depth, leaf share).  Spark
-# caps depth at 30 and has no min-samples-split; the minimum leaf share maps
-# to minWeightFractionPerNode and the impurity decrease to minInfoGain.
+# The grids of the original searches.  Forest: 300 trees,
+# depth {8, 16, 32}, minimum leaf share {0.025, 0.05, 0.1}, minimum impurity
+# decrease 0.001.  Spark caps depth at 30 and has no min-samples-split; the
+# leaf share maps to minWeightFractionPerNode, the decrease to minInfoGain.
 RF_GRID = {"numTrees": [300], "maxDepth": [8, 16, 30],
            "minWeightFractionPerNode": [0.025, 0.05, 0.1], "minInfoGain": [0.001]}
-# Gradient-boosted trees: 300 rounds, depth {8, 30}, step 0.1, gain 0.01.
+# Boosted trees: 300 rounds, depth {8, 32, 64} (capped at 30), step 0.1,
+# gamma 0.01 (as minInfoGain).
 GBT_GRID = {"maxIter": [300], "maxDepth": [8, 30], "stepSize": [0.1], "minInfoGain": [0.01]}
 
 

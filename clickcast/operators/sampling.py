@@ -23,20 +23,23 @@ from pyspark.sql import functions as F
 
 from clickcast.operators.joins import join_small
 
+# The seed, the seeds of the four samples, the sampling
+# fractions per label, and the split (80/20, then 50/50 of the 20, then 90/10
+# of the 80 → bands of the position within each label, percent upper bounds).
 SEED = 16121993
-TWO_32 = 2 ** 32
-
-# Bands of the position within each label, in percent (upper bounds):
-# 80/20, then 50/50 of the 20, then 90/10 of the 80 → 72 / 8 / 10 / 10.
+SAMPLE_SEEDS = (16121993, 1, 2, 3)
+SAMPLE_FRACTIONS = {1: 1.0, 0: 0.0080}
 SPLIT_BANDS = (("train", 72), ("train_dev", 80), ("dev", 90), ("test", 100))
 
+TWO_32 = 2 ** 32
+
 
 def stratified_sample(df: DataFrame, label_col: str, fractions: dict, seed: int = SEED) -> DataFrame:
     return df.sampleBy(label_col, fractions, seed)
 
 
 def stratified_samples(df: DataFrame, label_col: str, fractions: dict,
-                       seeds=(SEED, 1, 2, 3)) -> DataFrame:
+                       seeds=SAMPLE_SEEDS) -> DataFrame:
     parts = [stratified_sample(df, label_col, fractions, s).withColumn("sample_id", F.lit(i + 1))
              for i, s in enumerate(seeds)]
     return reduce(DataFrame.unionByName, parts)

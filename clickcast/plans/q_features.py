@@ -19,7 +19,7 @@ from clickcast.session import checkpoint_root
 from clickcast.sources.clicks import clicks_from_events
 
 SEED = sa.SEED
-FRACTIONS = {1: 1.0, 0: 0.0080}
+FRACTIONS = sa.SAMPLE_FRACTIONS
 SCORES = ("device_custom_score", "os_custom_score", "app_custom_score", "channel_custom_score")
 NUMERIC = fe.NUMERIC_COLS
 

@@ -88,15 +88,16 @@ def modelling_extract(features: DataFrame, keep_id: bool = False) -> DataFrame:
 
 
 def write_modelling_samples(clicks: DataFrame, out_dir: str, fractions=None,
-                            seeds=(16121993, 1, 2, 3)) -> DataFrame:
+                            seeds=None) -> DataFrame:
     """The sampling job: features → extract → four stratified samples,
     written as CSV (nulls as ``null``) in one distributed write, one folder
     per sample.  Returns the class balance of the full extract."""
     from clickcast.operators.explore import class_balance
-    from clickcast.operators.sampling import stratified_samples
+    from clickcast.operators.sampling import SAMPLE_FRACTIONS, SAMPLE_SEEDS, stratified_samples
     from clickcast.sources.clicks import EXTRACT_SCHEMA
 
-    fractions = fractions or {1: 1.0, 0: 0.0080}
+    fractions = fractions or SAMPLE_FRACTIONS
+    seeds = seeds or SAMPLE_SEEDS
     extract = modelling_extract(training_features(clicks))
     samples = stratified_samples(extract, "is_attributed", fractions, seeds)
     (samples.select("sample_id", *[f.name for f in EXTRACT_SCHEMA.fields])
