@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickcast.functions.calendar import epoch_seconds
+from clickcast.operators.joins import maybe_broadcast, measured
 
 USER_COLS = ("ip", "device", "os")
 SEQUENCE_OUTPUTS = ("prev_label", "times_attributed", "n_previous_clicks", "click_time_diff")
@@ -73,15 +74,48 @@ def _non_null_keys(df: DataFrame, cols) -> tuple[dict, list[str]]:
     return new, list(new)
 
 
+_FINE = 1 << 21  # slices per chunk at most; chunk ids are coarse * _FINE + slice
+
+
+def _split_bursts(df: DataFrame, keys, time_col: str, chunk_seconds: int,
+                  target_rows: int) -> DataFrame:
+    """Give heavy (user, chunk) groups finer, time-ordered chunk ids.
+
+    A user may pack more clicks into one chunk width than the log's average
+    rate suggests.  One partial aggregate counts clicks per (user, chunk)
+    with their first and last second; groups above ``target_rows`` (at most
+    n / target_rows of them, measured before they are broadcast) have their
+    occupied time range cut into ``ceil(count / target_rows)`` equal slices
+    (at least one second wide).  Chunk ids stay increasing in time within a
+    user, so the scan's result is unchanged.
+    """
+    t = epoch_seconds(time_col)
+    sizes = (df.groupBy(*keys, "_chunk")
+               .agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_t0"), F.max(t).alias("_t1"))
+               .where((F.col("_n") > target_rows) & F.col("_t0").isNotNull()))
+    span = F.col("_t1") - F.col("_t0") + 1
+    slices = F.least(F.ceil(F.col("_n") / F.lit(target_rows)), span,
+                     F.lit(_FINE - 1)).cast("long")
+    heavy, n = measured(sizes.select(*keys, "_chunk", "_t0", span.alias("_span"),
+                                     slices.alias("_slices")))
+    df = df.join(maybe_broadcast(heavy, n), on=[*keys, "_chunk"], how="left")
+    slice_id = F.floor((t - F.col("_t0")) * F.col("_slices") / F.col("_span")).cast("long")
+    return df.withColumn(
+        "_chunk", F.col("_chunk") * F.lit(_FINE) + F.coalesce(slice_id, F.lit(0))
+    ).drop("_t0", "_span", "_slices")
+
+
 def sequence_features(df: DataFrame, user_cols=USER_COLS, time_col: str = "click_time",
                       label_col: str | None = "is_attributed",
                       order_cols=("click_id",), chunk_seconds: int | None = None,
                       target_chunk_rows: int = 1_000_000,
-                      outputs=SEQUENCE_OUTPUTS) -> DataFrame:
+                      outputs=SEQUENCE_OUTPUTS, split_bursts: bool = True) -> DataFrame:
     """Add the sequence columns named in ``outputs`` to every row of ``df``.
 
     ``label_col=None`` gives one attempt per user (no resets).
     ``chunk_seconds=None`` picks the width with ``auto_chunk_seconds``.
+    ``split_bursts`` cuts (user, chunk) groups holding more than
+    ``target_chunk_rows`` clicks into proportionally finer time slices.
     """
     if chunk_seconds is None:
         chunk_seconds = auto_chunk_seconds(df, time_col, target_chunk_rows)
@@ -90,9 +124,11 @@ def sequence_features(df: DataFrame, user_cols=USER_COLS, time_col: str = "click
     df = df.withColumns({
         **key_cols,
         "_lab": F.col(label_col) if label_col else F.lit(0),
-        "_chunk": F.coalesce(F.floor(epoch_seconds(time_col) / F.lit(chunk_seconds)),
-                             F.lit(_NULL_CHUNK)).cast("long"),
+        "_chunk": F.floor(epoch_seconds(time_col) / F.lit(chunk_seconds)).cast("long"),
     })
+    if split_bursts:
+        df = _split_bursts(df, keys, time_col, chunk_seconds, target_chunk_rows)
+    df = df.withColumn("_chunk", F.coalesce("_chunk", F.lit(_NULL_CHUNK)))
     part = keys + ["_chunk"]
     order = [F.col(time_col).asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in order_cols]
 

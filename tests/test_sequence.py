@@ -99,3 +99,28 @@ def test_single_hot_user_is_split_and_exact(spark, duck):
         "is_attributed FROM clicks)" + sequence("hot", "seq") +
         "\nSELECT click_id, prev_label, times_attributed, n_previous_clicks, click_time_diff FROM seq")
     assert compare(got, duck.sql(sql).df()) == "EQUAL"
+
+
+def test_burst_of_one_user_is_split_and_exact(spark, duck):
+    """One user, all clicks within ~3 hours, one coarse chunk: the burst is
+    cut into finer slices and the result still matches one window."""
+    from clickcast.plans.catalog import with_clicks
+    from clickcast.plans.sqlbits import sequence
+
+    burst = (clicks_from_events(spark, SF01).withColumn("ip", F.lit(1).cast("long"))
+             .withColumn("device", F.lit(0)).withColumn("os", F.lit(0))
+             .withColumn("click_time", F.expr(
+                 "timestampadd(SECOND, CAST(click_id AS INT), TIMESTAMP'2024-01-01 00:00:00')")))
+    got = (sequence_features(burst, chunk_seconds=86_400, target_chunk_rows=500, outputs=OUT)
+           .select("click_id", *OUT).toPandas())
+    sql = with_clicks(
+        ", hot AS (SELECT click_id, CAST(1 AS BIGINT) AS ip, 0 AS device, 0 AS os, "
+        "TIMESTAMP '2024-01-01 00:00:00' + to_seconds(click_id) AS click_time, "
+        "is_attributed FROM clicks)" + sequence("hot", "seq") +
+        "\nSELECT click_id, prev_label, times_attributed, n_previous_clicks, click_time_diff FROM seq")
+    assert compare(got, duck.sql(sql).df()) == "EQUAL"
+    # the single coarse chunk became about count / target slices
+    from clickcast.operators import sequence as seqmod
+    keyed = burst.withColumns({"_k0": F.col("ip"), "_chunk": F.lit(0).cast("long")})
+    cut = seqmod._split_bursts(keyed, ["_k0"], "click_time", 86_400, 500)
+    assert cut.select("_chunk").distinct().count() >= 15
