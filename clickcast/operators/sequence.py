@@ -43,10 +43,16 @@ def auto_chunk_seconds(df: DataFrame, time_col: str = "click_time",
 
     One aggregate job returning three numbers.
     """
+    n, lo, hi = log_stats(df, time_col)
+    return chunk_seconds_for(n, lo, hi, target_chunk_rows)
+
+
+def log_stats(df: DataFrame, time_col: str = "click_time") -> tuple[int, int | None, int | None]:
+    """Row count and first / last epoch second of the log (one small job)."""
     row = df.agg(F.count(F.lit(1)).alias("n"),
                  F.min(epoch_seconds(time_col)).alias("lo"),
                  F.max(epoch_seconds(time_col)).alias("hi")).first()
-    return chunk_seconds_for(row["n"], row["lo"], row["hi"], target_chunk_rows)
+    return row["n"], row["lo"], row["hi"]
 
 
 def chunk_seconds_for(n: int, lo: int | None, hi: int | None,
@@ -98,6 +104,8 @@ def _split_bursts(df: DataFrame, keys, time_col: str, chunk_seconds: int,
                      F.lit(_FINE - 1)).cast("long")
     heavy, n = measured(sizes.select(*keys, "_chunk", "_t0", span.alias("_span"),
                                      slices.alias("_slices")))
+    if n == 0:
+        return df
     df = df.join(maybe_broadcast(heavy, n), on=[*keys, "_chunk"], how="left")
     slice_id = F.floor((t - F.col("_t0")) * F.col("_slices") / F.col("_span")).cast("long")
     return df.withColumn(
@@ -109,16 +117,22 @@ def sequence_features(df: DataFrame, user_cols=USER_COLS, time_col: str = "click
                       label_col: str | None = "is_attributed",
                       order_cols=("click_id",), chunk_seconds: int | None = None,
                       target_chunk_rows: int = 1_000_000,
-                      outputs=SEQUENCE_OUTPUTS, split_bursts: bool = True) -> DataFrame:
+                      outputs=SEQUENCE_OUTPUTS, split_bursts: bool = True,
+                      n_rows: int | None = None) -> DataFrame:
     """Add the sequence columns named in ``outputs`` to every row of ``df``.
 
     ``label_col=None`` gives one attempt per user (no resets).
     ``chunk_seconds=None`` picks the width with ``auto_chunk_seconds``.
     ``split_bursts`` cuts (user, chunk) groups holding more than
-    ``target_chunk_rows`` clicks into proportionally finer time slices.
+    ``target_chunk_rows`` clicks into proportionally finer time slices; the
+    check is skipped when the whole log (``n_rows``, if known) is no larger
+    than the target.
     """
     if chunk_seconds is None:
-        chunk_seconds = auto_chunk_seconds(df, time_col, target_chunk_rows)
+        n_rows, lo, hi = log_stats(df, time_col)
+        chunk_seconds = chunk_seconds_for(n_rows, lo, hi, target_chunk_rows)
+    if n_rows is not None and n_rows <= target_chunk_rows:
+        split_bursts = False
     original = df.columns
     key_cols, keys = _non_null_keys(df, user_cols)
     df = df.withColumns({

@@ -64,16 +64,18 @@ def training_features(clicks: DataFrame, chunk_seconds: int | None = None,
                 F.count(F.lit(1)).alias("rows"), F.max("_n").alias("n"),
                 F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).collect()}
         log = facts.get(True)
+        n_rows = log["n"] if log is not None else 0
         if chunk_seconds is None and log is not None:
             chunk_seconds = chunk_seconds_for(log["n"], log["lo"], log["hi"], target_chunk_rows)
         long = scores_from_counts(counts)
         n = facts[False]["rows"] if False in facts else 0
     else:
         long, n = measured(scores)
+        n_rows = None
     long = maybe_broadcast(long, n, broadcast_rows)
     # Calendar strings are derived after the shuffle, so it moves raw columns only.
     seq = sequence_features(clicks, chunk_seconds=chunk_seconds,
-                            target_chunk_rows=target_chunk_rows,
+                            target_chunk_rows=target_chunk_rows, n_rows=n_rows,
                             outputs=("n_previous_clicks", "click_time_diff"))
     feats = add_time_features(seq)
     for dim in CATEGORY_COLS:
