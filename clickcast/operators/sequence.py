@@ -14,6 +14,11 @@ one window per user.  Each user's timeline is cut into time chunks
 summary is joined back on (user, chunk).  The result is exact: identical to
 one window per user with the same order.
 
+Chunk width: by default chosen so that a user owning the whole log, with
+its clicks spread like the log's, gets ``target_chunk_rows`` per chunk.
+Bursts (a user packing more than that into one width) are detected with one
+partial aggregate and cut into finer, still time-ordered slices.
+
 Shuffles: the rows are hash-partitioned once by (user, chunk); the join
 back reuses that partitioning, so the full-width rows move once.  The
 summary branch reads only keys, time, order columns and label (its own,
