@@ -122,3 +122,19 @@ def test_csv_scan_drops_malformed_rows(spark):
 def test_describe_sample_stddev(spark):
     out = describe(micro(spark), "channel").first()
     assert out.n == 9 and out.min == 10 and out.max == 13
+
+
+def test_submission_and_score_files_roundtrip(spark):
+    from clickcast.sources.clicks import read_score_files, write_score_files, write_submission
+    df = micro(spark)
+    sub = write_submission(df.select("click_id", F.col("is_attributed")), scratch_path(spark, "sub"))
+    back = spark.read.option("header", True).csv(sub)
+    assert back.columns == ["click_id", "is_attributed"] and back.count() == 9
+    root = scratch_path(spark, "scores")
+    paths = write_score_files(sc.score_tables(df), root)
+    files = read_score_files(spark, paths)
+    assert set(files) == {"device", "os", "app", "channel"}
+    assert files["device"].columns == ["device", "prcnt_1", "1", "custom_score"]
+    assert files["app"].columns == ["app", "custom_score", "count"]
+    dev = {r.device: r.custom_score for r in files["device"].collect()}
+    assert dev == {"1": 0.2, "2": 0.0, "3": 0.0}  # text keys, as in score files
