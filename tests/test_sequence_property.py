@@ -20,15 +20,13 @@ def brute(rows):
         clicks.sort(key=lambda r: (r[4] is not None, r[4] or 0, r[0]))
         ta, start_idx, start_t, prev = 0, 0, None, None
         for i, (cid, _, _, _, sec, lab) in enumerate(clicks):
-            if i == 0 or (prev_lab == 1):
-                if i > 0:
-                    ta += 1
-                start_idx, start_t = i, sec
-            n_prev = i - start_idx
+            if i == 0:
+                start_t = sec
+            elif prev == 1:  # the previous click converted: a new attempt starts here
+                ta, start_idx, start_t = ta + 1, i, sec
             diff = None if sec is None or start_t is None else abs(int(sec) - int(start_t)) / 60
-            out[cid] = (prev, ta, n_prev, diff)
+            out[cid] = (prev, ta, i - start_idx, diff)
             prev = lab
-            prev_lab = lab
     return out
 
 
