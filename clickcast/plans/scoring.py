@@ -3,6 +3,7 @@ in fitted score tables."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,9 @@ def only_clicktimediff(clicks: DataFrame) -> DataFrame:
 
 def score_lookup_tables(scores_long: DataFrame, as_text_keys: bool = False) -> dict[str, DataFrame]:
     """Per-dim lookup tables (key, custom_score) from a long score table.
-    ``as_text_keys`` gives the text keys a CSV score file has."""
+    ``as_text_keys`` gives the text keys a CSV score file has.  The (small)
+    long table is kept so the four lookups share one aggregation."""
+    scores_long = scores_long.persist(StorageLevel.MEMORY_AND_DISK)
     out = {}
     for dim in CATEGORY_COLS:
         key = F.col("key").cast("string") if as_text_keys else F.col("key")
