@@ -34,7 +34,8 @@ def running_totals(df: DataFrame, score: str, sums: dict, by=(), descending: boo
                   .persist(StorageLevel.MEMORY_AND_DISK))
     cuts = distinct.agg(F.percentile_approx(
         "_o", [i / n_buckets for i in range(1, n_buckets)], 10_000).alias("q")).first()["q"]
-    splits = [float("-inf")] + sorted(set(cuts or [])) + [float("inf")]
+    inner = sorted(set(cuts or [])) or [0.0]  # Bucketizer needs at least one inner split
+    splits = [float("-inf")] + inner + [float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="_o", outputCol="_b").transform(distinct)
     per_bucket = bucketed.groupBy(*by, "_b").agg(*[F.sum(n).alias(f"_bt_{n}") for n in sums])
     wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

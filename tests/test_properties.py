@@ -139,3 +139,8 @@ def test_sampling_job_writes_four_samples(spark):
     ids = {r.sample_id for r in back.select("sample_id").distinct().collect()}
     assert ids == {1, 2, 3, 4}
     assert back.where("sample_id = 1 AND is_attributed = 1").count() == bal[1]
+
+
+def test_running_totals_on_empty_input(spark, clicks):
+    empty = clicks.withColumn("s", F.lit(1.0)).where("click_id < 0")
+    assert ev.running_totals(empty, "s", {"n": F.count(F.lit(1))}).count() == 0
