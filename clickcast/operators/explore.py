@@ -10,6 +10,8 @@ sketch for continuous values.
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,6 +85,33 @@ def histogram(df: DataFrame, col: str, width: float, lo=None, hi=None, by=(),
               .withColumn("bin_lo", F.col("bin") * F.lit(float(width))))
 
 
+def auto_histogram(df: DataFrame, col: str, max_bins: int = 50) -> DataFrame:
+    """Equal-width bins over [min, max] with the Freedman–Diaconis count
+    (``ceil(range / (2 IQR n^-1/3))``, at most ``max_bins``; ``sqrt(n)`` when
+    the IQR is 0), the default of the distribution plots.  One aggregate
+    yields the five numbers; the binning is a plain grouped count."""
+    c = F.col(col)
+    st = df.agg(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"),
+                F.percentile(c, 0.25).alias("q1"), F.percentile(c, 0.75).alias("q3")).first()
+    n, lo, hi = st["n"], st["lo"], st["hi"]
+    if not n:
+        return df.where(F.lit(False)).select(F.lit(0).cast("long").alias("bin"),
+                                             F.lit(0.0).alias("bin_lo"),
+                                             F.lit(0).cast("long").alias("count"))
+    iqr = st["q3"] - st["q1"]
+    if iqr > 0:
+        h = 2 * iqr * n ** (-1 / 3)
+        bins = int(math.ceil((hi - lo) / h)) if hi > lo else 1
+    else:
+        bins = int(math.sqrt(n))
+    bins = max(1, min(bins, max_bins))
+    width = (hi - lo) / bins if hi > lo else 1.0
+    b = F.least(F.floor((c - F.lit(float(lo))) / F.lit(width)), F.lit(bins - 1)).cast("long")
+    return (df.where(c.isNotNull()).groupBy(b.alias("bin")).count()
+              .select("bin", (F.lit(float(lo)) + F.col("bin") * F.lit(width)).alias("bin_lo"),
+                      "count"))
+
+
 def box_stats(df: DataFrame, col: str, by=()) -> DataFrame:
     """Box-plot numbers per group: quartiles (interpolated), whiskers at the
     most extreme values within 1.5 IQR, and the number of outliers."""

@@ -277,6 +277,24 @@ def histogram_bounded(spark, sf):
     return ex.histogram(minutes, "click_time_diff", 5, lo=0, hi=60)
 
 
+@register("histogram_auto_click_diffs", DIFFS_SQL + """
+, m AS (SELECT click_time_diff AS x FROM diffs WHERE unit = 'minutes')
+, st AS (SELECT count(x) AS n, min(x) AS lo, max(x) AS hi,
+                quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM m)
+, nb AS (SELECT *, greatest(1, least(50, CASE
+           WHEN iqr > 0 THEN CASE WHEN hi > lo
+                THEN CAST(ceil((hi - lo) / (2 * iqr * pow(n, -1 / 3))) AS BIGINT) ELSE 1 END
+           ELSE CAST(floor(sqrt(n)) AS BIGINT) END)) AS bins FROM st)
+, w AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / bins ELSE 1.0 END AS width FROM nb)
+SELECT CAST(least(floor((x - lo) / width), bins - 1) AS BIGINT) AS bin,
+       lo + CAST(least(floor((x - lo) / width), bins - 1) AS BIGINT) * width AS bin_lo,
+       count(*) AS count
+FROM m, w WHERE x IS NOT NULL GROUP BY 1, 2""")
+def histogram_auto_click_diffs(spark, sf):
+    """Minutes from first click to first conversion, automatic bin width."""
+    return ex.auto_histogram(_diffs(_path(spark, sf), "minutes"), "click_time_diff")
+
+
 @register("recent_small_click_diffs", DIFFS_SQL + f"""
 SELECT {DIFF_OUT} FROM diffs
 WHERE unit = 'minutes' AND click_time_diff > 0 AND click_time_diff < 60
