@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clickcast.session import scratch_path
 
@@ -17,13 +18,23 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: what follows survives lost executors without redoing
     ``df``, and uses of it in several branches read it instead of computing
-    it again.
+    it again.  The shuffle files that led to it are of no more use: a collection
+    in the driver lets Spark's cleaner drop them now, not half an hour later.
     """
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, ids: DataFrame, max_broadcast: int = 500_000) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids`` (one column, written and counted here)."""
+    bad = written(docs.sparkSession, ids.toDF("_bad").distinct(), "dropped-ids")
+    if bad.count() <= max_broadcast:
+        bad = F.broadcast(bad)
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+
+
 def text_chunks(texts, max_chars: int):
     """Yield (start, end) row ranges whose texts hold about ``max_chars``.
 

@@ -35,7 +35,7 @@ CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 16384
 BATCH_CHARS = 1 << 21
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 800_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long"
 
 
@@ -55,6 +55,7 @@ class WordTokenizer:
 
     MARK = "\x01"
     SPACE = re.compile(r"[ \n\t\r]+")
+    NOT_SPACE = re.compile("[\x1c-\x1f]")  # split() takes these for white space, the vocabulary doesn't
     TAIL = ".,;:!?"
 
     def __init__(self, vocabulary: str):
@@ -69,12 +70,12 @@ class WordTokenizer:
         self.words: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _stem(self, word: str) -> tuple[str, str]:
         """A word as (stem, closing punctuation): a letter always ends a token before punctuation."""
         stem = word.rstrip(self.TAIL)
-        if stem and stem != word and stem[-1].isalpha():
+        if stem and stem != word and stem[-1].lower().isalpha():
             return (stem.lower() if stem.isascii() else stem), word[len(stem):]
         return (word.lower() if word.isascii() and word.isalpha() else word), ""
 
@@ -84,9 +85,9 @@ class WordTokenizer:
         plain = [p for p in parts if self.MARK not in p and "<|" not in p]
         if plain:
             ids = self._ids(f" {self.MARK} ".join(plain))
-            runs = np.split(ids, np.flatnonzero(ids == self.mark))
-            for k, (p, run) in enumerate(zip(plain, runs, strict=True)):
-                self.words[p] = (run[1:] if k else run).tobytes()
+            raw, marks = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark)).tolist()
+            for p, a, b in zip(plain, [-4, *marks], [*marks, len(raw)], strict=True):
+                self.words[p] = raw[a + 4:b]
         for p in parts.difference(plain):
             self.words[p] = self._ids(p).tobytes()
         for w, (stem, tail) in split.items():
@@ -96,15 +97,22 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.words) > MAX_CACHED_WORDS:
             self.words = {"": b""}
-        split = [self.SPACE.split(t) for t in texts]
-        new: set[str] = set()
-        for words in split:
-            new.update(words)
-        new -= self.words.keys()
+        split = [self.SPACE.split(t) if self.NOT_SPACE.search(t) else t.split() for t in texts]
+        new = set().union(*split) - self.words.keys()
         if new:
             self._learn(new)
-        known = self.words
-        return [b"".join([known[w] for w in words]) for words in split]
+        known = self.words.__getitem__
+        return [b"".join(map(known, words)) for words in split]
+
+
+#: One encoder a Python worker, so that its words outlive a task.
+_ENCODERS: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(vocabulary: str) -> WordTokenizer:
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = WordTokenizer(vocabulary)
+    return _ENCODERS[vocabulary]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -114,7 +122,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
     width = 4 * capacity
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, slot = WordTokenizer(vocabulary), 0
+        encode, slot = word_tokenizer(vocabulary), 0
         for batch in batches:
             ids, texts = batch["doc_id"].tolist(), batch["text"].fillna("").tolist()
             for a, b in text_chunks(texts, BATCH_CHARS):
