@@ -14,12 +14,13 @@ of the larger multiplicities.
 * *Bands.*  Equal texts are merged first.  ``N_BANDS`` bands of ``BAND_ROWS``
   registers give buckets; at likeness 0.8 two texts share one with probability
   above 0.99999.
-* *Verification without all pairs.*  Each bucket's smallest documents (pivots) are
-  compared with its members.  Whoever is unlike the pivot stays for the next
-  round; so do the members that are like it but could, by the triangle
-  inequality of 1 - likeness, still be like one who stays.  Buckets whose members
-  all are in one class already leave, the number of pivots grows, and rounds
-  end when no bucket is left: no link between different texts is lost.
+* *Verification without all pairs.*  Each bucket's smallest document, the pivot,
+  is compared with its members.  Who is unlike it stays for the next round; so
+  do the members that are like it but could, by the triangle inequality of
+  1 - likeness, still be like one who stays.  Further rounds take more pivots
+  and compare them only with members of other classes whose distances from the
+  first pivot differ by at most 0.2.  Buckets whose members all are in one class
+  leave, and rounds end when no bucket is left: no class loses a member.
 * *Classes* are the connected components of the verified links; the class id is
   the smallest document id.
 
@@ -217,7 +218,7 @@ def components(spark, links: DataFrame) -> DataFrame:
 
 def near_duplicates(spark, docs: DataFrame, threshold: float = THRESHOLD,
                     max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row; links are verified ones of its text, in either direction."""
+    """(doc_id, class_id, n_links) of every row; ``n_links`` counts the verified links that joined its text's class."""
     keyed = docs.select(
         F.col("doc_id"), F.col("doc_id").cast("long").alias("doc"),
         F.when(F.length("text") > 0, F.xxhash64("text")).alias("tk1"),
@@ -234,32 +235,38 @@ def near_duplicates(spark, docs: DataFrame, threshold: float = THRESHOLD,
         wanted = F.broadcast(wanted)
     # of equal texts only the first is a candidate; equal ids with other texts are compared as well
     bags = written(spark, _bags(usable.join(wanted, "doc", "left_semi").select("doc", "text")), "bags")
+    members = members.select("band", "doc", F.col("doc").alias("k"), F.lit(0.0).alias("away"))
     seen = spark.createDataFrame([], "doc long, pivot long, likeness double")
     labels = spark.createDataFrame([], "doc long, class_id long")
     far, n_pivots = 1 - threshold, 1
     while not members.isEmpty():
         if n_pivots == 1:
-            pivots = members.groupBy("band").agg(F.min("doc").alias("pivot"))
+            chosen = members.groupBy("band").agg(F.min("doc").alias("doc"))
         else:
             rank = F.row_number().over(Window.partitionBy("band").orderBy("doc"))
-            pivots = members.withColumn("r", rank).where(F.col("r") <= n_pivots).select(
-                "band", F.col("doc").alias("pivot"))
-        pivots = written(spark, pivots, "pivots")
-        pairs = members.join(pivots, "band").where("doc > pivot").select("doc", "pivot").distinct()
+            chosen = members.withColumn("r", rank).where(F.col("r") <= n_pivots).select("band", "doc")
+        pivots = written(spark, members.join(chosen, ["band", "doc"]).select(
+            "band", F.col("doc").alias("pivot"), F.col("k").alias("pivot_k"), F.col("away").alias("pivot_away")), "pivots")
+        pairs = members.join(pivots, "band").where(
+            (F.col("doc") > F.col("pivot")) & (F.col("k") != F.col("pivot_k"))
+            & (F.abs(F.col("away") - F.col("pivot_away")) <= far)).select("doc", "pivot").distinct()
         new = _compare(pairs.join(seen, ["doc", "pivot"], "left_anti"), bags)
         seen = written(spark, seen.unionByName(new), "likeness")
         links = seen.where(F.col("likeness") >= threshold).select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
         labels = components(spark, links)
-        # what stays: not a pivot, and unlike the first pivot or perhaps like one that is unlike it
-        first = pivots.groupBy("band").agg(F.min("pivot").alias("pivot"))
-        away = members.join(first, "band").join(seen, ["doc", "pivot"]).select(
-            "band", "doc", (1 - F.col("likeness")).alias("away"))
-        least = away.where(F.col("away") > far).groupBy("band").agg(F.min("away").alias("least"))
-        open_ = away.join(least, "band").where((F.col("away") > far) | (F.col("away") >= F.col("least") - far))
-        open_ = open_.join(pivots.withColumnRenamed("pivot", "doc"), ["band", "doc"], "left_anti")
-        open_ = open_.join(labels, "doc", "left").select("band", "doc", F.coalesce("class_id", "doc").alias("k"))
-        mixed = open_.groupBy("band").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x < y").select("band")
-        members = written(spark, open_.join(mixed, "band").select("band", "doc"), "members")
+        if n_pivots == 1:
+            # unlike the first pivot, or like it but perhaps also like one that is unlike it
+            away = members.select("band", "doc").join(pivots.select("band", "pivot"), "band").join(
+                seen, ["doc", "pivot"]).select("band", "doc", (1 - F.col("likeness")).alias("away"))
+            least = away.where(F.col("away") > far).groupBy("band").agg(F.min("away").alias("least"))
+            rest = away.join(least, "band").where(
+                (F.col("away") > far) | (F.col("away") >= F.col("least") - far)).drop("least")
+        else:
+            rest = members.drop("k").join(pivots.select("band", F.col("pivot").alias("doc")), ["band", "doc"], "left_anti")
+        rest = rest.join(labels, "doc", "left").select(
+            "band", "doc", F.coalesce("class_id", "doc").alias("k"), "away")
+        mixed = rest.groupBy("band").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x < y").select("band")
+        members = written(spark, rest.join(mixed, "band"), "members")
         n_pivots *= 4
     linked = seen.where(F.col("likeness") >= threshold)
     degree = linked.select("doc").unionByName(linked.select(F.col("pivot").alias("doc"))).groupBy("doc").agg(
