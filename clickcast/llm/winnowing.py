@@ -44,7 +44,7 @@ def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     def smallest(g: Column) -> Column:
         n = F.when(F.size(g) == 0, 0).otherwise(F.greatest(F.size(g) - window + 1, F.lit(1)))
         return F.array_distinct(F.transform(
-            positions(n), lambda i: F.least(*[F.get(g, i + j) for j in range(window)])))
+            positions(n), lambda i: F.least(F.get(g, i), *[F.get(g, i + j) for j in range(window)])))
 
     return let(let(words(text), grams), smallest)
 
