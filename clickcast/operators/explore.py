@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickcast.session import scratch_path
+
 from clickcast.operators.joins import join_small
 
 
@@ -163,16 +164,20 @@ def profile(df: DataFrame, cols) -> DataFrame:
                  (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double"))
                  .alias("num"))
         for c in cols])).alias("_r")).select("_r.*")
-    freq = (long.where(F.col("text").isNotNull()).groupBy("feature", "text", "num").count()
-                .persist(StorageLevel.MEMORY_AND_DISK))
+    freq = long.where(F.col("text").isNotNull()).groupBy("feature", "text", "num").count()
+    path = scratch_path(df.sparkSession, "profile-counts")
+    freq.write.parquet(path)
+    freq = df.sparkSession.read.schema(freq.schema).parquet(path)
     c, x = F.col("count"), F.col("num")
     n = F.sum(c)
-    sx = F.sum(c * x)
-    sxx = F.sum(c * x * x)
+    # deviations are taken from the mean: sums of squares cancel for columns with a large mean
+    means = freq.groupBy("feature").agg((F.sum(c * x) / F.sum(c)).alias("mean"))
+    freq = freq.join(F.broadcast(means), "feature")  # a row per profiled column
+    squares = F.sum(c * (x - F.col("mean")) * (x - F.col("mean")))
     stats = freq.groupBy("feature").agg(
         n.alias("n"), F.count(F.lit(1)).alias("n_distinct"),
-        (sx / n).alias("mean"),
-        F.sqrt((sxx - sx * sx / n) / (n - 1)).alias("std"),
+        F.first("mean").alias("mean"),
+        F.when(n > 1, F.sqrt(squares / F.greatest(n - 1, F.lit(1)))).alias("std"),
         F.min(x).alias("min"), F.percentile(x, 0.25, c).alias("p25"),
         F.percentile(x, 0.5, c).alias("p50"), F.percentile(x, 0.75, c).alias("p75"),
         F.max(x).alias("max"),

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickcast.operators.features import HOUR_FLAG_COLS, NUMERIC_COLS
+from clickcast.operators.sampling import SEED
 
 FEATURE_COLS = NUMERIC_COLS + HOUR_FLAG_COLS
 LABEL = "is_attributed"
-SEED = 16121993
 
 # The grids of the original searches.  Forest: 300 trees,
 # depth {8, 16, 32}, minimum leaf share {0.025, 0.05, 0.1}, minimum impurity

@@ -400,10 +400,10 @@ def histogram_channels_per_app(spark, sf):
 # ---------------------------------------------------------------- sorted reports
 
 @register("top_devices", """
-SELECT device, count(*) AS count FROM clicks GROUP BY device ORDER BY count DESC, device LIMIT 10""")
+SELECT device, count(*) AS count FROM clicks GROUP BY device ORDER BY count DESC, device""")
 def top_devices(spark, sf):
     return (ex.group_count(_clicks(spark, sf), "device")
-              .orderBy(F.col("count").desc(), "device").limit(10))
+              .orderBy(F.col("count").desc(), "device"))
 
 
 @register("top_device_labels", """

@@ -184,9 +184,13 @@ def read_score_files(spark: SparkSession, paths: dict[str, str]) -> dict[str, Da
 
 def read_csv(spark: SparkSession, path: str, schema: StructType,
              null_value: str = "null") -> DataFrame:
-    return (spark.read.schema(schema)
-            .option("header", True)
-            .option("nullValue", null_value)
-            .option("mode", "DROPMALFORMED")
-            .option("timestampFormat", TIMESTAMP_FORMAT)
-            .csv(path))
+    """Typed CSV read, malformed rows dropped by a full-width parse (see ``read_clicks_csv``)."""
+    df = (spark.read.schema(schema)
+          .option("header", True)
+          .option("nullValue", null_value)
+          .option("mode", "DROPMALFORMED")
+          .option("timestampFormat", TIMESTAMP_FORMAT)
+          .csv(path))
+    out = scratch_path(spark, "csv-parquet")
+    df.write.parquet(out)
+    return spark.read.schema(df.schema).parquet(out)
