@@ -78,6 +78,8 @@ def with_next_text(spark, docs: DataFrame, bucket_ids: int = BUCKET_IDS,
     that is comes from one row per bucket, level by level, each level a
     ``bucket_ids``-th of the buckets below.
     """
+    if bucket_ids < 4:
+        raise ValueError("a bucket needs at least 4 ids for the levels to shrink")
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
         low = high = 0

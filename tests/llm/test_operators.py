@@ -214,7 +214,7 @@ def test_winnowing_equals_brute_force(spark, odd_docs, no_docs):
             want.append((low, at))
     assert [(x >> 30, (1 << 30) - 1 - (x & ((1 << 30) - 1))) for x in grams["fp"]] == want
     docs = odd_docs.select("doc_id", "text")
-    for ids in (1, 2, 256):
+    for ids in (4, 256):
         got = {(r.doc_id, r.text): r.next_text for r in winnowing.with_next_text(spark, docs, ids).collect()}
         order = sorted({(r.doc_id, r.text or "") for r in docs.collect()}, key=lambda x: (x[0] is not None, x[0] or 0), reverse=True)
         assert set(got) == set(order)
