@@ -45,7 +45,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         sc = None
     root = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if sc is None or not sc.master.startswith("local["):
+        if sc is None or not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="clickcast-ckpt-")
     if sc is not None and sc.getCheckpointDir() is None:
