@@ -18,14 +18,15 @@ of the larger multiplicities.
   is compared with its members.  Open after that are documents unlike their
   pivot, and those like it that by the triangle inequality of 1 - likeness may
   still be like an open one, in buckets that span several classes.  Open
-  documents meet again in finer buckets, of two bands each (``2 * N_BANDS`` of
-  them), where as many pivots as it takes (1, 4, 16, ...) are compared with the
-  members of other classes until each bucket is done.  So the passages that many
-  documents share, which fill buckets with unlike documents, cost one comparison
-  each in the coarse buckets and seldom meet in the fine ones.  A link can only
-  be missed if both texts are unlike all pivots they share and no finer bucket
-  holds both: for texts of likeness 0.8 below one in a hundred of such cases,
-  of 0.9 below one in a million.
+  documents meet again by size class and rare elements: two multisets of sizes m
+  and n and likeness t or more have at least ``t / (1 + t) * (m + n)`` elements
+  in common, so, in an order by frequency, one of the rarest ones that exceed
+  this number in each.  There as many pivots as it takes (4, 16, ...) are
+  compared with the members of other classes until each bucket is done.  So the
+  passages that many documents share, which fill buckets with unlike documents,
+  cost one comparison each there and seldom bring documents together by their
+  rare elements.  This step is exact: of two documents that share a bucket
+  no link between different classes is missed.
 * *Classes* are the connected components of the verified links; the class id is
   the smallest document id.
 
@@ -37,6 +38,7 @@ columns are ignored by the report and kept by :func:`first_of_each`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +55,7 @@ N_BANDS, BAND_ROWS = 30, 5
 N_VALUES = N_BANDS * BAND_ROWS
 CHUNK_BYTES = 1 << 22
 MAX_BROADCAST_IDS = 500_000
+SIZE_CLASS = 1.06
 _U = np.uint64
 
 
@@ -222,31 +225,73 @@ def components(spark, links: DataFrame) -> DataFrame:
 
 
 def _shared(members: DataFrame) -> DataFrame:
-    """The (band, doc) rows of bands with more than one document."""
+    """The (band, doc, side: null) rows of bands with more than one document."""
     many = members.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
-    return members.join(many, "band").select("band", "doc")
+    return members.join(many, "band").select("band", "doc", F.lit(None).cast("int").alias("side"))
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(band, doc, k: class) of the bands whose documents are not all in one class."""
-    classed = members.join(labels, "doc", "left").select("band", "doc", F.coalesce("class_id", "doc").alias("k"))
+    classed = members.join(labels, "doc", "left").select("band", "doc", "side", F.coalesce("class_id", "doc").alias("k"))
     bands = classed.groupBy("band").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x < y").select("band")
     return classed.join(bands, "band")
 
 
-def _compared(spark, members: DataFrame, n_pivots: int, seen: DataFrame, bags: DataFrame, threshold: float):
+def _rarest(spark, bags: DataFrame, threshold: float) -> DataFrame:
+    """(band, doc, side): buckets in which two documents of ``threshold`` or more must meet.
+
+    A bucket is an element and two size classes.  A document has a bucket for
+    each class that its partner may be of, and each element among its rarest
+    that a partner of that class must reach.  Between two different classes,
+    ``side`` (else null) is the document's own.  Elements that no other document
+    has are not sent back to their document, only their number.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, bag in zip(batch["doc"], batch["bag"]):
+                element = np.frombuffer(bag, dtype=np.int64)
+                for i in range(0, len(element), CHUNK_BYTES // 16):
+                    part = element[i:i + CHUNK_BYTES // 16]
+                    yield pd.DataFrame({"doc": np.full(len(part), doc), "n": np.full(len(part), len(element)),
+                                        "element": part})
+
+    elements = written(spark, bags.mapInPandas(run, "doc long, n long, element long"), "elements")
+    common = elements.groupBy("element").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    span = math.ceil(math.log(1 / threshold) / math.log(SIZE_CLASS))
+    size_class = F.floor(F.log("n") / math.log(SIZE_CLASS) + 1e-9).cast("int")
+    overlap = threshold / (1 + threshold) * (F.col("n") + F.pow(F.lit(SIZE_CLASS), F.col("other")))
+    prefix = F.col("n") - F.ceil(overlap - 1e-6) + 1  # rounding may only lengthen it
+    buckets = elements.join(common, "element").groupBy("doc", "n").agg(
+        F.array_sort(F.collect_list(F.struct("c", "element"))).alias("shared")).withColumn("own", size_class).select(
+        "doc", "n", "shared", "own", F.explode(F.sequence(F.col("own") - span, F.col("own") + span)).alias("other"))
+    taken = (prefix - (F.col("n") - F.size("shared"))).cast("int")
+    members = buckets.where((prefix > 0) & (taken > 0)).select(
+        "doc", "own", "other", F.explode(F.slice("shared", F.lit(1), taken)["element"]).alias("element")).select(
+        F.xxhash64("element", F.least("own", "other"), F.greatest("own", "other")).alias("band"), "doc",
+        F.when(F.col("own") != F.col("other"), F.col("own")).alias("side")).distinct()
+    usable = members.groupBy("band").agg(
+        F.count(F.lit(1)).alias("c"), F.min("side").alias("x"), F.max("side").alias("y")).where(
+        "c > 1 AND (x IS NULL OR x < y)").select("band")
+    return members.join(usable, "band").select("band", "doc", "side")
+
+
+def _compared(spark, members: DataFrame, n_pivots: int, seen: DataFrame, labels: DataFrame | None,
+              bags: DataFrame, threshold: float):
     """(seen, labels) after comparing the first documents of each band with its members of other classes."""
     if n_pivots == 1:
-        pivots = members.groupBy("band").agg(F.min_by(F.struct("doc", "k"), "doc").alias("p")).select(
-            "band", F.col("p.doc").alias("pivot"), F.col("p.k").alias("pivot_k"))
+        pivots = members.groupBy("band").agg(F.min_by(F.struct("doc", "side", "k"), "doc").alias("p")).select(
+            "band", F.col("p.doc").alias("pivot"), F.col("p.side").alias("pivot_side"), F.col("p.k").alias("pivot_k"))
     else:
         rank = F.row_number().over(Window.partitionBy("band").orderBy("doc"))
         pivots = members.withColumn("r", rank).where(F.col("r") <= n_pivots).select(
-            "band", F.col("doc").alias("pivot"), F.col("k").alias("pivot_k"))
+            "band", F.col("doc").alias("pivot"), F.col("side").alias("pivot_side"), F.col("k").alias("pivot_k"))
     pairs = members.join(pivots, "band").where(
-        (F.col("doc") > F.col("pivot")) & (F.col("k") != F.col("pivot_k"))).select("doc", "pivot").distinct()
-    new = _compare(pairs.join(seen, ["doc", "pivot"], "left_anti"), bags)
-    seen = written(spark, seen.unionByName(new), "likeness")
+        (F.col("doc") > F.col("pivot")) & (F.col("k") != F.col("pivot_k"))
+        & F.coalesce(F.col("side") != F.col("pivot_side"), F.lit(True))).select("doc", "pivot").distinct()
+    new = written(spark, _compare(pairs.join(seen, ["doc", "pivot"], "left_anti"), bags), "likeness")
+    seen = seen.unionByName(new)
+    if labels is not None and new.where(F.col("likeness") >= threshold).isEmpty():
+        return seen, labels
     links = seen.where(F.col("likeness") >= threshold).select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
     return seen, components(spark, links)
 
@@ -270,23 +315,21 @@ def near_duplicates(spark, docs: DataFrame, threshold: float = THRESHOLD,
     bags = written(spark, _bags(usable.join(wanted, "doc", "left_semi").select("doc", "text")), "bags")
     seen = spark.createDataFrame([], "doc long, pivot long, likeness double")
     # each member with its bucket's pivot
-    seen, labels = _compared(spark, members.withColumn("k", F.col("doc")), 1, seen, bags, threshold)
+    seen, labels = _compared(spark, members.withColumn("k", F.col("doc")), 1, seen, None, bags, threshold)
     far = 1 - threshold
     first = members.groupBy("band").agg(F.min("doc").alias("pivot"))
     away = members.join(first, "band").join(seen, ["doc", "pivot"]).select(
-        "band", "doc", (1 - F.col("likeness")).alias("away"))
+        "band", "doc", "side", (1 - F.col("likeness")).alias("away"))
     least = away.where(F.col("away") > far).groupBy("band").agg(F.min("away").alias("least"))
     rest = away.join(least, "band").where((F.col("away") > far) | (F.col("away") >= F.col("least") - far))
-    left = written(spark, _mixed(rest.select("band", "doc"), labels).select("doc").distinct(), "open")
-    # what is left, by pairs of bands
-    finer = F.transform(F.sequence(F.lit(0), F.lit(2 * N_BANDS - 1)), lambda i: F.xxhash64(
-        i, F.get("bands", i % N_BANDS), F.get("bands", (i + 1 + F.floor(i / N_BANDS).cast("int")) % N_BANDS)))
-    members = _shared(signed.join(left, "doc", "left_semi").select("doc", F.explode(finer).alias("band")).distinct())
-    members, n_pivots = written(spark, _mixed(members, labels), "members"), 1
+    left = written(spark, _mixed(rest, labels).select("doc").distinct(), "open")
+    # what is left, by rare elements
+    rare = written(spark, _rarest(spark, bags.join(left, "doc", "left_semi"), threshold), "rare")
+    members, n_pivots = written(spark, _mixed(rare, labels), "members"), 4
     while not members.isEmpty():
-        seen, labels = _compared(spark, members, n_pivots, seen, bags, threshold)
+        seen, labels = _compared(spark, members, n_pivots, seen, labels, bags, threshold)
         rank = F.row_number().over(Window.partitionBy("band").orderBy("doc"))
-        rest = members.withColumn("r", rank).where(F.col("r") > n_pivots).select("band", "doc")
+        rest = members.withColumn("r", rank).where(F.col("r") > n_pivots).select("band", "doc", "side")
         members = written(spark, _mixed(rest, labels), "members")
         n_pivots *= 4
     linked = seen.where(F.col("likeness") >= threshold)
