@@ -24,7 +24,16 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def release(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the folders of frames from :func:`written` that nothing reads any more."""
+    for frame in frames:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(frame.scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def without(docs: DataFrame, ids: DataFrame, max_broadcast: int = 500_000) -> DataFrame:
