@@ -117,6 +117,30 @@ def test_near_classes_of_odd_rows(spark, odd_docs, no_docs):
 
 # --- language id
 
+def test_near_classes_equal_brute_force_where_texts_share_a_passage(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    draw = lambda n: list(rng.choice(vocabulary, n))
+    passages, texts = [draw(90) for _ in range(3)], []
+    for i in range(90):  # alike by 0.6 to 0.8 through the passage, few of them above
+        texts.append(passages[i % 3] + draw(int(rng.integers(3, 30))))
+    for i in range(60):  # edited copies of various likeness
+        copy = list(texts[i])
+        for at in rng.integers(0, len(copy), int(rng.integers(1, 4))):
+            copy[at] = "edited"
+        texts.append(copy)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark, docs).collect()}
+    bags = [near_dedup.expanded(s) for s in near_dedup.shingle_hashes([" ".join(t) for t in texts])]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if near_dedup.likeness(bags[i], bags[j]) >= near_dedup.THRESHOLD and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if k == high else k for k in want]
+    assert got == dict(enumerate(want))
+
+
 def test_language_id_held_out_and_odd_rows(spark, odd_docs, no_docs):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     model = language_id.fitted_on_two_thirds(docs)
