@@ -86,9 +86,9 @@ def histogram(df: DataFrame, col: str, width: float, lo=None, hi=None, by=(),
               .withColumn("bin_lo", F.col("bin") * F.lit(float(width))))
 
 
-def auto_histogram(df: DataFrame, col: str, max_bins: int = 50) -> DataFrame:
+def auto_histogram(df: DataFrame, col: str, max_bins: int | None = None) -> DataFrame:
     """Equal-width bins over [min, max] with the Freedman–Diaconis count
-    (``ceil(range / (2 IQR n^-1/3))``, at most ``max_bins``; ``sqrt(n)`` when
+    (``ceil(range / (2 IQR n^-1/3))``, at most ``max_bins`` if given; ``sqrt(n)`` when
     the IQR is 0), the default of the distribution plots.  One aggregate
     yields the five numbers; the binning is a plain grouped count."""
     c = F.col(col)
@@ -105,7 +105,7 @@ def auto_histogram(df: DataFrame, col: str, max_bins: int = 50) -> DataFrame:
         bins = int(math.ceil((hi - lo) / h)) if hi > lo else 1
     else:
         bins = int(math.sqrt(n))
-    bins = max(1, min(bins, max_bins))
+    bins = max(1, bins if max_bins is None else min(bins, max_bins))
     width = (hi - lo) / bins if hi > lo else 1.0
     b = F.least(F.floor((c - F.lit(float(lo))) / F.lit(width)), F.lit(bins - 1)).cast("long")
     return (df.where(c.isNotNull()).groupBy(b.alias("bin")).count()

@@ -277,11 +277,11 @@ def histogram_bounded(spark, sf):
     return ex.histogram(minutes, "click_time_diff", 5, lo=0, hi=60)
 
 
-@register("histogram_auto_click_diffs", DIFFS_SQL + """
+AUTO_HISTOGRAM_SQL = DIFFS_SQL + """
 , m AS (SELECT click_time_diff AS x FROM diffs WHERE unit = 'minutes')
 , st AS (SELECT count(x) AS n, min(x) AS lo, max(x) AS hi,
                 quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM m)
-, nb AS (SELECT *, greatest(1, least(50, CASE
+, nb AS (SELECT *, greatest(1, least({max_bins}, CASE
            WHEN iqr > 0 THEN CASE WHEN hi > lo
                 THEN CAST(ceil((hi - lo) / (2 * iqr * pow(n, -1 / 3))) AS BIGINT) ELSE 1 END
            ELSE CAST(floor(sqrt(n)) AS BIGINT) END)) AS bins FROM st)
@@ -289,9 +289,20 @@ def histogram_bounded(spark, sf):
 SELECT CAST(least(floor((x - lo) / width), bins - 1) AS BIGINT) AS bin,
        lo + CAST(least(floor((x - lo) / width), bins - 1) AS BIGINT) * width AS bin_lo,
        count(*) AS count
-FROM m, w WHERE x IS NOT NULL GROUP BY 1, 2""")
+FROM m, w WHERE x IS NOT NULL GROUP BY 1, 2"""
+
+
+@register("histogram_auto_click_diffs", AUTO_HISTOGRAM_SQL.replace("{max_bins}", "50"))
 def histogram_auto_click_diffs(spark, sf):
-    """Minutes from first click to first conversion, automatic bin width."""
+    """Minutes from first click to first conversion, automatic bin width, at
+    most 50 bins as in the distribution plots."""
+    return ex.auto_histogram(_diffs(_path(spark, sf), "minutes"), "click_time_diff", max_bins=50)
+
+
+@register("histogram_auto_click_diffs_uncapped",
+          AUTO_HISTOGRAM_SQL.replace("{max_bins}", "9223372036854775807"))
+def histogram_auto_click_diffs_uncapped(spark, sf):
+    """The same with as many bins as the rule gives."""
     return ex.auto_histogram(_diffs(_path(spark, sf), "minutes"), "click_time_diff")
 
 
