@@ -224,6 +224,19 @@ def components(spark, links: DataFrame) -> DataFrame:
             return labels
 
 
+def _joined(spark, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc, class_id) after new (a, b) links: only the classes that they touch are worked on."""
+    def classes(side: str) -> DataFrame:
+        return labels.select(F.col("doc").alias(side), F.col("class_id").alias(f"{side}_class"))
+
+    between = links.join(classes("a"), "a", "left").join(classes("b"), "b", "left").select(
+        F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b")).where("a != b")
+    tops = components(spark, between).select(F.col("doc").alias("class_id"), F.col("class_id").alias("top"))
+    known = labels.join(tops, "class_id", "left").select("doc", F.coalesce("top", "class_id").alias("class_id"))
+    new = tops.select(F.col("class_id").alias("doc"), F.col("top").alias("class_id")).join(labels, "doc", "left_anti")
+    return written(spark, known.unionByName(new), "classes")
+
+
 def _shared(members: DataFrame) -> DataFrame:
     """The (band, doc, side: null) rows of bands with more than one document."""
     many = members.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
@@ -292,8 +305,8 @@ def _compared(spark, members: DataFrame, n_pivots: int, seen: DataFrame, labels:
     seen = seen.unionByName(new)
     if labels is not None and new.where(F.col("likeness") >= threshold).isEmpty():
         return seen, labels
-    links = seen.where(F.col("likeness") >= threshold).select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
-    return seen, components(spark, links)
+    links = new.where(F.col("likeness") >= threshold).select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
+    return seen, components(spark, links) if labels is None else _joined(spark, labels, links)
 
 
 def near_duplicates(spark, docs: DataFrame, threshold: float = THRESHOLD,
@@ -323,8 +336,9 @@ def near_duplicates(spark, docs: DataFrame, threshold: float = THRESHOLD,
     least = away.where(F.col("away") > far).groupBy("band").agg(F.min("away").alias("least"))
     rest = away.join(least, "band").where((F.col("away") > far) | (F.col("away") >= F.col("least") - far))
     left = written(spark, _mixed(rest, labels).select("doc").distinct(), "open")
-    # what is left, by rare elements
-    rare = written(spark, _rarest(spark, bags.join(left, "doc", "left_semi"), threshold), "rare")
+    # what is left, by rare elements; the others' multisets are read no more
+    bags = written(spark, bags.join(left, "doc", "left_semi"), "open-bags")
+    rare = written(spark, _rarest(spark, bags, threshold), "rare")
     members, n_pivots = written(spark, _mixed(rare, labels), "members"), 4
     while not members.isEmpty():
         seen, labels = _compared(spark, members, n_pivots, seen, labels, bags, threshold)
