@@ -3,37 +3,39 @@ matrix, classification report, per-fold metrics.
 
 ROC and AUC need running totals over the score order.  An unpartitioned
 window would run in one task, so ``running_totals`` first aggregates to one
-row per distinct score, cuts the score range into ``n_buckets`` ranges at
-approximate quantiles (a bounded list of cut points), takes prefix sums of
+row per distinct score, cuts the score range at approximate quantiles into
+ranges of about ``BUCKET_ROWS`` distinct scores, takes prefix sums of
 the per-range totals, and finishes with a window per range.  The totals are
 exact; only the work split depends on the approximation.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickcast.operators.joins import join_small
+from clickcast.session import materialised
 
 LABEL = "is_attributed"
+BUCKET_ROWS = 100_000  # distinct scores that one window task is to hold
 
 
 def running_totals(df: DataFrame, score: str, sums: dict, by=(), descending: bool = False,
-                   n_buckets: int = 256) -> DataFrame:
+                   n_buckets: int | None = None) -> DataFrame:
     """One row per (by…, score) with the given sums and their running totals
     ``cum_<name>`` (rows with a lower score first, or higher with
     ``descending``; the current score included)."""
     key = F.col(score).cast("double")
     ordered = -key if descending else key
-    # One row per distinct score, kept: the cut points and the totals both read it.
-    distinct = (df.withColumn("_o", ordered).where(F.col("_o").isNotNull())
-                  .groupBy(*by, "_o").agg(*[e.alias(n) for n, e in sums.items()])
-                  .persist(StorageLevel.MEMORY_AND_DISK))
-    cuts = distinct.agg(F.percentile_approx(
-        "_o", [i / n_buckets for i in range(1, n_buckets)], 10_000).alias("q")).first()["q"]
+    # One row per distinct score, written once: the cut points and the totals both read it.
+    distinct = materialised(df.withColumn("_o", ordered).where(F.col("_o").isNotNull())
+                              .groupBy(*by, "_o").agg(*[e.alias(n) for n, e in sums.items()]), "distinct-scores")
+    if n_buckets is None:
+        n_buckets = distinct.count() // BUCKET_ROWS + 1
+    cuts = [] if n_buckets == 1 else distinct.agg(F.percentile_approx(
+        "_o", [i / n_buckets for i in range(1, n_buckets)], max(10_000, 10 * n_buckets)).alias("q")).first()["q"]
     inner = sorted(set(cuts or [])) or [0.0]  # Bucketizer needs at least one inner split
     splits = [float("-inf")] + inner + [float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="_o", outputCol="_b").transform(distinct)
@@ -58,8 +60,7 @@ def _pos_neg(label: str):
 def roc_curve(df: DataFrame, score: str = "score", label: str = LABEL, by=()) -> DataFrame:
     """One point per distinct score (threshold): tpr, fpr of ``score >= threshold``."""
     rt = running_totals(df, score, _pos_neg(label), by=by, descending=True)
-    totals = df.where(F.col(score).isNotNull()).groupBy(*by).agg(
-        *[e.alias(f"_tot_{n}") for n, e in _pos_neg(label).items()])
+    totals = rt.groupBy(*by).agg(*[F.sum(n).alias(f"_tot_{n}") for n in ("pos", "neg")])
     if by:
         rt = join_small(rt, totals, on=list(by))
     else:  # one row of two counts

@@ -7,21 +7,21 @@ For each click, ordered by ``(click_time, *order_cols)`` within the user key:
 * ``n_previous_clicks`` clicks before this one in the same attempt
 * ``click_time_diff``   minutes (whole seconds / 60) since the attempt's first click
 
-Skew: a single user may own a third of the log, so the scan is not done with
-one window per user.  Each user's timeline is cut into time chunks
-(``chunk_seconds``); the windows run per (user, chunk), a per-chunk summary
-(one row per chunk) carries the open attempt from earlier chunks, and the
-summary is joined back on (user, chunk).  The result is exact: identical to
-one window per user with the same order.
-
-Chunk width: by default chosen so that a user owning the whole log, with
-its clicks spread like the log's, gets ``target_chunk_rows`` per chunk.
-Bursts (a user packing more than that into one width) are detected with one
-partial aggregate and cut into finer, still time-ordered slices.
-
-Shuffles: the rows are hash-partitioned once by (user, chunk); the join
-back reuses that partitioning, so the full-width rows move once.  The
-summary branch reads only keys, time, order columns and label (its own,
+Ordinary users: one window per user, one shuffle of the log.  A user is
+ordinary with at most ``target_chunk_rows`` clicks; one partial aggregate
+over the keys finds the others (at most n / target of them).
+
+Heavy users: one may own a third of the log, so their timelines are cut into
+time chunks of about ``target_chunk_rows`` clicks, each user by a width of
+its own.  The windows run per (user, chunk), a per-chunk summary (one row
+per chunk) carries the open attempt from earlier chunks, and the summary is
+joined back on (user, chunk).  The result is exact: identical to one window
+per user with the same order.  Bursts (more clicks than the target in one
+width) are cut into finer, still time-ordered slices.
+
+Shuffles of the heavy users' rows: hash-partitioned once by (user, chunk);
+the join back reuses that partitioning, so the full-width rows move once.
+The summary branch reads only keys, time, order columns and label (its own,
 narrower exchange by (user, chunk)), then one row per chunk moves by user.
 Sharing the wide exchange instead would make both branches read every
 column of it.
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from clickcast.functions.calendar import epoch_seconds
 from clickcast.operators.joins import maybe_broadcast, measured
+from clickcast.session import materialised
 
 USER_COLS = ("ip", "device", "os")
 SEQUENCE_OUTPUTS = ("prev_label", "times_attributed", "n_previous_clicks", "click_time_diff")
@@ -88,7 +89,7 @@ def _non_null_keys(df: DataFrame, cols) -> tuple[dict, list[str]]:
 _FINE = 1 << 21  # slices per chunk at most; chunk ids are coarse * _FINE + slice
 
 
-def _split_bursts(df: DataFrame, keys, time_col: str, chunk_seconds: int,
+def _split_bursts(df: DataFrame, keys, time_col: str, chunk_seconds: int | None,
                   target_rows: int) -> DataFrame:
     """Give heavy (user, chunk) groups finer, time-ordered chunk ids.
 
@@ -127,29 +128,70 @@ def sequence_features(df: DataFrame, user_cols=USER_COLS, time_col: str = "click
     """Add the sequence columns named in ``outputs`` to every row of ``df``.
 
     ``label_col=None`` gives one attempt per user (no resets).
-    ``chunk_seconds=None`` picks the width with ``auto_chunk_seconds``.
+    ``chunk_seconds`` cuts every user's timeline by that width; by default
+    only users of more than ``target_chunk_rows`` clicks are cut, and none
+    are looked for when the whole log (``n_rows``, if known) is no larger.
     ``split_bursts`` cuts (user, chunk) groups holding more than
-    ``target_chunk_rows`` clicks into proportionally finer time slices; the
-    check is skipped when the whole log (``n_rows``, if known) is no larger
-    than the target.
+    ``target_chunk_rows`` clicks into proportionally finer time slices.
     """
-    if chunk_seconds is None:
-        n_rows, lo, hi = log_stats(df, time_col)
-        chunk_seconds = chunk_seconds_for(n_rows, lo, hi, target_chunk_rows)
-    if n_rows is not None and n_rows <= target_chunk_rows:
-        split_bursts = False
-    original = df.columns
+    keep = [c for c in df.columns if c not in outputs]
     key_cols, keys = _non_null_keys(df, user_cols)
+    df = df.withColumns({**key_cols, "_lab": F.col(label_col) if label_col else F.lit(0)})
+    order = [F.col(time_col).asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in order_cols]
+    one_chunk = n_rows is not None and n_rows <= target_chunk_rows
+
+    def chunked(rows: DataFrame, width) -> DataFrame:
+        rows = rows.withColumn("_chunk", F.floor(epoch_seconds(time_col) / width).cast("long"))
+        if split_bursts and not one_chunk:
+            rows = _split_bursts(rows, keys, time_col, chunk_seconds, target_chunk_rows)
+        return _scan_chunks(rows, keys, time_col, order, keep, outputs)
+
+    if chunk_seconds is not None:
+        return chunked(df, F.lit(chunk_seconds))
+    if one_chunk:
+        return _scan_users(df, keys, time_col, order, keep, outputs)
+    heavy = materialised(_heavy_users(df, keys, time_col, target_chunk_rows), "heavy-users")
+    n_heavy = heavy.count()
+    if n_heavy == 0:
+        return _scan_users(df, keys, time_col, order, keep, outputs)
+    heavy = maybe_broadcast(heavy, n_heavy)
+    light = df.join(heavy.select(*keys), on=keys, how="left_anti")
+    return _scan_users(light, keys, time_col, order, keep, outputs).unionByName(
+        chunked(df.join(heavy, on=keys), F.col("_width")))
+
+
+def _heavy_users(df: DataFrame, keys, time_col: str, target_rows: int) -> DataFrame:
+    """Users of more than ``target_rows`` clicks with the chunk width (seconds)
+    that gives about ``target_rows`` clicks a chunk when evenly spread."""
+    t = epoch_seconds(time_col)
+    users = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), (F.max(t) - F.min(t) + 1).alias("_span"))
+    width = F.greatest(F.floor(F.coalesce("_span", F.lit(1)) * F.lit(target_rows) / F.col("_n")), F.lit(1))
+    return users.where(F.col("_n") > target_rows).select(*keys, width.cast("long").alias("_width"))
+
+
+def _scan_users(df: DataFrame, keys, time_col: str, order, keep, outputs) -> DataFrame:
+    """The sequence columns by one window per user."""
+    w = Window.partitionBy(*keys).orderBy(*order)
     df = df.withColumns({
-        **key_cols,
-        "_lab": F.col(label_col) if label_col else F.lit(0),
-        "_chunk": F.floor(epoch_seconds(time_col) / F.lit(chunk_seconds)).cast("long"),
+        "_prev": F.lag("_lab").over(w),
+        "_attempt": F.coalesce(
+            F.sum("_lab").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"),
     })
-    if split_bursts:
-        df = _split_bursts(df, keys, time_col, chunk_seconds, target_chunk_rows)
+    wa = Window.partitionBy(*keys, "_attempt").orderBy(*order)
+    start = F.first(time_col).over(wa)
+    cols = {
+        "prev_label": F.col("_prev"),
+        "times_attributed": F.col("_attempt"),
+        "n_previous_clicks": (F.row_number().over(wa) - 1).cast("long"),
+        "click_time_diff": F.abs(epoch_seconds(time_col) - epoch_seconds(start)) / F.lit(60),
+    }
+    return df.select(*keep, *[cols[name].alias(name) for name in outputs])
+
+
+def _scan_chunks(df: DataFrame, keys, time_col: str, order, keep, outputs) -> DataFrame:
+    """The sequence columns by windows per (user, ``_chunk``) and a carry from chunk to chunk."""
     df = df.withColumn("_chunk", F.coalesce("_chunk", F.lit(_NULL_CHUNK)))
     part = keys + ["_chunk"]
-    order = [F.col(time_col).asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in order_cols]
 
     # 1. Within each (user, chunk): position, previous label, local attempt id.
     wc = Window.partitionBy(*part).orderBy(*order)
@@ -213,7 +255,6 @@ def sequence_features(df: DataFrame, user_cols=USER_COLS, time_col: str = "click
                               .otherwise(F.col("_open_rows") + F.col("_rn2") - 1).cast("long"),
         "click_time_diff": F.abs(epoch_seconds(time_col) - epoch_seconds(start)) / F.lit(60),
     }
-    keep = [c for c in original if c not in outputs]
     return out.select(*keep, *[cols[name].alias(name) for name in outputs])
 
 

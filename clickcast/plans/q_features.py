@@ -15,7 +15,7 @@ from clickcast.plans import scoring, training
 from clickcast.plans.catalog import register
 from clickcast.plans.q_sequence import TRAINING_SQL, _scoring_sql
 from clickcast.plans.sqlbits import TIME_FEATURES, score_cols, score_joins, scores, sequence
-from clickcast.session import checkpoint_root
+from clickcast.session import checkpoint_root, materialised
 from clickcast.sources.clicks import clicks_from_events
 
 SEED = sa.SEED
@@ -283,7 +283,8 @@ def _scored(spark, sf):
     s = F.col(SCORES[0])
     for c in SCORES[1:]:
         s = s + F.col(c)
-    return f.withColumn("score", s)
+    # Written once: the cut-off, the predictions and every metric read it.
+    return materialised(f.select("click_id", "is_attributed", s.alias("score")), "scored")
 
 
 def _predicted(scored):
@@ -427,17 +428,15 @@ def evaluation_report(spark, sf):
     pred = _predicted(_scored(spark, sf))
     dev = sa.stratified_split(pred).where(F.col("split") == "dev")
     rep = ev.classification_report(dev)
-    pick = [("accuracy", "accuracy", "f1"), ("precision", "1", "precision"),
-            ("recall", "1", "recall"), ("f1", "1", "f1"), ("support", "accuracy", "support")]
-    parts = [rep.where(F.col("class") == cls).select(F.lit(name).alias("metric"),
-                                                     F.col(col).cast("double").alias("value"))
-             for name, cls, col in pick]
-    parts.append(ev.roc_auc(dev).select(F.lit("roc_auc").alias("metric"),
-                                        F.col("roc_auc").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def lines(*names):
+        return F.array(*[F.struct(F.lit(name).alias("metric"), F.col(c).cast("double").alias("value"))
+                         for name, c in names])
+
+    picked = F.when(F.col("class") == "accuracy", lines(("accuracy", "f1"), ("support", "support"))).when(
+        F.col("class") == "1", lines(("precision", "precision"), ("recall", "recall"), ("f1", "f1")))
+    return rep.select(F.inline(picked)).unionByName(
+        ev.roc_auc(dev).select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value")))
 
 
 # ---------------------------------------------------------------- models

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clickcast.functions.calendar import hour_of_day, weekday_abbr
 from clickcast.operators.joins import DEFAULT_BROADCAST_ROWS, maybe_broadcast, measured
 from clickcast.operators.scores import CATEGORY_COLS, label_counts, score_for, scores_from_counts
-from clickcast.operators.sequence import chunk_seconds_for, sequence_features
+from clickcast.operators.sequence import sequence_features
 
 TIME_FEATURE_COLS = (
     "ip", "app", "device", "os", "channel", "click_time", "click_time_wday",
@@ -50,10 +50,10 @@ def training_features(clicks: DataFrame, chunk_seconds: int | None = None,
     """Calendar + sequence features + the four category scores.
 
     Unless a fitted long score table is given, one scan of ``clicks``
-    yields the label counts of all four keys together with the log's size
-    and time range; that small table is kept, and one job reads from it both
-    the chunk width of the sequence scan and the score table's row count,
-    which decides the broadcast.  Inner joins drop clicks with null or
+    yields the label counts of all four keys together with the log's size;
+    that small table is kept, and one job reads from it both the log's size
+    (which tells whether any user can be too heavy for one window) and the
+    score table's row count, which decides the broadcast.  Inner joins drop clicks with null or
     unseen keys.
     """
     if scores is None:
@@ -61,12 +61,8 @@ def training_features(clicks: DataFrame, chunk_seconds: int | None = None,
         counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
         facts = {r["is_log"]: r for r in counts.groupBy(
             (F.col("dim") == "_log").alias("is_log")).agg(
-                F.count(F.lit(1)).alias("rows"), F.max("_n").alias("n"),
-                F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).collect()}
-        log = facts.get(True)
-        n_rows = log["n"] if log is not None else 0
-        if chunk_seconds is None and log is not None:
-            chunk_seconds = chunk_seconds_for(log["n"], log["lo"], log["hi"], target_chunk_rows)
+                F.count(F.lit(1)).alias("rows"), F.max("_n").alias("n")).collect()}
+        n_rows = facts[True]["n"] if True in facts else 0
         long = scores_from_counts(counts)
         n = facts[False]["rows"] if False in facts else 0
     else:

@@ -7,6 +7,8 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from clickcast.operators.sequence import sequence_features
+from clickcast.sources.clicks import clicks_from_events
 from tests.conftest import SF01
 
 Q = entry.queries()
@@ -47,8 +49,12 @@ def window_nodes(p: str):
     return out
 
 
-def test_sequence_windows_never_span_a_whole_user(no_aqe):
-    nodes = window_nodes(plan(Q["training_features"](no_aqe, SF01)))
+def heavy_plan(spark, **options):
+    return plan(sequence_features(clicks_from_events(spark, SF01), **options))
+
+
+def test_sequence_windows_of_cut_users_never_span_a_whole_user(no_aqe):
+    nodes = window_nodes(heavy_plan(no_aqe, chunk_seconds=86_400))
     row_level = [(i, p) for i, p in nodes if "click_id" in i]
     per_user = [(i, p) for i, p in nodes if "_chunk" not in p]
     assert row_level and per_user
@@ -58,6 +64,14 @@ def test_sequence_windows_never_span_a_whole_user(no_aqe):
     assert all("click_id" not in i for i, _ in per_user)
 
 
+def test_only_heavy_users_are_cut(no_aqe):
+    """Users within the target take one window without summary and join; those above take the chunk path."""
+    light = heavy_plan(no_aqe, target_chunk_rows=1_000_000)
+    assert "_chunk" not in light and "Join" not in light
+    both = heavy_plan(no_aqe, target_chunk_rows=15)
+    assert "LeftAnti" in both and "_chunk" in both
+
+
 def test_flagship_scan_is_pruned_and_scores_broadcast(no_aqe):
     p = plan(Q["training_features"](no_aqe, SF01))
     schemas = re.findall(r"ReadSchema: struct<(.*?)>", p)

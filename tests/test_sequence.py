@@ -124,3 +124,18 @@ def test_burst_of_one_user_is_split_and_exact(spark, duck):
     keyed = burst.withColumns({"_k0": F.col("ip"), "_chunk": F.lit(0).cast("long")})
     cut = seqmod._split_bursts(keyed, ["_k0"], "click_time", 86_400, 500)
     assert cut.select("_chunk").distinct().count() >= 15
+
+
+@pytest.mark.parametrize("target", [3, 12])
+def test_heavy_users_equal_the_single_window(spark, target):
+    """Some users above the target, some not: the same rows as one window per user."""
+    clicks = clicks_from_events(spark, SF01)
+    sizes = [r["count"] for r in clicks.groupBy("ip", "device", "os").count().collect()]
+    assert max(sizes) > target >= min(sizes)
+
+    def rows(**options):
+        out = sequence_features(clicks, outputs=OUT, **options).select(
+            "click_id", *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in OUT])
+        return sorted(tuple(r) for r in out.collect())
+
+    assert rows(target_chunk_rows=target) == rows(n_rows=0)
