@@ -5,9 +5,14 @@ and units (after a number) turn into typed placeholders, other words are
 lower-cased and stripped of punctuation.  Windows of ``WINDOW`` template words
 are hash-joined with the benchmark's.  The placeholders' values of all windows
 on one alignment of a document and an item must be consistent: one item value
-stands for one document value and the other way round.  A document leaks an
-item if consistent windows make up ``MIN_SHARE`` of the item's windows, so a
-copy with other numbers, names or units is found as well (``reparameterised``).
+stands for one document value and the other way round.  The windows of all
+consistent alignments count together, so a copy with words added, left out or
+replaced is one copy.  A document leaks an item if they make up ``MIN_SHARE`` of
+the item's windows, if those with equal values hold ``MIN_SHARE`` of its words,
+or if ``MIN_RUN`` words follow one another verbatim (on an alignment that is not
+consistent: two windows), whatever their share.  A copy with other numbers,
+names or units is found as well (``reparameterised``: what is literal does not
+reach the share).
 
 Defined results: null and empty texts leak nothing.  An item shorter than a
 window is one window of its own length.  Windows with fewer than half plain
@@ -27,6 +32,7 @@ from clickcast.llm.common import table, without, written
 
 WINDOW = 8
 MIN_SHARE = 0.5
+MIN_RUN = 13
 MAX_BROADCAST_WINDOWS = 500_000
 
 #: Words that stand for numbers, and units.
@@ -89,7 +95,7 @@ def windows(words_: Column, length: int) -> Column:
 
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE,
-          max_broadcast: int = MAX_BROADCAST_WINDOWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+          min_run: int = MIN_RUN, max_broadcast: int = MAX_BROADCAST_WINDOWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, share, n_slots, reparameterised), a row per leaked item of a document."""
     spark = docs.sparkSession
     known = items.select("item_id", template(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -106,11 +112,14 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_share: fl
         theirs = docs.select(F.col(doc_id).alias("doc_id"), F.explode(
             windows(template(F.col(text)), n)).alias("x")).select(
             "doc_id", F.col("x.h").alias("h"), F.col("x.p").alias("doc_at"), F.col("x.s").alias("doc_slots"))
-        total = own.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_item"))
+        total = own.groupBy("item_id").agg(
+            F.count_distinct("item_at").alias("n_item"), (F.max("item_at") + n).alias("n_words"))
         part = theirs.join(own, "h").groupBy(
             "doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
             F.collect_set("item_at").alias("at"),
-            F.collect_set(F.struct("item_slots", "doc_slots")).alias("pairs")).join(F.broadcast(total), "item_id")
+            F.collect_set(F.when(F.col("item_slots") == F.col("doc_slots"), F.col("item_at"))).alias("exact"),
+            F.collect_set(F.struct("item_slots", "doc_slots")).alias("pairs")).join(
+            F.broadcast(total), "item_id").withColumn("n", F.lit(n))
         found = part if found is None else found.unionByName(part)
     schema = "doc_id long, item_id long, n_windows int, share double, n_slots int, reparameterised boolean"
     if found is None:
@@ -120,17 +129,37 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_share: fl
         return F.zip_with(F.split(p["item_slots"], "\x01"), F.split(p["doc_slots"], "\x01"),
                           lambda i, d: F.struct(i.alias("i"), d.alias("d")))
 
+    def run(length: int) -> Column:
+        """Whether ``exact`` has consecutive windows that make up ``length`` words."""
+        more = F.lit(length) - F.col("n")
+        return F.exists(positions(F.size("exact") - more), lambda i: F.get("exact", i + more) - F.get("exact", i) == more)
+
+    def union(name: str, where: Column | None = None) -> Column:
+        column = F.col(name) if where is None else F.when(where, F.col(name))
+        return F.array_distinct(F.flatten(F.collect_list(column)))
+
     pairs = F.array_distinct(F.flatten(F.transform(F.filter("pairs", lambda p: p["item_slots"] != ""), zipped)))
-    judged = found.select("doc_id", "item_id", F.size("at").alias("n_windows"), "n_item", pairs.alias("pairs"))
+    shifts = found.withColumns({"pairs": pairs, "exact": F.array_sort("exact")})
     item_values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
     doc_values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"])))
-    judged = judged.where((item_values == F.size("pairs")) & (doc_values == F.size("pairs"))).select(
-        "doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("n_item")).alias("share"),
-        F.size("pairs").alias("n_slots"), F.exists("pairs", lambda p: p["i"] != p["d"]).alias("reparameterised"))
-    best = judged.where(F.col("share") >= min_share).groupBy("doc_id", "item_id").agg(F.max_by(
-        F.struct("n_windows", "share", "n_slots", "reparameterised"),
-        F.struct("n_windows", ~F.col("reparameterised"), "n_slots")).alias("b"))
-    return best.select("doc_id", "item_id", "b.*")
+    fits = (item_values == F.size("pairs")) & (doc_values == F.size("pairs"))
+    same = F.filter("pairs", lambda p: p["i"] == p["d"])
+    shifts = shifts.withColumns({
+        "fits": fits, "long": F.when(fits, run(min_run)).otherwise(run(max(min_run, 2 * window)))}).where(
+        F.col("fits") | F.col("long")).withColumns({
+            "at": F.when(F.col("fits"), F.col("at")).otherwise(F.col("exact")),
+            "pairs": F.when(F.col("fits"), F.col("pairs")).otherwise(same)})
+    literal = ~F.exists("pairs", lambda p: p["i"] != p["d"])
+    judged = shifts.groupBy("doc_id", "item_id", "n_item", "n_words", "n").agg(
+        union("at").alias("at"), union("exact").alias("exact"), union("at", literal).alias("literal"),
+        union("pairs").alias("pairs"), F.max("long").alias("long"))
+    read = F.size(F.array_distinct(F.flatten(F.transform(
+        "exact", lambda p: F.sequence(p, p + F.col("n") - 1)))))
+    share, alone = F.size("at") / F.col("n_item"), F.size("literal") / F.col("n_item")
+    return judged.where((share >= min_share) | (read / F.col("n_words") >= min_share) | F.col("long")).select(
+        "doc_id", "item_id", F.size("at").alias("n_windows"), share.alias("share"),
+        F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))).alias("n_slots"),
+        ((alone < min_share) & F.exists("pairs", lambda p: p["i"] != p["d"])).alias("reparameterised"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:

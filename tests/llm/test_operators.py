@@ -220,6 +220,26 @@ def test_benchmark_passages_of_the_tables(spark):
     assert want <= got
 
 
+def test_leaks_over_several_alignments_and_long_quotes(spark):
+    word = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    text = {1: word[:59], 2: word[60:90], 3: word[100:116]}
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in text.items()], "item_id long, text string")
+    docs, want = [], set()
+    for i, w in text.items():
+        m = len(w) // 2
+        for k, edited in enumerate([w[:m] + ["zz"] + w[m:], w[:m] + w[m + 1:], w[:m] + ["zz"] + w[m + 1:]]):
+            if len(edited) < 16:
+                continue  # 8 + 7 words
+            docs.append((10 * i + k, " ".join(["aa", *edited, "bb"])))
+            want.add((10 * i + k, i))
+    docs += [(100, " ".join(["aa", *word[20:40], "bb"])), (101, " ".join(["aa", *word[20:32], "bb"]))]
+    docs += [(102, " ".join(word[:40]) + " 8 " + " ".join(word[:5]))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, items).collect()}
+    assert set(got) == want | {(100, 1), (102, 1)} and not any(r.reparameterised for r in got.values())
+    assert got[10, 1].n_windows == 45 and got[100, 1].n_windows == 13  # 52 windows less those over the gap
+
+
 # --- winnowing
 
 def test_winnowing_equals_brute_force(spark, odd_docs, no_docs):
