@@ -16,9 +16,11 @@ reach the share).
 
 Defined results: null and empty texts leak nothing.  An item shorter than a
 window is one window of its own length.  Windows with fewer than half plain
-words are not used; an item that has no others cannot leak.  Rows with the same
-id count as one document.  Repeated items are reported by their ids.  Empty
-tables: no rows.  Extra columns are ignored (report) or kept (filter).
+words match by their values only: they tell verbatim copies, and
+``MIN_SHARE`` of the other windows is enough for one with other values, which
+an item that has no others cannot have.  Rows with the same id count as one
+document.  Repeated items are reported by their ids.  Empty tables: no rows.
+Extra columns are ignored (report) or kept (filter).
 """
 
 from __future__ import annotations
@@ -101,24 +103,37 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_share: fl
     known = items.select("item_id", template(F.col("text")).alias("w")).where(F.size("w") > 0)
     lengths = sorted(r[0] for r in known.select(F.least(F.size("w"), F.lit(window))).distinct().collect())
     found = None
+
+    def keyed(frame: DataFrame, slots: str, n: int) -> DataFrame:
+        """Windows with more than half placeholders (``heavy``) match by their values as well."""
+        value = F.col(slots)
+        count = F.when(value == "", 0).otherwise(F.length(value) - F.length(F.translate(value, "\x01", "")) + 1)
+        return frame.withColumn("heavy", 2 * count > n).withColumn(
+            "h", F.when(F.col("heavy"), F.xxhash64("h", slots)).otherwise(F.col("h")))
+
+    def plain(value) -> Column:
+        return F.when(~F.col("heavy"), F.col(value) if isinstance(value, str) else value)
+
     for n in lengths:  # the window length, and those of shorter items: at most `window` values
         whole = F.size("w") >= n if n == window else F.size("w") == n
         own = known.where(whole).select("item_id", F.explode(windows(F.col("w"), n)).alias("x")).select(
             "item_id", F.col("x.h").alias("h"), F.col("x.p").alias("item_at"), F.col("x.s").alias("item_slots"))
-        slots = F.when(F.col("item_slots") == "", 0).otherwise(F.size(F.split("item_slots", "\x01")))
-        own = written(spark, own.where(2 * slots <= n), "item-windows")
+        own = written(spark, keyed(own, "item_slots", n), "item-windows")
         if own.count() <= max_broadcast:
             own = F.broadcast(own)
         theirs = docs.select(F.col(doc_id).alias("doc_id"), F.explode(
             windows(template(F.col(text)), n)).alias("x")).select(
             "doc_id", F.col("x.h").alias("h"), F.col("x.p").alias("doc_at"), F.col("x.s").alias("doc_slots"))
+        theirs = keyed(theirs, "doc_slots", n).drop("heavy")
         total = own.groupBy("item_id").agg(
-            F.count_distinct("item_at").alias("n_item"), (F.max("item_at") + n).alias("n_words"))
+            F.count_distinct("item_at").alias("n_item"), F.count_distinct(plain("item_at")).alias("n_plain"),
+            (F.max("item_at") + n).alias("n_words"))
         part = theirs.join(own, "h").groupBy(
             "doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
-            F.collect_set("item_at").alias("at"),
+            F.collect_set("item_at").alias("at"), F.collect_set(plain("item_at")).alias("plain"),
             F.collect_set(F.when(F.col("item_slots") == F.col("doc_slots"), F.col("item_at"))).alias("exact"),
-            F.collect_set(F.struct("item_slots", "doc_slots")).alias("pairs")).join(
+            F.collect_set(plain(F.struct("item_slots", "doc_slots"))).alias("pairs"),
+            F.collect_set(F.when(F.col("heavy"), F.col("item_slots"))).alias("heavy")).join(
             F.broadcast(total), "item_id").withColumn("n", F.lit(n))
         found = part if found is None else found.unionByName(part)
     schema = "doc_id long, item_id long, n_windows int, share double, n_slots int, reparameterised boolean"
@@ -139,7 +154,8 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_share: fl
         return F.array_distinct(F.flatten(F.collect_list(column)))
 
     pairs = F.array_distinct(F.flatten(F.transform(F.filter("pairs", lambda p: p["item_slots"] != ""), zipped)))
-    shifts = found.withColumns({"pairs": pairs, "exact": F.array_sort("exact")})
+    values = F.array_distinct(F.flatten(F.transform("heavy", lambda v: F.split(v, "\x01"))))
+    shifts = found.withColumns({"pairs": pairs, "heavy": values, "exact": F.array_sort("exact")})
     item_values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
     doc_values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"])))
     fits = (item_values == F.size("pairs")) & (doc_values == F.size("pairs"))
@@ -148,17 +164,20 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_share: fl
         "fits": fits, "long": F.when(fits, run(min_run)).otherwise(run(max(min_run, 2 * window)))}).where(
         F.col("fits") | F.col("long")).withColumns({
             "at": F.when(F.col("fits"), F.col("at")).otherwise(F.col("exact")),
+            "plain": F.when(F.col("fits"), F.col("plain")).otherwise(F.array_intersect("plain", "exact")),
             "pairs": F.when(F.col("fits"), F.col("pairs")).otherwise(same)})
     literal = ~F.exists("pairs", lambda p: p["i"] != p["d"])
-    judged = shifts.groupBy("doc_id", "item_id", "n_item", "n_words", "n").agg(
-        union("at").alias("at"), union("exact").alias("exact"), union("at", literal).alias("literal"),
+    judged = shifts.groupBy("doc_id", "item_id", "n_item", "n_plain", "n_words", "n").agg(
+        union("at").alias("at"), union("plain").alias("plain"), union("heavy").alias("heavy"),
+        union("exact").alias("exact"), union("at", literal).alias("literal"),
         union("pairs").alias("pairs"), F.max("long").alias("long"))
     read = F.size(F.array_distinct(F.flatten(F.transform(
         "exact", lambda p: F.sequence(p, p + F.col("n") - 1)))))
     share, alone = F.size("at") / F.col("n_item"), F.size("literal") / F.col("n_item")
-    return judged.where((share >= min_share) | (read / F.col("n_words") >= min_share) | F.col("long")).select(
+    by_plain = F.coalesce(F.try_divide(F.size("plain"), F.col("n_plain")) >= min_share, F.lit(False))
+    return judged.where((share >= min_share) | by_plain | (read / F.col("n_words") >= min_share) | F.col("long")).select(
         "doc_id", "item_id", F.size("at").alias("n_windows"), share.alias("share"),
-        F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))).alias("n_slots"),
+        F.size(F.array_union(F.transform("pairs", lambda p: p["i"]), "heavy")).alias("n_slots"),
         ((alone < min_share) & F.exists("pairs", lambda p: p["i"] != p["d"])).alias("reparameterised"))
 
 

@@ -240,6 +240,23 @@ def test_leaks_over_several_alignments_and_long_quotes(spark):
     assert got[10, 1].n_windows == 45 and got[100, 1].n_windows == 13  # 52 windows less those over the gap
 
 
+def test_items_full_of_placeholders_leak_verbatim(spark):
+    units = "Add 3 km 5 kg 7 hours 9 cm 11 days 12 miles 14 grams 15 feet"
+    names = "the guests Anna Berg Carl Dahl Emil Frost Greta Holm Ida Jansson Karl Lund"
+    half = "so we ask how many of them are left now when they add 21 tons 22 cents 23 yards 24 inches 25 weeks 26 litres"
+    items = spark.createDataFrame([(1, units), (2, names), (3, half), (4, "12 km")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "before. " + units + " after"), (2, "before . " + names + " after"),
+        (3, "before . " + half.replace("21", "31").replace("22", "32") + " after"),
+        (4, "before . " + units.replace("3", "33").replace("5", "55").replace("9", "99").replace("11", "1").replace("14", "41")),
+        (5, "before . " + names.replace("Carl", "Otto").replace("Ida", "Eva").replace("Emil", "Sven")),
+        (6, "runs 12 km now"), (7, "runs 13 km now")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, items).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (6, 4)}
+    assert got[1, 1].share == got[2, 2].share == 1.0 and got[3, 3].reparameterised and not got[1, 1].reparameterised
+    assert got[2, 2].n_slots == 12 and got[6, 4].n_slots == 2
+
+
 # --- winnowing
 
 def test_winnowing_equals_brute_force(spark, odd_docs, no_docs):
