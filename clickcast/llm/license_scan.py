@@ -5,7 +5,10 @@ ends), each normalised to lower-case words.  Known licence sentences turn into
 their identifiers; the identifier sequence of a document is matched against the
 ordered rules: a rule fits if its identifiers follow one another among the
 document's known sentences.  The text is also cut without regard to line ends,
-so that a licence wrapped over lines is found.
+so that a licence wrapped over lines is found.  In a third reading a known
+sentence may hold cuts: it starts and ends at any of them and its words follow
+one another, so a licence is found whose sentences hold a cut themselves
+(``v. 2.0``), follow a line without a full stop or run on after a blank line.
 
 Defined results: null, empty and other texts without a known sentence get empty
 sequences, no licence and no rule.  Repeated rows are judged alike, long texts
@@ -82,13 +85,26 @@ def normalise(sentence: str) -> str:
     return re.sub(r"[^\w\x01]+|_+", " ", re.sub(END, "\x01", low)).strip("\x01 ")
 
 
-def sentences(text: Column, end: str) -> Column:
-    """Normalised sentences, in order."""
+def cut(text: Column, end: str) -> Column:
+    """Normalised text with a mark at each cut."""
     low = F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
-    plain = F.regexp_replace(F.regexp_replace(low, end, "\x01"), NOT_WORD, " ")
+    return F.regexp_replace(F.regexp_replace(low, end, "\x01"), NOT_WORD, " ")
+
+
+def sentences(plain: Column) -> Column:
+    """Normalised sentences of a cut text, in order."""
     return F.transform(F.split(plain, "\x01"), lambda s: F.trim(s))
 
 
+def running(plain: Column, known: list[str]) -> Column:
+    """Known sentences of a cut text, in order, that start and end at a mark and may hold others."""
+    longest = sorted(known, key=len, reverse=True)
+    words = "|".join(s.replace(" ", r"[ \x01]+") for s in longest)
+    hits = F.regexp_extract_all(F.concat(F.lit("\x01"), plain, F.lit("\x01")),
+                                F.lit(rf"\x01 ?({words})(?= ?\x01)"), F.lit(1))
+    return F.transform(hits, lambda s: F.regexp_replace(s, r"[ \x01]+", " "))
+
+
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus ``sentence_ids``, ``licenses`` (all, in rule order), ``license`` and ``rule`` (the first)."""
     ids: dict[str, str] = {}
@@ -97,23 +113,33 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     known = list(ids)
     names = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
 
-    def sequence(end: str) -> Column:
-        hit = F.filter(sentences(F.col(text), end), lambda s: s.isin(known))
+    whole = {k.replace("\x01", " "): name for k, name in ids.items()}
+    whole_names = F.create_map(*[F.lit(x) for pair in whole.items() for x in pair])
+
+    def sequence(hit: Column, names: Column) -> Column:
         return F.concat(F.lit(","), F.array_join(F.transform(hit, lambda s: F.element_at(names, s)), ","), F.lit(","))
 
-    marked = docs.withColumn("_lines", sequence(END_OR_LINE)).withColumn("_wrapped", sequence(END))
+    def listed(plain: Column) -> Column:
+        return sequence(F.filter(sentences(plain), lambda s: s.isin(known)), names)
+
+    marked = docs.withColumns({
+        "_cut": let(cut(F.col(text), END_OR_LINE), lambda p: F.struct(
+            listed(p).alias("lines"), sequence(running(p, list(whole)), whole_names).alias("running"))),
+        "_wrapped": listed(cut(F.col(text), END))})
+    marked = marked.withColumns({"_lines": F.col("_cut.lines"), "_running": F.col("_cut.running")}).drop("_cut")
     fits = F.array_compact(F.array(*[
-        F.when(F.contains(F.concat("_lines", F.lit(";"), "_wrapped"), F.lit("," + ",".join(rule) + ",")),
+        F.when(F.contains(F.concat_ws(";", "_lines", "_wrapped", "_running"), F.lit("," + ",".join(rule) + ",")),
                F.struct(F.lit(name).alias("rule"), F.lit(licence).alias("license")))
         for name, licence, rule in RULES]))
     found = marked.withColumn("_fits", fits)
     seen = F.when(F.length("_wrapped") > F.length("_lines"), F.col("_wrapped")).otherwise(F.col("_lines"))
+    seen = F.when(F.length("_running") > F.length(seen), F.col("_running")).otherwise(seen)
     return found.withColumns({
         "sentence_ids": F.trim(seen, F.lit(",")),
         "licenses": F.array_join(F.array_distinct(F.transform("_fits", lambda x: x["license"])), ","),
         "license": F.get("_fits", F.lit(0))["license"],
         "rule": F.get("_fits", F.lit(0))["rule"],
-    }).drop("_lines", "_wrapped", "_fits")
+    }).drop("_lines", "_wrapped", "_running", "_fits")
 
 
 def _sql() -> str:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -299,6 +300,32 @@ def test_license_scan(spark, odd_docs, no_docs):
     assert license_scan.scan_licenses(no_docs).count() == 0
 
 
+def test_every_license_rule_fits_its_wrapped_text(spark):
+    texts = {name: "Copyright 2020 A B\n\n" + "\n".join(
+        textwrap.fill(license_scan.SENTENCES[k], 40) for k in ids) + "\n\nmore of it" for name, _, ids in license_scan.RULES}
+    apache = """/*
+     * Copyright 2020 A B
+     *
+     * Licensed under the Apache License, Version 2.0 (the "License");
+     * you may not use this file except in compliance with the License.
+     * You may obtain a copy of the License at
+     *
+     *     http://www.apache.org/licenses/LICENSE-2.0
+     *
+     * Unless required by applicable law or agreed to in writing, software
+     */"""
+    more = {"apache-header": apache, "apache-header ": apache.replace(" * ", "").replace(" *", "")}
+    more["mpl2-notice"] = ("This Source Code Form is subject to the terms of the Mozilla Public\r\n"
+                           "License, v. 2.0. If a copy of the MPL was not distributed with this file")
+    more["gpl3-free"] = license_scan.SENTENCES["gpl-free"]
+    rows = [*texts.items(), *more.items()]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.rule for r in license_scan.scan_licenses(df).collect()}
+    assert got == {i: name.strip() for i, (name, _) in enumerate(rows)}
+    other = "This program is free software\nand you can redistribute it. Released under the MIT License by none."
+    assert license_scan.scan_licenses(spark.createDataFrame([(1, other)], "doc_id long, text string")).first()["rule"] is None
+
+
 # --- packing
 
 def test_pieces_equal_direct_encoding_and_pack_gaplessly(spark, odd_docs, no_docs):
