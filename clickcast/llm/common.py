@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickcast.session import scratch_path
@@ -44,6 +44,24 @@ def without(docs: DataFrame, ids: DataFrame, max_broadcast: int = 500_000) -> Da
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 
+def join_hot(rows: DataFrame, entries: DataFrame, on: list[str], spread: Column, how: str = "inner",
+             target: int = 10_000, max_hot: int = 2_000) -> DataFrame:
+    """Join ``rows`` to ``entries``, whose column ``n`` says how many rows want each (unique) entry.
+
+    An entry wanted by more than ``target`` rows, and by more than a ``max_hot``-th of all, is
+    copied over salts, and its rows are dealt over them by ``spread``.  At most ``max_hot``
+    entries are that hot, so their list is broadcast.  The result has no column ``n`` of entries.
+    """
+    total = entries.agg(F.sum("n")).first()[0] or 0
+    share = max(float(target), total / max_hot)
+    sized = entries.withColumn("_salts", F.greatest(F.lit(1), F.ceil(F.col("n") / share)).cast("int"))
+    hot = F.broadcast(sized.where("_salts > 1").select(*on, "_salts"))
+    dealt = rows.join(hot, on, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    copies = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts", "n")
+    return dealt.join(copies.hint("shuffle_merge"), [*on, "_salt"], how).drop("_salt")
+
+
 def text_chunks(texts, max_chars: int):
     """Yield (start, end) row ranges whose texts hold about ``max_chars``.
 

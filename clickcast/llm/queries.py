@@ -1,6 +1,7 @@
 """All training-data queries, registered by importing their modules."""
 
 from clickcast.llm import (  # noqa: F401
+    chunked_bpe,
     cotraining,
     decontaminate,
     language_id,
