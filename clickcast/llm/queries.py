@@ -8,6 +8,7 @@ from clickcast.llm import (  # noqa: F401
     license_scan,
     near_dedup,
     packing,
+    spelling,
     suffix_dedup,
     url_filter,
     warc,
