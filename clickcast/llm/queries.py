@@ -2,6 +2,7 @@
 
 from clickcast.llm import (  # noqa: F401
     chunked_bpe,
+    conversation_repair,
     cotraining,
     decontaminate,
     language_id,
