@@ -18,8 +18,6 @@ Empty table: no rows.  Extra columns are ignored.
 from __future__ import annotations
 
 import math
-import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,91 +28,14 @@ from pyspark.sql import functions as F
 
 from clickcast.llm.catalog import register
 from clickcast.llm.common import table, text_chunks, written
+from clickcast.llm.word_ids import BATCH_CHARS, default_vocabulary, word_ids
 
 CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 16384
-BATCH_CHARS = 1 << 21
-MAX_CACHED_WORDS = 800_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long"
 
 
-def default_vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-class WordTokenizer:
-    """Encodes texts word by word, keeping the ids of words seen before.
-
-    For a vocabulary that drops white space, the ids of a text are those of its
-    words one after the other.  New words are encoded together in one text, with
-    a control character as a word of its own between them.
-    """
-
-    MARK = "\x01"
-    SPACE = re.compile(r"[ \n\t\r]+")
-    NOT_SPACE = re.compile("[\x1c-\x1f]")  # split() takes these for white space, the vocabulary doesn't
-    TAIL = ".,;:!?"
-
-    def __init__(self, vocabulary: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        mark = self._ids(self.MARK)
-        if len(mark) != 1:
-            raise ValueError("the vocabulary must encode the mark as one id")
-        self.mark = mark[0]
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def _stem(self, word: str) -> tuple[str, str]:
-        """A word as (stem, closing punctuation): a letter always ends a token before punctuation."""
-        stem = word.rstrip(self.TAIL)
-        if stem and stem != word and stem[-1].lower().isalpha():
-            return (stem.lower() if stem.isascii() else stem), word[len(stem):]
-        return (word.lower() if word.isascii() and word.isalpha() else word), ""
-
-    def _learn(self, new: set[str]) -> None:
-        split = {w: self._stem(w) for w in new}
-        parts = {p for pair in split.values() for p in pair} - self.words.keys()
-        plain = [p for p in parts if self.MARK not in p and "<|" not in p]
-        if plain:
-            ids = self._ids(f" {self.MARK} ".join(plain))
-            raw, marks = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark)).tolist()
-            for p, a, b in zip(plain, [-4, *marks], [*marks, len(raw)], strict=True):
-                self.words[p] = raw[a + 4:b]
-        for p in parts.difference(plain):
-            self.words[p] = self._ids(p).tobytes()
-        for w, (stem, tail) in split.items():
-            self.words[w] = self.words[stem] + self.words[tail]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.words) > MAX_CACHED_WORDS:
-            self.words = {"": b""}
-        split = [self.SPACE.split(t) if self.NOT_SPACE.search(t) else t.split() for t in texts]
-        new = set().union(*split) - self.words.keys()
-        if new:
-            self._learn(new)
-        known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in split]
-
-
-#: One encoder a Python worker, so that its words outlive a task.
-_ENCODERS: dict[str, WordTokenizer] = {}
-
-
-def word_tokenizer(vocabulary: str) -> WordTokenizer:
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = WordTokenizer(vocabulary)
-    return _ENCODERS[vocabulary]
-
-
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID,
                  doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece of each document; ``slot`` numbers a task's rows."""
@@ -122,13 +43,14 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
     width = 4 * capacity
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, slot = word_tokenizer(vocabulary), 0
+        encode, slot = word_ids(vocabulary), 0
         for batch in batches:
             ids, texts = batch["doc_id"].tolist(), batch["text"].fillna("").tolist()
             for a, b in text_chunks(texts, BATCH_CHARS):
                 rows = []
-                for key, got in zip(ids[a:b], encode(texts[a:b])):
-                    got += end
+                found, bounds = encode(texts[a:b])
+                for key, first, last in zip(ids[a:b], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    got = found[first:last].tobytes() + end
                     for k, at in enumerate(range(0, len(got), width)):
                         part = got[at:at + width]
                         rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part), slot))

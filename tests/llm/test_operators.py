@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from clickcast.llm import cotraining, decontaminate, language_id, license_scan, near_dedup, packing, suffix_dedup
-from clickcast.llm import url_filter, warc, winnowing
+from clickcast.llm import url_filter, warc, winnowing, word_ids
 from tests.conftest import SF01
 
 NAMES = ["op1_url_filter", "op2_suffix_dedup", "op3_language_id", "op4_warc", "op5_cotraining", "op6_decontaminate",
@@ -335,9 +335,9 @@ def test_pieces_equal_direct_encoding_and_pack_gaplessly(spark, odd_docs, no_doc
     parts = ["The", "don't", "ünd", ".", "...", "x1", "12", "\u0301", " ", "\n", "\x01", "\x1c", "İ", "日本", "!?", "#"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(14))) for _ in range(3000)]
     direct = Tokenizer.from_file(packing.default_vocabulary())
-    encode = packing.WordTokenizer(packing.default_vocabulary())
-    for t, ids in zip(texts, encode(texts)):
-        assert np.frombuffer(ids, dtype="<u4").tolist() == direct.encode(t, add_special_tokens=False).ids
+    ids, bounds = word_ids.WordIds(packing.default_vocabulary())(texts)
+    for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:b].tolist() == direct.encode(t, add_special_tokens=False).ids
     got = packing.pack_documents(spark, odd_docs, packing.default_vocabulary()).toPandas()
     assert got.groupby("sequence_id")["length"].sum().max() <= 4096
     for _, seq in got.sort_values("offset").groupby("sequence_id"):
