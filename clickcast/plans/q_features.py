@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from clickcast.operators import boosting as bo
 from clickcast.operators import evaluate as ev
 from clickcast.operators import explore as ex
 from clickcast.operators import features as fe
-from clickcast.operators import models as mo
+from clickcast.operators import forest as fo
+from clickcast.operators import model_store as ms
 from clickcast.operators import sampling as sa
 from clickcast.operators import scores as sc
 from clickcast.plans import scoring, training
 from clickcast.plans.catalog import register
 from clickcast.plans.q_sequence import TRAINING_SQL, _scoring_sql
 from clickcast.plans.sqlbits import TIME_FEATURES, score_cols, score_joins, scores, sequence
-from clickcast.session import checkpoint_root, materialised
+from clickcast.session import materialised
 from clickcast.sources.clicks import clicks_from_events
 
 SEED = sa.SEED
@@ -185,7 +187,7 @@ def scoring_matrix(spark, sf):
 
 @register("assembled_features")
 def assembled_features(spark, sf):
-    return fe.assemble(fe.model_matrix(_extract(spark, sf)), mo.FEATURE_COLS).select(
+    return fe.assemble(fe.model_matrix(_extract(spark, sf)), fo.FEATURE_COLS).select(
         "click_id", "features")
 
 
@@ -441,60 +443,53 @@ def evaluation_report(spark, sf):
 
 # ---------------------------------------------------------------- models
 
-# Small grids for the registered queries; the full grids are mo.RF_GRID / mo.GBT_GRID.
-RF_SMALL = {"numTrees": [10], "maxDepth": [4, 8], "minWeightFractionPerNode": [0.025],
-            "minInfoGain": [0.001]}
-GBT_SMALL = {"maxIter": [10], "maxDepth": [4], "stepSize": [0.1], "minInfoGain": [0.01]}
+def _train_dev(spark, sf):
+    """The under-sampled, folded training rows, the dev rows, and their signature; made once for a log."""
+    made_from = ms.signature(clicks_from_events(spark, sf))
 
+    def split():
+        matrix = fe.model_matrix(_extract(spark, sf), keep=("click_id", "is_attributed"))
+        return sa.stratified_split(matrix)
 
-def _train_dev(spark, sf):
-    """Model matrix with split; the train split under-sampled and folded."""
-    checkpoint_root(spark)
-    matrix = fe.model_matrix(_extract(spark, sf), keep=("click_id", "is_attributed"))
-    # Written once to the checkpoint folder: model fitting passes over the
-    # data many times and must not recompute (or lose) the feature lineage.
-    split = sa.stratified_split(matrix).checkpoint(eager=True)
-    train = sa.stratified_folds(sa.undersample(split.where(F.col("split") == "train")))
-    dev = split.where(F.col("split") == "dev")
-    return train.checkpoint(eager=True), dev
+    rows = ms.stored_table(spark, "split", {"bands": sa.SPLIT_BANDS, "seed": sa.SEED}, made_from, split)
+    train = ms.stored_table(
+        spark, "train", {"bands": sa.SPLIT_BANDS, "seed": sa.SEED}, made_from,
+        lambda: sa.stratified_folds(sa.undersample(rows.where(F.col("split") == "train"))))
+    return train, rows.where(F.col("split") == "dev"), made_from
 
 
-def _best_forest(spark, sf):
-    train, dev = _train_dev(spark, sf)
-    model, rows = mo.grid_search(train, mo.forest(), RF_SMALL)
-    return model, rows, dev
+def _forest_scores(spark, sf):
+    """Out-of-fold scores of every grid point; the 15 forests behind them are grown once for a log."""
+    train, _, made_from = _train_dev(spark, sf)
+    return ms.stored(
+        spark, "forest-scores", fo.GRID, made_from,
+        lambda folder: fo.out_of_fold_scores(train, fo.GRID, folder).write.parquet(f"{folder}/rows"),
+        lambda folder: spark.read.parquet(f"{folder}/rows"))
 
 
-@register("rf_grid_search")
-def rf_grid_search(spark, sf):
-    _, rows, _ = _best_forest(spark, sf)
-    return mo.grid_results(spark, rows)
+def _forest_metrics(spark, sf):
+    made_from = ms.signature(clicks_from_events(spark, sf))
+    return ms.stored_table(spark, "forest-metrics", fo.GRID, made_from,
+                           lambda: fo.grid_metrics(_forest_scores(spark, sf), fo.GRID))
 
 
-@register("rf_predictions")
-def rf_predictions(spark, sf):
-    model, _, dev = _best_forest(spark, sf)
-    return mo.predict(model, dev)
+def _best(metrics):
+    """Number of the best grid point, the first among equals."""
+    return metrics.orderBy(F.col("roc_auc").desc(), "point").first()["point"]
 
 
-@register("gbt_predictions")
-def gbt_predictions(spark, sf):
-    train, dev = _train_dev(spark, sf)
-    est = mo.boosted(**{k: v[0] for k, v in GBT_SMALL.items()})
-    return mo.predict(mo.fit(train, est), dev)
+def _best_forest(spark, sf):
+    """The best point's forest, grown on all training rows once for a log; and the dev rows."""
+    train, dev, made_from = _train_dev(spark, sf)
+    point = fo.grid_points(fo.GRID)[_best(_forest_metrics(spark, sf))]
+    model = ms.stored(spark, "forest", point, made_from, lambda folder: fo.CutForest.fit(train, point, folder),
+                      lambda folder: fo.CutForest(spark, folder))
+    return model, dev
 
 
-@register("rf_fold_metrics")
-def rf_fold_metrics(spark, sf):
-    """Cross-validated roc_auc, accuracy, f1, precision and recall per fold
-    of the best forest's parameters, with their mean and population std."""
-    train, _ = _train_dev(spark, sf)
-    _, rows = mo.grid_search(train, mo.forest(), RF_SMALL)
-    best = max(rows, key=lambda r: r["roc_auc"])
-    params = {k: (int(v) if k in ("numTrees", "maxDepth") else v)
-              for k, v in best.items() if k != "roc_auc"}
-    oof = mo.cross_validate(train, mo.forest(**params)).checkpoint(eager=True)
-    per_fold = ev.fold_metrics(oof)
+def _fold_table(scored):
+    """roc_auc, accuracy, f1, precision and recall per fold, and their mean and population std."""
+    per_fold = ev.fold_metrics(scored.withColumn("predicted", (F.col("score") > 0.5).cast("int")))
     summary = ev.fold_metrics_summary(per_fold)
     return (per_fold.select(F.col("fold").cast("string").alias("fold"), *ev.METRICS)
             .unionByName(summary.groupBy().pivot("metric", list(ev.METRICS)).agg(F.first("mean"))
@@ -503,16 +498,70 @@ def rf_fold_metrics(spark, sf):
                          .select(F.lit("std").alias("fold"), *ev.METRICS)))
 
 
+@register("rf_grid_search")
+def rf_grid_search(spark, sf):
+    """All 27 points of the forest grid: parameters, mean and deviation of the folds' ROC AUC."""
+    return _forest_metrics(spark, sf).drop("point")
+
+
+@register("rf_predictions")
+def rf_predictions(spark, sf):
+    model, dev = _best_forest(spark, sf)
+    return model.predict(dev)
+
+
+@register("rf_fold_metrics")
+def rf_fold_metrics(spark, sf):
+    """Fold metrics of the best forest's parameters: the search has grown these very forests already."""
+    best = _best(_forest_metrics(spark, sf))
+    return _fold_table(_forest_scores(spark, sf).where(F.col("point") == best))
+
+
 @register("feature_importances")
 def feature_importances(spark, sf):
-    model, _, _ = _best_forest(spark, sf)
-    return mo.feature_importances(spark, model)
+    model, _ = _best_forest(spark, sf)
+    return model.importances()
 
 
 @register("submission")
 def submission(spark, sf):
     """Scoring log → features → matrix → forest → (click_id, is_attributed)."""
-    model, _, _ = _best_forest(spark, sf)
+    model, _ = _best_forest(spark, sf)
     matrix = fe.scoring_matrix(_scoring_features(spark, sf))
-    return mo.predict(model, matrix).select("click_id", F.col("predicted").alias("is_attributed"))
+    return model.predict(matrix).select("click_id", F.col("predicted").alias("is_attributed"))
+
+
+def _boosted_scores(spark, sf):
+    """Out-of-fold scores of every point of the boosted grid, made once for a log."""
+    train, _, made_from = _train_dev(spark, sf)
+    return ms.stored_table(spark, "boosted-scores", {**bo.GRID, "rows": bo.MAX_FIT_ROWS}, made_from,
+                           lambda: bo.out_of_fold_scores(bo.bounded_rows(train), bo.GRID))
+
+
+def _boosted_metrics(spark, sf):
+    return bo.grid_metrics(_boosted_scores(spark, sf), bo.GRID)
+
+
+def _best_boosted(spark, sf):
+    train, dev, made_from = _train_dev(spark, sf)
+    point = bo.grid_points(bo.GRID)[_best(_boosted_metrics(spark, sf))]
+    return ms.stored_table(spark, "boosted", {**point, "rows": bo.MAX_FIT_ROWS}, made_from,
+                           lambda: bo.fit_nodes(bo.bounded_rows(train), point)), dev
+
+
+@register("gbt_grid_search")
+def gbt_grid_search(spark, sf):
+    """All points of the boosted grid: parameters, mean and deviation of the folds' ROC AUC."""
+    return _boosted_metrics(spark, sf).drop("point")
+
+
+@register("gbt_predictions")
+def gbt_predictions(spark, sf):
+    nodes, dev = _best_boosted(spark, sf)
+    return bo.predict(spark, nodes, dev)
+
 
+@register("gbt_fold_metrics")
+def gbt_fold_metrics(spark, sf):
+    best = _best(_boosted_metrics(spark, sf))
+    return _fold_table(_boosted_scores(spark, sf).where(F.col("point") == best))

@@ -4,15 +4,14 @@ trips, model persistence).  Files go to a fresh folder under the shared
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 
-from clickcast.operators import models as mo
 from clickcast.operators import scores as sc
+from clickcast.operators.forest import CutForest
 from clickcast.plans import training
 from clickcast.plans.catalog import register
-from clickcast.plans.q_features import RF_SMALL, _train_dev
+from clickcast.plans.q_features import _best_forest
 from clickcast.plans.q_sequence import EXTRACT_COLS, TRAINING_SQL
 from clickcast.plans.sqlbits import scores
 from clickcast.session import scratch_path
@@ -74,12 +73,8 @@ def score_table_roundtrip(spark, sf):
 
 @register("model_roundtrip")
 def model_roundtrip(spark, sf):
-    """Fit, save, load, score: predictions of the loaded model on dev."""
-    train, dev = _train_dev(spark, sf)
-    model, _ = mo.grid_search(train, mo.forest(), RF_SMALL)
+    """Save, load, score: predictions of the loaded model on dev."""
+    model, dev = _best_forest(spark, sf)
     path = scratch_path(spark, "forest-model")
-    model.write().overwrite().save(path)
-    return mo.predict(PipelineModel.load(path), dev)
-
-
-
+    model.save(path)
+    return CutForest(spark, path).predict(dev)

@@ -32,7 +32,7 @@ def no_aqe(spark):
 @pytest.mark.parametrize("name", sorted(Q))
 def test_no_cartesian_or_nested_loop_joins(no_aqe, name):
     if name in ("rf_grid_search", "rf_predictions", "gbt_predictions", "feature_importances",
-                "submission", "model_roundtrip", "rf_fold_metrics"):
+                "submission", "model_roundtrip", "rf_fold_metrics", "gbt_grid_search", "gbt_fold_metrics"):
         pytest.skip("model fitting queries")
     p = plan(Q[name](no_aqe, SF01))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p

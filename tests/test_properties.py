@@ -106,21 +106,6 @@ def test_attempt_starts_have_zero_counters(spark):
     assert starts.where("prev_label = 1 AND n_previous_clicks <> 0").count() == 0
 
 
-@pytest.mark.slow
-def test_models(spark):
-    grid = Q["rf_grid_search"](spark, SF01).collect()
-    assert len(grid) == 2 and all(0 <= r.roc_auc <= 1 for r in grid)
-    imp = Q["feature_importances"](spark, SF01).collect()
-    assert len(imp) == 10 and sum(r.importance for r in imp) <= 1 + 1e-9
-    sub = Q["submission"](spark, SF01)
-    assert sub.count() == clicks_from_events(spark, SF01).count()
-    assert {r.is_attributed for r in sub.select("is_attributed").distinct().collect()} <= {0, 1}
-    gbt = Q["gbt_predictions"](spark, SF01).collect()
-    assert gbt and all(0 <= r.probability <= 1 for r in gbt)
-    rt = Q["model_roundtrip"](spark, SF01).collect()
-    assert rt and all(0 <= r.probability <= 1 for r in rt)
-
-
 def test_assembled_vector_width(spark):
     v = Q["assembled_features"](spark, SF01).first().features
     assert v.size == 30
