@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickcast.functions.calendar import epoch_seconds
-from clickcast.operators.joins import join_small
+from clickcast.operators.joins import join_per_key, join_small
 
 USER = ("ip", "device", "os")
 LABEL = "is_attributed"
@@ -125,10 +125,16 @@ def rank_of_first_conversion(path: DataFrame, user=USER) -> DataFrame:
     return path.withColumn("index", F.rank().over(w)).where(F.col(LABEL) == 1)
 
 
-def clicks_before_first_conversion(clicks: DataFrame, user=USER) -> DataFrame:
-    """Number of clicks up to and including the first conversion."""
-    first = (_user_not_null(clicks, user).where(F.col(LABEL) == 1).groupBy(*user)
-             .agg(F.min("click_time").alias("_t1")))
-    j = join_small(clicks.select(*user, "click_time"), first, on=list(user))
+def clicks_before_first_conversion(clicks: DataFrame, user=USER, **bounds) -> DataFrame:
+    """Number of clicks up to and including the first conversion.
+
+    Users of many clicks are split in the join (``join_per_key``, whose bounds may be given); the
+    count after it is a partial aggregate.
+    """
+    first = (_user_not_null(clicks, user).groupBy(*user)
+             .agg(F.min(F.when(F.col(LABEL) == 1, F.col("click_time"))).alias("_t1"), F.count(F.lit(1)).alias("_n"))
+             .where("_t1 IS NOT NULL"))
+    rows = clicks.select(*user, "click_time", "click_id")
+    j = join_per_key(rows, first, user, "_n", F.col("click_id"), **bounds)
     return (j.where(F.col("click_time") <= F.col("_t1")).groupBy(*user)
              .agg(F.count(F.lit(1)).alias("n_clicks")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickcast.functions.calendar import hour_of_day, weekday_abbr
-from clickcast.operators.joins import DEFAULT_BROADCAST_ROWS, maybe_broadcast, measured
+from clickcast.operators.joins import DEFAULT_BROADCAST_ROWS, join_per_key, maybe_broadcast, measured
 from clickcast.operators.scores import CATEGORY_COLS, label_counts, score_for, scores_from_counts
 from clickcast.operators.sequence import sequence_features
 
@@ -105,14 +105,13 @@ def write_modelling_samples(clicks: DataFrame, out_dir: str, fractions=None,
 
 
 def user_ever_attributed(clicks: DataFrame, user_cols=("ip", "device", "os"),
-                         label_col: str = "is_attributed") -> DataFrame:
+                         label_col: str = "is_attributed", id_col: str = "click_id", **bounds) -> DataFrame:
     """Conversions per user joined back to each click.
 
-    The per-user sum is a partial aggregate (skew-safe).  The join back
-    broadcasts it when its measured size allows; otherwise it is a shuffle
-    join that AQE splits when one user is heavy.
+    The per-user sum is a partial aggregate (skew-safe).  The join back broadcasts it when its
+    measured size allows; otherwise only the users of many clicks are split (``join_per_key``,
+    whose bounds may be given).
     """
     per_user = (clicks.groupBy(*user_cols)
-                      .agg(F.sum(label_col).cast("long").alias("ever_attributed")))
-    per_user, n = measured(per_user)
-    return clicks.join(maybe_broadcast(per_user, n), on=list(user_cols), how="inner")
+                      .agg(F.sum(label_col).cast("long").alias("ever_attributed"), F.count(F.lit(1)).alias("_n")))
+    return join_per_key(clicks, per_user, user_cols, "_n", F.col(id_col), **bounds)
