@@ -36,12 +36,21 @@ def release(spark: SparkSession, *frames: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, ids: DataFrame, max_broadcast: int = 500_000) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``ids`` (one column, written and counted here)."""
-    bad = written(docs.sparkSession, ids.toDF("_bad").distinct(), "dropped-ids")
+    name = free_name(docs, "bad")
+    bad = written(docs.sparkSession, ids.toDF(name).distinct(), "dropped-ids")
     if bad.count() <= max_broadcast:
         bad = F.broadcast(bad)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[name]), "left_anti")
 
 
 def join_hot(rows: DataFrame, entries: DataFrame, on: list[str], spread: Column, how: str = "inner",

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickcast.llm.catalog import register
-from clickcast.llm.common import table, text_chunks
+from clickcast.llm.common import free_name, table, text_chunks
 
 N_BUCKETS = 1 << 15
 GRAM_SIZES = (1, 2, 3)
@@ -36,7 +36,7 @@ _SPACE = 32
 
 
 def _letter_table() -> np.ndarray:
-    return np.fromiter((chr(i).isalpha() for i in range(0x10000)), dtype=bool, count=0x10000)
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
 class Grams:
@@ -56,7 +56,7 @@ class Grams:
         lengths = np.fromiter((len(t) + 1 for t in low), dtype=np.int64, count=len(low))
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         ends = starts + lengths - 1
-        is_letter = self.letters[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF)
+        is_letter = self.letters[codes]
         codes = np.where(is_letter, codes, np.uint32(_SPACE))
         letters = np.add.reduceat(is_letter.astype(np.int64), starts)
         out = []
@@ -150,8 +150,9 @@ def identify_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text
                 scores += np.where(letters > 0, post, 0.0).tolist()
             yield pd.DataFrame({"lang_pred": pd.Series(preds, dtype=object), "score": pd.Series(scores, dtype=float)})
 
-    return docs.withColumn("_lang", predict(F.col(text))).withColumns({
-        "lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+    found = free_name(docs, "found")
+    return docs.withColumn(found, predict(F.col(text))).withColumns({
+        "lang_pred": F.col(found)["lang_pred"], "score": F.col(found)["score"]}).drop(found)
 
 
 def held_out(doc_id: Column) -> Column:

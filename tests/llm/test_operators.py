@@ -360,3 +360,25 @@ def test_best_two_fit_replaces_the_smallest():
         else:
             gaps.append(4096 - n)
     assert bins.max() + 1 <= len(gaps)
+
+
+# --- contracts that were broken once
+
+def test_only_letters_are_letters_in_every_plane(spark):
+    rows = [(1, "😀😀😀"), (2, "𐐷𐑌 𐐷"), (3, "12 ..."), (4, "plain words"), (5, "٣٤"), (6, "漢字 𠀀")]
+    df = spark.createDataFrame([(i, t, 1, 0.0) for i, t in rows], "doc_id long, text string, found int, _lang double")
+    model = language_id.train_language_id(spark.createDataFrame(
+        [("some plain words", "en"), ("𐐷𐑌𐐷 漢字", "xx")], "text string, lang string"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify_language(df, model).collect()}
+    assert [got[i] for i in (1, 3, 5)] == [("und", 0.0)] * 3
+    assert all(got[i][0] in ("en", "xx") and 0 < got[i][1] <= 1 for i in (2, 4, 6))
+
+
+def test_columns_named_like_inner_ones_do_no_harm(spark):
+    shared = "a passage of more than fifty bytes that two documents have in common, word by word"
+    df = spark.createDataFrame([(1, shared, 1, 2, 3, 4, 5), (2, "x " + shared, 1, 2, 3, 4, 5)],
+                               "doc_id long, text string, doc int, tk int, _doc int, starts int, bits int")
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(spark, df).collect()}
+    assert got[1].text == shared and got[2].text.strip() == "x" and got[2].starts == 4 and got[2].doc == 1
+    none = spark.createDataFrame([], df.schema)
+    assert suffix_dedup.remove_repeats(spark, none).count() == 0
