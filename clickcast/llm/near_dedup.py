@@ -56,6 +56,8 @@ N_VALUES = N_BANDS * BAND_ROWS
 CHUNK_BYTES = 1 << 22
 MAX_BROADCAST_IDS = 500_000
 SIZE_CLASS = 1.06
+#: A document's place in a bucket of documents that may be alike.
+MEMBER = ("band", "doc", "side", "n", "left")
 _U = np.uint64
 
 
@@ -238,26 +240,30 @@ def _joined(spark, labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _shared(members: DataFrame) -> DataFrame:
-    """The (band, doc, side: null) rows of bands with more than one document."""
+    """The (band, doc) rows, and nulls for side, n and left, of bands with more than one document."""
     many = members.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
-    return members.join(many, "band").select("band", "doc", F.lit(None).cast("int").alias("side"))
+    none = F.lit(None)
+    return members.join(many, "band").select("band", "doc", none.cast("int").alias("side"), none.cast("long").alias("n"),
+                                             none.cast("long").alias("left"))
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, doc, k: class) of the bands whose documents are not all in one class."""
-    classed = members.join(labels, "doc", "left").select("band", "doc", "side", F.coalesce("class_id", "doc").alias("k"))
+    """(band, doc, side, n, left, k: class) of the bands whose documents are not all in one class."""
+    classed = members.join(labels, "doc", "left").select(*MEMBER, F.coalesce("class_id", "doc").alias("k"))
     bands = classed.groupBy("band").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x < y").select("band")
     return classed.join(bands, "band")
 
 
 def _rarest(spark, bags: DataFrame, threshold: float) -> DataFrame:
-    """(band, doc, side): buckets in which two documents of ``threshold`` or more must meet.
+    """(band, doc, side, n, left): buckets in which two documents of ``threshold`` or more must meet.
 
     A bucket is an element and two size classes.  A document has a bucket for
     each class that its partner may be of, and each element among its rarest
     that a partner of that class must reach.  Between two different classes,
     ``side`` (else null) is the document's own.  Elements that no other document
-    has are not sent back to their document, only their number.
+    has are not sent back to their document, only their number.  ``n`` is the document's size
+    and ``left`` how many of its elements are as rare as the bucket's, or less: where two
+    documents have their first element in common, they share no more than the smaller ``left``.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -277,30 +283,36 @@ def _rarest(spark, bags: DataFrame, threshold: float) -> DataFrame:
     buckets = elements.join(common, "element").groupBy("doc", "n").agg(
         F.array_sort(F.collect_list(F.struct("c", "element"))).alias("shared")).withColumn("own", size_class).select(
         "doc", "n", "shared", "own", F.explode(F.sequence(F.col("own") - span, F.col("own") + span)).alias("other"))
+    length = F.size("shared")
     taken = (prefix - (F.col("n") - F.size("shared"))).cast("int")
     members = buckets.where((prefix > 0) & (taken > 0)).select(
-        "doc", "own", "other", F.explode(F.slice("shared", F.lit(1), taken)["element"]).alias("element")).select(
+        "doc", "n", "own", "other", length.alias("length"),
+        F.posexplode(F.slice("shared", F.lit(1), taken)["element"]).alias("at", "element")).select(
         F.xxhash64("element", F.least("own", "other"), F.greatest("own", "other")).alias("band"), "doc",
-        F.when(F.col("own") != F.col("other"), F.col("own")).alias("side")).distinct()
+        F.when(F.col("own") != F.col("other"), F.col("own")).alias("side"), "n",
+        (F.col("length") - F.col("at")).cast("long").alias("left")).distinct()
     usable = members.groupBy("band").agg(
         F.count(F.lit(1)).alias("c"), F.min("side").alias("x"), F.max("side").alias("y")).where(
         "c > 1 AND (x IS NULL OR x < y)").select("band")
-    return members.join(usable, "band").select("band", "doc", "side")
+    return members.join(usable, "band").select(*MEMBER)
 
 
 def _compared(spark, members: DataFrame, n_pivots: int, seen: DataFrame, labels: DataFrame | None,
               bags: DataFrame, threshold: float):
     """(seen, labels) after comparing the first documents of each band with its members of other classes."""
     if n_pivots == 1:
-        pivots = members.groupBy("band").agg(F.min_by(F.struct("doc", "side", "k"), "doc").alias("p")).select(
-            "band", F.col("p.doc").alias("pivot"), F.col("p.side").alias("pivot_side"), F.col("p.k").alias("pivot_k"))
+        pivots = members.groupBy("band").agg(F.min_by(F.struct(*MEMBER[1:], "k"), "doc").alias("p")).select(
+            "band", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in (*MEMBER[1:], "k")])
     else:
         rank = F.row_number().over(Window.partitionBy("band").orderBy("doc"))
         pivots = members.withColumn("r", rank).where(F.col("r") <= n_pivots).select(
-            "band", F.col("doc").alias("pivot"), F.col("side").alias("pivot_side"), F.col("k").alias("pivot_k"))
+            "band", *[F.col(c).alias(f"pivot_{c}") for c in (*MEMBER[1:], "k")])
+    # A pair that this drops shares less than it must, or has an earlier element in common and meets there.
+    enough = F.least("left", "pivot_left") >= threshold / (1 + threshold) * (F.col("n") + F.col("pivot_n")) - 1e-6
     pairs = members.join(pivots, "band").where(
-        (F.col("doc") > F.col("pivot")) & (F.col("k") != F.col("pivot_k"))
-        & F.coalesce(F.col("side") != F.col("pivot_side"), F.lit(True))).select("doc", "pivot").distinct()
+        (F.col("doc") > F.col("pivot_doc")) & (F.col("k") != F.col("pivot_k")) & F.coalesce(enough, F.lit(True))
+        & F.coalesce(F.col("side") != F.col("pivot_side"), F.lit(True))).select(
+        "doc", F.col("pivot_doc").alias("pivot")).distinct()
     new = written(spark, _compare(pairs.join(seen, ["doc", "pivot"], "left_anti"), bags), "likeness")
     seen = seen.unionByName(new)
     if labels is not None and new.where(F.col("likeness") >= threshold).isEmpty():
@@ -332,7 +344,7 @@ def near_duplicates(spark, docs: DataFrame, threshold: float = THRESHOLD,
     far = 1 - threshold
     first = members.groupBy("band").agg(F.min("doc").alias("pivot"))
     away = members.join(first, "band").join(seen, ["doc", "pivot"]).select(
-        "band", "doc", "side", (1 - F.col("likeness")).alias("away"))
+        *MEMBER, (1 - F.col("likeness")).alias("away"))
     least = away.where(F.col("away") > far).groupBy("band").agg(F.min("away").alias("least"))
     rest = away.join(least, "band").where((F.col("away") > far) | (F.col("away") >= F.col("least") - far))
     left = written(spark, _mixed(rest, labels).select("doc").distinct(), "open")
@@ -343,7 +355,7 @@ def near_duplicates(spark, docs: DataFrame, threshold: float = THRESHOLD,
     while not members.isEmpty():
         seen, labels = _compared(spark, members, n_pivots, seen, labels, bags, threshold)
         rank = F.row_number().over(Window.partitionBy("band").orderBy("doc"))
-        rest = members.withColumn("r", rank).where(F.col("r") > n_pivots).select("band", "doc", "side")
+        rest = members.withColumn("r", rank).where(F.col("r") > n_pivots).select(*MEMBER)
         members = written(spark, _mixed(rest, labels), "members")
         n_pivots *= 4
     linked = seen.where(F.col("likeness") >= threshold)
