@@ -13,8 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a new folder under ``spark.checkpoint.dir`` and reread it.
+def written(spark: SparkSession, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` to a new folder under ``spark.checkpoint.dir`` and reread it; ``codec``: of Parquet, if not the session's.
 
     Cuts the lineage: what follows survives lost executors without redoing
     ``df``, and uses of it in several branches read it instead of computing
@@ -22,7 +22,7 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     in the driver lets Spark's cleaner drop them now, not half an hour later.
     """
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
