@@ -2,10 +2,9 @@
 box statistics, profiles and correlations.
 
 Everything is a grouped aggregate (partial aggregation on the map side, so a
-heavy key never reaches one task as raw rows).  Exact quantiles use
-``percentile`` / ``percentile_disc``, whose buffers hold one entry per
-distinct value, not per row; ``approx_quantiles`` is the bounded-memory
-sketch for continuous values.
+heavy key never reaches one task as raw rows).  Exact quantiles are found by
+selection over value ranges (``quantiles``), so no group's values meet in one
+buffer; ``approx_quantiles`` is the bounded-memory sketch.
 """
 
 from __future__ import annotations
@@ -15,10 +14,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickcast.operators.quantiles import quantiles, same_group, value_counts
 from clickcast.session import scratch_path
 
-from clickcast.operators.joins import join_small
-
 
 def group_count(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).count()
@@ -53,9 +51,8 @@ def quantiles_exact(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75), by=(),
     """Discrete quantiles: the smallest value whose cumulative share reaches p."""
     names = names or [f"q{int(round(p * 100))}" for p in probs]
     dtype = dict(df.dtypes)[col]  # the result is an element of the column
-    aggs = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{col}`)").cast(dtype).alias(n)
-            for p, n in zip(probs, names)]
-    return df.groupBy(*by).agg(*aggs)
+    found = quantiles(value_counts(df, col, by), probs, names, by, discrete=True)
+    return found.select(*by, *[F.col(n).cast(dtype).alias(n) for n in names])
 
 
 def approx_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75),
@@ -69,7 +66,7 @@ def approx_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75),
 
 def median(df: DataFrame, col: str, by=()) -> DataFrame:
     """Interpolated median."""
-    return df.groupBy(*by).agg(F.median(col).alias("median"))
+    return quantiles(value_counts(df, col, by), [0.5], ["median"], by)
 
 
 def histogram(df: DataFrame, col: str, width: float, lo=None, hi=None, by=(),
@@ -89,12 +86,13 @@ def histogram(df: DataFrame, col: str, width: float, lo=None, hi=None, by=(),
 def auto_histogram(df: DataFrame, col: str, max_bins: int | None = None) -> DataFrame:
     """Equal-width bins over [min, max] with the Freedman–Diaconis count
     (``ceil(range / (2 IQR n^-1/3))``, at most ``max_bins`` if given; ``sqrt(n)`` when
-    the IQR is 0), the default of the distribution plots.  One aggregate
-    yields the five numbers; the binning is a plain grouped count."""
+    the IQR is 0), the default of the distribution plots.  The five numbers come from
+    the counted values; the binning is a plain grouped count."""
     c = F.col(col)
-    st = df.agg(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"),
-                F.percentile(c, 0.25).alias("q1"), F.percentile(c, 0.75).alias("q3")).first()
-    n, lo, hi = st["n"], st["lo"], st["hi"]
+    counts = value_counts(df, col)
+    ends = counts.where("_v IS NOT NULL").agg(F.sum("_n").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
+    n, lo, hi = ends["n"], ends["lo"], ends["hi"]
+    st = quantiles(counts, [0.25, 0.75], ["q1", "q3"]).first()
     if not n:
         return df.where(F.lit(False)).select(F.lit(0).cast("long").alias("bin"),
                                              F.lit(0.0).alias("bin_lo"),
@@ -116,28 +114,18 @@ def auto_histogram(df: DataFrame, col: str, max_bins: int | None = None) -> Data
 def box_stats(df: DataFrame, col: str, by=()) -> DataFrame:
     """Box-plot numbers per group: quartiles (interpolated), whiskers at the
     most extreme values within 1.5 IQR, and the number of outliers."""
-    c = F.col(col)
-    qs = df.groupBy(*by).agg(
-        F.percentile(c, 0.25).alias("q1"), F.percentile(c, 0.5).alias("median"),
-        F.percentile(c, 0.75).alias("q3"))
-    qs = (qs.withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
-            .withColumn("_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
-    joined = join_small(df.select(*by, c.alias("_x")).where(F.col("_x").isNotNull()),
-                        qs, on=list(by)) if by else _with_scalars(df, c, qs)
-    inside = (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
-    return joined.groupBy(*by).agg(
-        F.first("q1").alias("q1"), F.first("median").alias("median"),
-        F.first("q3").alias("q3"),
-        F.min(F.when(inside, F.col("_x"))).alias("lower_whisker"),
-        F.max(F.when(inside, F.col("_x"))).alias("upper_whisker"),
-        F.count(F.when(~inside, 1)).alias("n_outliers"))
-
-
-def _with_scalars(df: DataFrame, c, qs: DataFrame) -> DataFrame:
-    """Attach a one-row statistics table as literals (fixed-size collect)."""
-    row = qs.first()
-    return df.select(c.alias("_x")).where(F.col("_x").isNotNull()).select(
-        "_x", *[F.lit(row[k]).alias(k) for k in ("q1", "median", "q3", "_lo", "_hi")])
+    dtype = dict(df.dtypes)[col]
+    counts = value_counts(df, col, by)
+    x, n = F.col("_v"), F.col("_n")
+    iqr = F.col("q3") - F.col("q1")
+    qs = quantiles(counts, [0.25, 0.5, 0.75], ["q1", "median", "q3"], by)
+    inside = (x >= F.col("q1") - 1.5 * iqr) & (x <= F.col("q3") + 1.5 * iqr)
+    # Whiskers and outliers need the counted values only, not the rows.
+    return same_group(counts.where("_v IS NOT NULL"), qs, by).groupBy(*by).agg(
+        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
+        F.min(F.when(inside, x)).cast(dtype).alias("lower_whisker"),
+        F.max(F.when(inside, x)).cast(dtype).alias("upper_whisker"),
+        F.sum(F.when(inside, 0).otherwise(n)).cast("long").alias("n_outliers"))
 
 
 def unpivot(df: DataFrame, cols, keep=(), name: str = "feature", value: str = "value",
@@ -178,10 +166,10 @@ def profile(df: DataFrame, cols) -> DataFrame:
         n.alias("n"), F.count(F.lit(1)).alias("n_distinct"),
         F.first("mean").alias("mean"),
         F.when(n > 1, F.sqrt(squares / F.greatest(n - 1, F.lit(1)))).alias("std"),
-        F.min(x).alias("min"), F.percentile(x, 0.25, c).alias("p25"),
-        F.percentile(x, 0.5, c).alias("p50"), F.percentile(x, 0.75, c).alias("p75"),
-        F.max(x).alias("max"),
+        F.min(x).alias("min"), F.max(x).alias("max"),
         F.min_by(F.struct(F.col("text"), c), F.struct(-c, F.col("text"))).alias("_top"))
+    quarters = quantiles(value_counts(freq, "num", ["feature"], "count"), [0.25, 0.5, 0.75], ["p25", "p50", "p75"], ["feature"])
+    stats = stats.join(F.broadcast(quarters), "feature")  # a row per profiled column
     return stats.select("feature", "n", "n_distinct", "mean", "std", "min", "p25", "p50", "p75",
                         "max", F.col("_top.text").alias("top"), F.col("_top.count").alias("freq"))
 
