@@ -18,22 +18,31 @@ def written(spark: SparkSession, df: DataFrame, name: str, codec: str | None = N
 
     Cuts the lineage: what follows survives lost executors without redoing
     ``df``, and uses of it in several branches read it instead of computing
-    it again.  The shuffle files that led to it are of no more use: a collection
-    in the driver lets Spark's cleaner drop them now, not half an hour later.
+    it again.
     """
+    drop_shuffles(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path, compression=codec)
-    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now, not half an hour later.
+
+    A collection in the driver right after a job still finds it in Spark's event queue; before the
+    next step, and after a release, it does not.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the folders of frames from :func:`written` that nothing reads any more."""
     for frame in frames:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(frame.scratch)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop_shuffles(spark)
 
 
 def free_name(df: DataFrame, name: str) -> str:
