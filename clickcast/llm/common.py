@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,3 +99,19 @@ def text_chunks(texts, max_chars: int):
         size += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def give_back() -> None:
+    """Return what this Python worker has freed to the system; idle workers of earlier steps keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, giving freed memory back when it has ended."""
+    def outer(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+    return outer
