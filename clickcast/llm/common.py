@@ -12,8 +12,20 @@ from pyspark.sql import functions as F
 from clickcast.session import scratch_path
 
 
+#: Bytes of rows sent to a Python worker at once: it holds a batch as Arrow, as objects and in work arrays.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound this session's Arrow batches by ``BATCH_BYTES``, unless the session has set a bound itself."""
+    if spark.sparkContext.getConf().get(_BATCH_SETTING) is None:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given parquet tables, whole."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -25,6 +37,7 @@ def written(spark: SparkSession, df: DataFrame, name: str, codec: str | None = N
     it again.
     """
     drop_shuffles(spark)
+    small_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)

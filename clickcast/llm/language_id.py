@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickcast.llm.catalog import register
-from clickcast.llm.common import free_name, table, text_chunks
+from clickcast.llm.common import free_name, give_back, table, text_chunks, tidied
 
 N_BUCKETS = 1 << 15
 GRAM_SIZES = (1, 2, 3)
@@ -101,7 +101,7 @@ def train_language_id(docs: DataFrame, text: str = "text", lang: str = "lang",
             at = np.flatnonzero(total)
             yield pd.DataFrame({"lang": code, "bucket": at.astype(np.int32), "n": total[at]})
 
-    counts = labelled.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(
+    counts = labelled.mapInPandas(tidied(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(
         F.sum("n").alias("n"))
     langs = sorted(r[0] for r in labelled.select("lang").distinct().limit(MAX_LANGS + 1).collect())
     if len(langs) > MAX_LANGS:
@@ -149,6 +149,7 @@ def identify_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text
                 preds += [langs[k] if n else UNKNOWN for k, n in zip(best, letters)]
                 scores += np.where(letters > 0, post, 0.0).tolist()
             yield pd.DataFrame({"lang_pred": pd.Series(preds, dtype=object), "score": pd.Series(scores, dtype=float)})
+        give_back()
 
     found = free_name(docs, "found")
     return docs.withColumn(found, predict(F.col(text))).withColumns({

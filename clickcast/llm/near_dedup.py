@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickcast.llm.catalog import register
-from clickcast.llm.common import table, text_chunks, without, written
+from clickcast.llm.common import table, text_chunks, tidied, without, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -177,7 +177,7 @@ def _signatures(texts: DataFrame) -> DataFrame:
             for a, b in text_chunks(all_texts, CHUNK_BYTES):
                 bands = [band_keys(bag_minhash(s)) if len(s) else None for s in shingle_hashes(all_texts[a:b])]
                 yield batch.iloc[a:b][["tk1", "tk2", "doc"]].assign(bands=bands)
-    return texts.mapInPandas(run, "tk1 long, tk2 long, doc long, bands array<long>")
+    return texts.mapInPandas(tidied(run), "tk1 long, tk2 long, doc long, bands array<long>")
 
 
 def _bags(texts: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def _bags(texts: DataFrame) -> DataFrame:
             for a, b in text_chunks(all_texts, CHUNK_BYTES):
                 yield batch.iloc[a:b][["doc"]].assign(
                     bag=[expanded(s).tobytes() for s in shingle_hashes(all_texts[a:b])])
-    return texts.mapInPandas(run, "doc long, bag binary")
+    return texts.mapInPandas(tidied(run), "doc long, bag binary")
 
 
 def _compare(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def _rarest(spark, bags: DataFrame, threshold: float) -> DataFrame:
                     yield pd.DataFrame({"doc": np.full(len(part), doc), "n": np.full(len(part), len(element)),
                                         "element": part})
 
-    elements = written(spark, bags.mapInPandas(run, "doc long, n long, element long"), "elements")
+    elements = written(spark, bags.mapInPandas(tidied(run), "doc long, n long, element long"), "elements")
     common = elements.groupBy("element").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     span = math.ceil(math.log(1 / threshold) / math.log(SIZE_CLASS))
     size_class = F.floor(F.log("n") / math.log(SIZE_CLASS) + 1e-9).cast("int")

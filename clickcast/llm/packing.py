@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickcast.llm.catalog import register
-from clickcast.llm.common import table, text_chunks, written
+from clickcast.llm.common import table, text_chunks, tidied, written
 from clickcast.llm.word_ids import BATCH_CHARS, default_vocabulary, word_ids
 
 CAPACITY = 4096
@@ -58,7 +58,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "slot"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(
-        cut, PIECE_SCHEMA)
+        tidied(cut), PIECE_SCHEMA)
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 #: Bytes of the longest texts handled together, and of the words a worker remembers.
 BATCH_CHARS = 1 << 20
 CACHE_BYTES = 96 << 20
+#: Words encoded in one text: the encoder's own record of a token is far larger than its id.
+LEARN_WORDS = 2_000
 #: What a remembered word costs besides its characters: dictionary entry, string header, table rows.
 WORD_BYTES = 160
 
@@ -81,14 +83,15 @@ class WordIds:
         plain = [w for w in new if self.MARK not in w and "<|" not in w]
         rest = [w for w in new if self.MARK in w or "<|" in w]
         rows = []
-        if plain:
-            ids = self._direct([f" {self.MARK} ".join(plain)])[0]
+        for at in range(0, len(plain), LEARN_WORDS):
+            some = plain[at:at + LEARN_WORDS]
+            ids = self._direct([f" {self.MARK} ".join(some)])[0]
             marks = np.flatnonzero(ids == self.mark)
-            if len(marks) == len(plain) - 1:
-                rows = np.split(np.delete(ids, marks), marks - np.arange(len(marks)))
+            if len(marks) == len(some) - 1:
+                rows += np.split(np.delete(ids, marks), marks - np.arange(len(marks)))
             else:
-                rows = self._direct(plain)
-        rows = [*rows, *(self._direct(rest) if rest else [])]
+                rows += self._direct(some)
+        rows += self._direct(rest) if rest else []
         self.index.update(zip([*plain, *rest], range(len(self.index), len(self.index) + len(new)), strict=True))
         length = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
         start = len(self.ids) + np.cumsum(length) - length
