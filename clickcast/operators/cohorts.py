@@ -8,7 +8,7 @@ raw input) followed by joins on keys that include the click time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickcast.functions.calendar import epoch_seconds
@@ -98,6 +98,23 @@ def first_click_and_first_conversion(clicks: DataFrame, user=USER,
 _UNITS = {"days": None, "hours": 3600, "minutes": 60}
 
 
+def _time_since(prev: Column, unit: str) -> Column:
+    if unit == "days":  # day-of-year difference, as the original analysis takes it
+        return F.abs(F.coalesce(F.dayofyear("click_time") - F.dayofyear(prev), F.lit(0)))
+    if unit == "calendar_days":  # correct across year ends
+        return F.abs(F.coalesce(F.datediff(F.col("click_time"), prev), F.lit(0)))
+    return F.abs(F.coalesce(epoch_seconds("click_time") - epoch_seconds(prev), F.lit(0))) / F.lit(_UNITS[unit])
+
+
+def click_to_conversion_units(path: DataFrame, units, user=USER) -> DataFrame:
+    """``click_to_conversion`` in several units from one window: a row a path row and unit, time as double."""
+    w = Window.partitionBy(*user).orderBy("click_time", "click_id")  # ≤ a few rows per user
+    prev = F.col("_prev")
+    times = [F.struct(F.lit(u).alias("unit"), _time_since(prev, u).cast("double").alias("click_time_diff")) for u in units]
+    return path.withColumn("_prev", F.lag("click_time").over(w)).withColumn(
+        "_time", F.explode(F.array(*times))).select(*path.columns, "_time.unit", "_time.click_time_diff")
+
+
 def click_to_conversion(path: DataFrame, unit: str = "minutes", user=USER,
                         drop_first: bool = False) -> DataFrame:
     """Time from the previous row of the user's (first click, first
@@ -106,14 +123,7 @@ def click_to_conversion(path: DataFrame, unit: str = "minutes", user=USER,
     The first row of each user gets 0 unless ``drop_first``."""
     w = Window.partitionBy(*user).orderBy("click_time", "click_id")  # ≤ a few rows per user
     prev = F.lag("click_time").over(w)
-    if unit == "days":  # day-of-year difference, as the original analysis takes it
-        diff = F.abs(F.coalesce(F.dayofyear("click_time") - F.dayofyear(prev), F.lit(0)))
-    elif unit == "calendar_days":  # correct across year ends
-        diff = F.abs(F.coalesce(F.datediff(F.col("click_time"), prev), F.lit(0)))
-    else:
-        diff = F.abs(F.coalesce(epoch_seconds("click_time") - epoch_seconds(prev),
-                                F.lit(0))) / F.lit(_UNITS[unit])
-    out = path.withColumn("_has_prev", prev.isNotNull()).withColumn("click_time_diff", diff)
+    out = path.withColumn("_has_prev", prev.isNotNull()).withColumn("click_time_diff", _time_since(prev, unit))
     if drop_first:
         out = out.where("_has_prev")
     return out.drop("_has_prev")

@@ -44,6 +44,12 @@ def conversion_rate(df: DataFrame, key: str, label_col: str = "is_attributed") -
     return piv.select(key, "0", "1", prcnt_0.alias("prcnt_0"), prcnt_1.alias("prcnt_1"))
 
 
+def rates_from_counts(counts: DataFrame) -> DataFrame:
+    """dim, key, 0, 1, prcnt_1 (percent; null unless both classes occur) from ``label_counts``."""
+    n0, n1 = (F.when(F.col(c) > 0, F.col(c)) for c in ("_n0", "_n1"))
+    return counts.select("dim", "key", n0.alias("0"), n1.alias("1"), _rates(n0, n1)[1].alias("prcnt_1"))
+
+
 def min_support(rates: DataFrame, min_clicks: int) -> DataFrame:
     """Keys with at least ``min_clicks`` clicks; keys missing a class drop out."""
     return rates.where((F.col("0") + F.col("1")) >= min_clicks)

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from clickcast.operators import cohorts as co
 from clickcast.operators import explore as ex
+from clickcast.operators import sketches as sk
+from clickcast.operators.ordering import with_positions
+from clickcast.operators.ranges import ValueRange, range_histograms
 from clickcast.plans import training
 from clickcast.plans.catalog import register
 from clickcast.plans.sqlbits import TIME_FEATURES, epoch_s
@@ -242,9 +245,9 @@ register("click_to_conversion_calendar_days", PATH_SQL + ", cal AS (SELECT click
 
 
 def _all_diffs(spark, sf):
-    path = _path(spark, sf)
-    parts = [_diffs(path, u).withColumn("unit", F.lit(u)) for u in ("days", "hours", "minutes")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Every unit from one pass over the path rows."""
+    return co.click_to_conversion_units(_path(spark, sf), ("days", "hours", "minutes")).select(
+        *DIFF_OUT.split(", "), "unit")
 
 
 def _round(df, mean_digits=9, std_digits=6):
@@ -408,8 +411,92 @@ def histogram_channels_per_app(spark, sf):
     return ex.histogram(channels_per_app(spark, sf), "count", 1)
 
 
+#: The ranges that the distribution plots look at.
+RANGES = [
+    ValueRange("channels per app", 1, source="app"),
+    ValueRange("channels per app under 20", 1, hi=20, source="app"),
+    ValueRange("channels per app under 5", 1, hi=5, source="app"),
+    ValueRange("channels per converting user under 20", 1, hi=20, source="yes"),
+    ValueRange("channels per other user under 80", 2, hi=80, source="no"),
+    ValueRange("channels per other user under 40", 1, hi=40, source="no"),
+    ValueRange("channels per user up to 500", 10, hi=500, hi_inclusive=True, source=("yes", "no")),
+    ValueRange("channels per user up to 100", 2, hi=100, hi_inclusive=True, source=("yes", "no")),
+    ValueRange("hours over 0", 24, lo=0, source="hours"),
+    ValueRange("hours from 1", 24, lo=1, lo_inclusive=True, source="hours"),
+    ValueRange("hours under 1", 0.0625, lo=0, hi=1, source="hours"),
+    ValueRange("hours under 0.025", 0.00390625, lo=0, hi=0.025, source="hours"),
+    ValueRange("hours under 0.01666", 0.00390625, lo=0, hi=0.01666, source="hours"),
+]
+
+def _range_sql(r) -> str:
+    return (f"SELECT '{r.name}' AS \"range\", CAST(floor(x / {float(r.width)}) AS BIGINT) AS bin, count(*) AS count, "
+            f"CAST(floor(x / {float(r.width)}) AS BIGINT) * CAST({float(r.width)} AS DOUBLE) AS bin_lo "
+            f"FROM vals WHERE {r.sql('x', 'source')} GROUP BY 2")
+
+
+@register("histograms_all_ranges", COHORTS_SQL + DIFFS_SQL + f""", vals AS (
+  SELECT 'app' AS source, CAST(count AS DOUBLE) AS x FROM ({CHANNELS_PER_APP}) a
+  UNION ALL SELECT is_attributed, CAST(count AS DOUBLE) FROM cohorts
+  UNION ALL SELECT 'hours', click_time_diff FROM diffs WHERE unit = 'hours')
+""" + "\nUNION ALL ".join(_range_sql(r) for r in RANGES))
+def histograms_all_ranges(spark, sf):
+    """All ranges of the distribution plots, from one pass over the plotted values."""
+    app = channels_per_app(spark, sf).select(F.lit("app").alias("source"), F.col("count").cast("double").alias("x"))
+    users = co.channels_by_cohort(_clicks(spark, sf)).select(
+        F.col("is_attributed").alias("source"), F.col("count").cast("double").alias("x"))
+    hours = _diffs(_path(spark, sf), "hours").select(F.lit("hours").alias("source"), F.col("click_time_diff").alias("x"))
+    return range_histograms(app.unionByName(users).unionByName(hours), "x", RANGES, "source")
+
+
+SKETCHED = f"""
+SELECT 'clicks_per_ip' AS "table", count FROM (SELECT ip, count(*) AS count FROM clicks GROUP BY ip) a
+UNION ALL SELECT 'devices_per_ip', count FROM ({DEVICES_PER_IP}) b
+UNION ALL SELECT 'channels_per_app', count FROM ({CHANNELS_PER_APP}) c"""
+
+
+@register("sketch_quartile_errors", f"""
+SELECT "table", p, count(count) AS n, true AS within_bound
+FROM ({SKETCHED}) s, (VALUES (CAST(0.25 AS DOUBLE)), (0.5), (0.75)) t(p) GROUP BY "table", p""")
+def sketch_quartile_errors(spark, sf):
+    """Quartiles of the three count tables from kept sketches of their slices, merged; whether each lies
+    within the sketch's rank error, counted against all values."""
+    tables = {"clicks_per_ip": clicks_per_ip, "devices_per_ip": devices_per_ip, "channels_per_app": channels_per_app}
+    rows = [of(spark, sf).select(F.lit(name).alias("table"), F.col(of_key).alias("key"), "count")
+            for (name, of), of_key in zip(tables.items(), ("ip", "ip", "app"), strict=True)]
+    values = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    kept = sk.value_sketches(values.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(16))), "count", ["table", "slice"])
+    found = sk.sketch_quantiles(sk.merged_sketches(kept, ["table"]), by=["table"])
+    errors = sk.rank_errors(found, values, "count", ["table"])
+    return errors.select("table", "p", "n", (F.col("rank_error") <= sk.RANK_ERROR).alias("within_bound"))
+
+
 # ---------------------------------------------------------------- sorted reports
 
+def _positions_sql(src: str, cols: str, order: str) -> str:
+    return f"SELECT {cols}, row_number() OVER (ORDER BY {order}) AS position FROM ({src}) s"
+
+
+@register("device_os_by_count_positions", _positions_sql(
+    "SELECT device, os, count(*) AS count FROM clicks GROUP BY device, os", "device, os, count",
+    "count DESC, device NULLS FIRST, os NULLS FIRST"))
+def device_os_by_count_positions(spark, sf):
+    counts = ex.group_count(_clicks(spark, sf), "device", "os")
+    return with_positions(counts, F.col("count").desc(), "device", "os")
+
+
+@register("device_labels_by_device_positions", _positions_sql(
+    "SELECT device, is_attributed, count(*) AS count FROM clicks GROUP BY device, is_attributed",
+    "device, is_attributed, count", "device NULLS FIRST, is_attributed NULLS FIRST"))
+def device_labels_by_device_positions(spark, sf):
+    return with_positions(ex.group_count(_clicks(spark, sf), "device", "is_attributed"), "device", "is_attributed")
+
+
+@register("clicks_newest_first_positions", _positions_sql(
+    "SELECT click_id, click_time FROM clicks", "click_id, click_time", "click_time DESC NULLS LAST, click_id NULLS FIRST"))
+def clicks_newest_first_positions(spark, sf):
+    return with_positions(_clicks(spark, sf).select("click_id", "click_time"), F.col("click_time").desc(), "click_id")
+
+
 @register("top_devices", """
 SELECT device, count(*) AS count FROM clicks GROUP BY device ORDER BY count DESC, device""")
 def top_devices(spark, sf):

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from clickcast.operators import scores as sc
 from clickcast.operators.forest import CutForest
-from clickcast.plans import training
+from clickcast.plans import scoring, training
 from clickcast.plans.catalog import register
 from clickcast.plans.q_features import _best_forest
-from clickcast.plans.q_sequence import EXTRACT_COLS, TRAINING_SQL
+from clickcast.plans.q_sequence import EXTRACT_COLS, TRAINING_SQL, _scoring_sql
 from clickcast.plans.sqlbits import scores
 from clickcast.session import scratch_path
 from clickcast.sources.clicks import (
@@ -55,22 +55,44 @@ def extract_csv_roundtrip(spark, sf):
     return read_csv(spark, path, EXTRACT_SCHEMA)
 
 
+def _score_files(spark, clicks):
+    root = scratch_path(spark, "score-files")
+    return read_score_files(spark, write_score_files(sc.score_tables(clicks), root))
+
+
+@register("scoring_features_from_files", _scoring_sql("JOIN", False))
+def scoring_features_from_files(spark, sf):
+    """Scoring features looked up in the persisted score files, as a scoring job has them."""
+    clicks = clicks_from_events(spark, sf)
+    return scoring.scoring_features(clicks, _score_files(spark, clicks))
+
+
 @register("score_table_roundtrip", scores() + """
 SELECT dim, key, custom_score FROM scores""")
 def score_table_roundtrip(spark, sf):
     """Score tables written as one CSV per category (text keys), read back
     with their typed schemas and stacked (dim, key, custom_score)."""
-    root = scratch_path(spark, "score-files")
-    paths = write_score_files(sc.score_tables(clicks_from_events(spark, sf)), root)
     parts = [df.select(F.lit(dim).alias("dim"), F.col(dim).try_cast("long").alias("key"),
                        "custom_score")
-             for dim, df in read_score_files(spark, paths).items()]
+             for dim, df in _score_files(spark, clicks_from_events(spark, sf)).items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+@register("modelling_samples_roundtrip", """
+SELECT sample_id, count(*) AS positives
+FROM clicks, (VALUES (1), (2), (3), (4)) s(sample_id) WHERE is_attributed = 1 GROUP BY sample_id""")
+def modelling_samples_roundtrip(spark, sf):
+    """The sampling job written in folders by sample and read back: every sample keeps all conversions
+    (the share of the other clicks is random)."""
+    path = scratch_path(spark, "modelling-samples")
+    training.write_modelling_samples(clicks_from_events(spark, sf), path)
+    back = training.read_modelling_samples(spark, path)
+    return back.where(F.col("is_attributed") == 1).groupBy("sample_id").agg(F.count(F.lit(1)).alias("positives"))
+
+
 @register("model_roundtrip")
 def model_roundtrip(spark, sf):
     """Save, load, score: predictions of the loaded model on dev."""

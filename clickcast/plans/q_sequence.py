@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clickcast.functions.calendar import weekday_number
 from clickcast.functions.categories import band_case_sql
 from clickcast.operators import scores as sc
+from clickcast.operators.ordering import with_positions
 from clickcast.operators.sequence import sequence_features
 from clickcast.plans import scoring, training
 from clickcast.plans.catalog import register
@@ -170,18 +171,23 @@ def conversion_rate_os(spark, sf):
 MIN_SUPPORT = 1000
 
 
-@register("conversion_rate_min_support", "\n UNION ALL ".join(
+MIN_SUPPORT_SQL = "\n UNION ALL ".join(
     f"SELECT '{d}' AS dim, CAST({d} AS BIGINT) AS key, \"0\", \"1\", prcnt_1 "
-    f"FROM ({_rate_sql(d)}) r WHERE \"0\" + \"1\" >= {MIN_SUPPORT}" for d in DIMS))
+    f"FROM ({_rate_sql(d)}) r WHERE {d} IS NOT NULL AND \"0\" + \"1\" >= {MIN_SUPPORT}" for d in DIMS)
+
+
+@register("conversion_rate_min_support", MIN_SUPPORT_SQL)
 def conversion_rate_min_support(spark, sf):
-    clicks = clicks_from_events(spark, sf)
-    parts = [sc.min_support(sc.conversion_rate(clicks, d), MIN_SUPPORT)
-               .select(F.lit(d).alias("dim"), F.col(d).cast("long").alias("key"),
-                       "0", "1", "prcnt_1") for d in DIMS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The rates of all four keys from one read of the log."""
+    counts = sc.label_counts(clicks_from_events(spark, sf), DIMS)
+    return sc.min_support(sc.rates_from_counts(counts), MIN_SUPPORT)
+
+
+@register("conversion_rate_positions", "SELECT *, row_number() OVER (ORDER BY prcnt_1 DESC, dim, key) AS position "
+                                       f"FROM ({MIN_SUPPORT_SQL}) s")
+def conversion_rate_positions(spark, sf):
+    """The same, highest rate first, the order kept as a column."""
+    return with_positions(conversion_rate_min_support(spark, sf), F.col("prcnt_1").desc(), "dim", "key")
 
 
 @register("score_sparse_key", """

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from clickcast.functions.calendar import hour_of_day, weekday_abbr
 from clickcast.operators.joins import DEFAULT_BROADCAST_ROWS, join_per_key, maybe_broadcast, measured
@@ -104,6 +105,14 @@ def write_modelling_samples(clicks: DataFrame, out_dir: str, fractions=None,
     return class_balance(extract)
 
 
+def read_modelling_samples(spark, out_dir: str, sample_ids=None) -> DataFrame:
+    """Samples written by :func:`write_modelling_samples`; given ids prune the folders that are read."""
+    from clickcast.sources.clicks import EXTRACT_SCHEMA, read_csv
+
+    keep = None if sample_ids is None else F.col("sample_id").isin(*sample_ids)
+    return read_csv(spark, out_dir, StructType([*EXTRACT_SCHEMA.fields, StructField("sample_id", IntegerType())]), where=keep)
+
+
 def user_ever_attributed(clicks: DataFrame, user_cols=("ip", "device", "os"),
                          label_col: str = "is_attributed", id_col: str = "click_id", **bounds) -> DataFrame:
     """Conversions per user joined back to each click.

@@ -8,7 +8,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DoubleType,
@@ -183,14 +183,19 @@ def read_score_files(spark: SparkSession, paths: dict[str, str]) -> dict[str, Da
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType,
-             null_value: str = "null") -> DataFrame:
-    """Typed CSV read, malformed rows dropped by a full-width parse (see ``read_clicks_csv``)."""
+             null_value: str = "null", where: Column | None = None) -> DataFrame:
+    """Typed CSV read, malformed rows dropped by a full-width parse (see ``read_clicks_csv``).
+
+    ``where`` on the folders' partition columns prunes what is parsed.
+    """
     df = (spark.read.schema(schema)
           .option("header", True)
           .option("nullValue", null_value)
           .option("mode", "DROPMALFORMED")
           .option("timestampFormat", TIMESTAMP_FORMAT)
           .csv(path))
+    if where is not None:
+        df = df.where(where)
     out = scratch_path(spark, "csv-parquet")
     df.write.parquet(out)
     return spark.read.schema(df.schema).parquet(out)
