@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -128,6 +129,45 @@ def test_gamma_takes_splits_back_and_columns_are_sampled(rows):
     assert one.loc[one["feature"] >= 0, "feature"].nunique() > 1
 
 
+def test_flags_take_no_room_for_bins_they_do_not_have():
+    rnd = np.random.default_rng(5)
+    x = np.concatenate([rnd.random((4000, 1)), rnd.random((4000, 30)) < 0.5], axis=1)
+    y = (rnd.random(4000) < 0.5).astype(float)
+    point = {**bo.GRID, "rounds": 1, "max_depth": 12, "columns_per_tree": 1.0, "columns_per_level": 1.0, "gamma": 0.0}
+    tracemalloc.start()
+    nodes = bo.boost(x, y, point)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # A level of some hundred nodes by 31 columns by 256 bins would alone take more.
+    assert len(nodes) > 500 and peak < 20e6
+
+
+def brute_split(x, grad, hess, lam):
+    """Largest gain of any cut of one node's rows."""
+    best = -math.inf
+    for col in x.T:
+        for cut in np.unique(col)[:-1]:
+            low = col <= cut
+            sums = [(grad[m].sum(), hess[m].sum()) for m in (low, ~low)]
+            if min(h for _, h in sums) >= bo.MIN_CHILD:
+                best = max(best, sum(g * g / (h + lam) for g, h in sums) - grad.sum() ** 2 / (hess.sum() + lam))
+    return best
+
+
+def test_first_splits_are_the_best_of_all_cuts(rows):
+    point, pdf, _ = boosted(rows, columns_per_tree=1.0, columns_per_level=1.0, rounds=1, gamma=0.0)
+    x, y = np.round(pdf[list(COLS)].to_numpy(), 2), pdf["is_attributed"].to_numpy(dtype=float)
+    tree = bo.boost(x, y, point)
+    at, grad, hess = {0: np.ones(len(x), dtype=bool)}, 0.5 - y, np.full(len(x), 0.25)
+    for node, r in tree.set_index("node").iterrows():
+        if r["left"] < 0:
+            continue
+        mine = at[node]
+        assert r["loss"] == pytest.approx(brute_split(x[mine], grad[mine], hess[mine], point["reg_lambda"]))
+        low = x[:, int(r["feature"])] <= r["threshold"]
+        at[int(r["left"])], at[int(r["right"])] = mine & low, mine & ~low
+
+
 def test_boosted_scores_follow_the_label_and_the_bound_is_per_label(spark, rows):
     grid = {**bo.GRID, "rounds": 30, "max_depth": [3, 64], "columns_per_level": 1.0}
     scores = bo.out_of_fold_scores(rows, grid, cols=COLS)
