@@ -8,6 +8,11 @@ enough decrease; where the rule first says no on a row's way down, the row stops
 So one forest per least leaf share and fold serves all depths and split shares:
 a node's split does not depend on what grows below it.
 
+``pyspark.ml`` also grows every node to the end and merges sibling leaves of one label, so it spends
+most of its passes below what any rule keeps, and loses splits that a rule does keep.  Forests are
+therefore grown here, level by level (:mod:`clickcast.operators.tree_levels`), down to what the mildest
+rule keeps, and saved as models of ``pyspark.ml``, which loads, applies and stores them.
+
 Rows go down the trees on the executors (leaf numbers of ``pyspark.ml``); a rule is a table
 (tree, leaf) → share of label 1 at the stop, as large as the model.
 """
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 import json
 import math
+from functools import cache
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -24,12 +30,15 @@ import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickcast.operators.evaluate import roc_auc
 from clickcast.operators.features import HOUR_FLAG_COLS, NUMERIC_COLS
 from clickcast.operators.sampling import SEED
+from clickcast.operators.tree_levels import Cells, grow_trees
+from clickcast.session import scratch_path
 
 FEATURE_COLS = NUMERIC_COLS + HOUR_FLAG_COLS
 LABEL = "is_attributed"
@@ -50,12 +59,55 @@ def assembled(df: DataFrame, cols=FEATURE_COLS) -> DataFrame:
 
 
 def grow(train: DataFrame, n_trees: int, min_samples_leaf: float, max_depth: int = DEEPEST, seed: int = SEED,
-         cols=FEATURE_COLS) -> RandomForestClassificationModel:
-    """A forest by entropy with a square root of the features at each node, not yet cut by any rule."""
-    est = RandomForestClassifier(
-        labelCol=LABEL, featuresCol="features", impurity="entropy", featureSubsetStrategy="sqrt", seed=seed,
-        numTrees=n_trees, maxDepth=min(max_depth, DEEPEST), minWeightFractionPerNode=min_samples_leaf, minInfoGain=0.0)
-    return est.fit(assembled(train, cols))
+         cols=FEATURE_COLS, min_samples_split: float = 0.0,
+         min_impurity_decrease: float = 0.0, cells: Cells | None = None) -> RandomForestClassificationModel:
+    """A forest by entropy with a square root of the features at each node.
+
+    It is whole for every rule that asks for at least this share of rows and this decrease, and is cut by none yet.
+    ``cells`` are those of ``train``, if made already.
+    """
+    spark = train.sparkSession
+    rule = {"max_depth": min(max_depth, DEEPEST), "min_samples_leaf": min_samples_leaf,
+            "min_samples_split": min_samples_split, "min_impurity_decrease": min_impurity_decrease}
+    nodes = grow_trees(cells or training_cells(train, cols), n_trees, rule, seed)
+    # The files of a model of this many bare roots; the nodes are then put in their place.
+    model, folder = bare_roots(spark, n_trees, len(cols)), scratch_path(spark, "forest-grown")
+    model = model.copy({model.minWeightFractionPerNode: min(min_samples_leaf, 0.49), model.maxDepth: rule["max_depth"],
+                        model.seed: seed})
+    model.write().overwrite().save(folder)
+    node_rows(spark, nodes).coalesce(1).write.mode("overwrite").parquet(f"{folder}/data")
+    return RandomForestClassificationModel.load(folder)
+
+
+def training_cells(train: DataFrame, cols=FEATURE_COLS) -> Cells:
+    return Cells(train.select(F.col(LABEL).cast("int").alias(LABEL), *[F.col(c).cast("double").alias(c) for c in cols]), LABEL)
+
+
+@cache
+def bare_roots(spark: SparkSession, n_trees: int, n_features: int) -> RandomForestClassificationModel:
+    """A model of ``pyspark.ml`` whose trees do not split; the same for all forests of this size."""
+    est = RandomForestClassifier(labelCol=LABEL, featuresCol="features", impurity="entropy",
+                                 featureSubsetStrategy="sqrt", numTrees=n_trees, maxDepth=0, minInfoGain=0.0)
+    rows = spark.createDataFrame([(Vectors.dense([0.0] * n_features), k % 2) for k in range(100)], ["features", LABEL])
+    return est.fit(rows.coalesce(1))
+
+
+def node_rows(spark: SparkSession, nodes: pd.DataFrame) -> DataFrame:
+    """Grown nodes (numbered left to right in their trees) as ``pyspark.ml`` saves them."""
+    table = spark.createDataFrame(nodes)
+    inner = F.col("left") >= 0
+    total = F.col("zeros") + F.col("ones")
+    share = F.when(total > 0, F.col("ones") / total).otherwise(0.0)
+    half = [F.when(x > 0, -x * F.log2(x)).otherwise(0.0) for x in (share, 1 - share)]
+    return table.select(F.col("tree").cast("int").alias("treeID"), F.struct(
+        F.col("node").cast("int").alias("id"), (share > 0.5).cast("double").alias("prediction"),
+        (half[0] + half[1]).alias("impurity"), F.array("zeros", "ones").alias("impurityStats"),
+        total.cast("long").alias("rawCount"), F.col("gain"),
+        F.col("left").cast("int").alias("leftChild"), F.col("right").cast("int").alias("rightChild"),
+        F.struct(F.col("feature").cast("int").alias("featureIndex"),
+                 F.when(inner, F.array("threshold")).otherwise(F.array().cast("array<double>")).alias(
+                     "leftCategoriesOrThreshold"),
+                 F.lit(-1).alias("numCategories")).alias("split")).alias("nodeData"))
 
 
 def read_nodes(spark: SparkSession, saved: str) -> DataFrame:
@@ -149,7 +201,9 @@ def out_of_fold_scores(train: DataFrame, grid: dict, folder: str, fold: str = "f
         leaf, k = job
         mine = [p for p in points if p["min_samples_leaf"] == leaf]
         saved, scored = f"{folder}/forest-{leaf}-{k}", f"{folder}/scores-{leaf}-{k}"
-        model = grow(train.where(F.col(fold) != k), grid["n_trees"], leaf, max(grid["max_depth"]), cols=cols)
+        model = grow(train.where(F.col(fold) != k), grid["n_trees"], leaf, max(grid["max_depth"]), cols=cols,
+                     min_samples_split=min(grid["min_samples_split"]),
+                     min_impurity_decrease=grid["min_impurity_decrease"], cells=cells[k])
         model.write().overwrite().save(saved)
         rows = point_scores(model, share_table(read_nodes(spark, saved), mine), train.where(F.col(fold) == k), cols)
         rows.select(F.col(fold).alias("fold"), LABEL, F.posexplode("scores").alias("at", "score")).select(
@@ -157,7 +211,10 @@ def out_of_fold_scores(train: DataFrame, grid: dict, folder: str, fold: str = "f
             "overwrite").parquet(scored)
         return scored
 
+    bare_roots(spark, grid["n_trees"], len(cols))  # once, not by each thread
     with ThreadPool(PARALLEL) as pool:
+        # The forests of one fold, whatever their leaf share, grow on the same cells.
+        cells = pool.map(lambda k: training_cells(train.where(F.col(fold) != k), cols), range(n_folds), chunksize=1)
         paths = pool.map(one, list(product(grid["min_samples_leaf"], range(n_folds))), chunksize=1)
     return spark.read.parquet(*paths)
 
@@ -184,7 +241,8 @@ class CutForest:
     @staticmethod
     def fit(train: DataFrame, point: dict, folder: str, cols=FEATURE_COLS) -> CutForest:
         spark = train.sparkSession
-        model = grow(train, point["n_trees"], point["min_samples_leaf"], point["max_depth"], cols=cols)
+        model = grow(train, point["n_trees"], point["min_samples_leaf"], point["max_depth"], cols=cols,
+                     min_samples_split=point["min_samples_split"], min_impurity_decrease=point["min_impurity_decrease"])
         return CutForest.write(spark, model, point, folder, cols)
 
     @staticmethod
