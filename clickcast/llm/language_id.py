@@ -30,7 +30,7 @@ N_BUCKETS = 1 << 15
 GRAM_SIZES = (1, 2, 3)
 SMOOTHING = 0.5
 MAX_LANGS = 512
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 17
 UNKNOWN = "und"
 _SPACE = 32
 
