@@ -63,8 +63,12 @@ def assemble(df: DataFrame, cols, out: str = "features") -> DataFrame:
 def model_matrix(extract: DataFrame, numeric=NUMERIC_COLS, keep=("click_id",)) -> DataFrame:
     """Scaled numerics followed by the 24 hour flags (flat columns)."""
     ids = [c for c in keep if c in extract.columns]
-    scaled = min_max_scale(extract, numeric)
-    return one_hot_hour(scaled).select(*ids, *numeric, *HOUR_FLAG_COLS)
+    return hour_flags(min_max_scale(extract, numeric), ids, numeric)
+
+
+def hour_flags(scaled: DataFrame, ids, numeric=NUMERIC_COLS, more=()) -> DataFrame:
+    """Ids, numerics, the 24 hour flags and more columns."""
+    return one_hot_hour(scaled).select(*ids, *numeric, *HOUR_FLAG_COLS, *more)
 
 
 def scoring_matrix(scoring: DataFrame, numeric=NUMERIC_COLS, keep=("click_id",)) -> DataFrame:
@@ -73,4 +77,4 @@ def scoring_matrix(scoring: DataFrame, numeric=NUMERIC_COLS, keep=("click_id",))
     ids = [c for c in keep if c in scoring.columns]
     filled = scoring.na.fill(0, subset=list(numeric))
     scaled = min_max_scale(filled, numeric, zero_baseline=True)
-    return one_hot_hour(scaled).select(*ids, *numeric, *HOUR_FLAG_COLS)
+    return hour_flags(scaled, ids, numeric)

@@ -13,23 +13,24 @@ most of its passes below what any rule keeps, and loses splits that a rule does
 therefore grown here, level by level (:mod:`clickcast.operators.tree_levels`), down to what the mildest
 rule keeps, and saved as models of ``pyspark.ml``, which loads, applies and stores them.
 
-Rows go down the trees on the executors (leaf numbers of ``pyspark.ml``); a rule is a table
-(tree, leaf) → share of label 1 at the stop, as large as the model.
+Rows go down the trees on the executors, by arrays of the nodes; a rule is a table
+(tree, leaf) → share of label 1 at the stop, as large as the model.  Rules that stop every row at the same
+share are worked out once.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from functools import cache
+from functools import cache, cached_property
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from clickcast.operators.evaluate import roc_auc
 from clickcast.operators.features import HOUR_FLAG_COLS, NUMERIC_COLS
 from clickcast.operators.sampling import SEED
-from clickcast.operators.tree_levels import Cells, grow_trees
+from clickcast.operators.tree_levels import Cells, fold_cells, grow_forests
 from clickcast.session import scratch_path
 
 FEATURE_COLS = NUMERIC_COLS + HOUR_FLAG_COLS
@@ -50,8 +51,8 @@ NODES = ("tree int, node int, left int, right int, rows long, gain double, featu
 GRID = {"n_trees": 300, "max_depth": [8, 16, 32], "min_samples_split": [0.025, 0.05, 0.1],
         "min_samples_leaf": [0.025, 0.05, 0.1], "min_impurity_decrease": 0.001}
 DEEPEST = 30
-#: Forests grown at a time.
-PARALLEL = 4
+#: Folds worked on at a time.
+PARALLEL = 5
 
 
 def assembled(df: DataFrame, cols=FEATURE_COLS) -> DataFrame:
@@ -59,28 +60,37 @@ def assembled(df: DataFrame, cols=FEATURE_COLS) -> DataFrame:
 
 
 def grow(train: DataFrame, n_trees: int, min_samples_leaf: float, max_depth: int = DEEPEST, seed: int = SEED,
-         cols=FEATURE_COLS, min_samples_split: float = 0.0,
-         min_impurity_decrease: float = 0.0, cells: Cells | None = None) -> RandomForestClassificationModel:
+         cols=FEATURE_COLS, min_samples_split: float = 0.0, min_impurity_decrease: float = 0.0,
+         nodes: pd.DataFrame | None = None, folder: str | None = None) -> RandomForestClassificationModel | None:
     """A forest by entropy with a square root of the features at each node.
 
     It is whole for every rule that asks for at least this share of rows and this decrease, and is cut by none yet.
-    ``cells`` are those of ``train``, if made already.
+    ``nodes`` are its node table, if grown with others already.  With ``folder`` it is saved there and not loaded.
     """
     spark = train.sparkSession
-    rule = {"max_depth": min(max_depth, DEEPEST), "min_samples_leaf": min_samples_leaf,
-            "min_samples_split": min_samples_split, "min_impurity_decrease": min_impurity_decrease}
-    nodes = grow_trees(cells or training_cells(train, cols), n_trees, rule, seed)
+    rule = growing_rule(min_samples_leaf, max_depth, min_samples_split, min_impurity_decrease)
+    if nodes is None:
+        nodes = grow_forests(training_cells(train, cols), n_trees, [rule], seed)[0]
     # The files of a model of this many bare roots; the nodes are then put in their place.
-    model, folder = bare_roots(spark, n_trees, len(cols)), scratch_path(spark, "forest-grown")
+    model, saved = bare_roots(spark, n_trees, len(cols)), folder or scratch_path(spark, "forest-grown")
     model = model.copy({model.minWeightFractionPerNode: min(min_samples_leaf, 0.49), model.maxDepth: rule["max_depth"],
                         model.seed: seed})
-    model.write().overwrite().save(folder)
-    node_rows(spark, nodes).coalesce(1).write.mode("overwrite").parquet(f"{folder}/data")
-    return RandomForestClassificationModel.load(folder)
+    model.write().overwrite().save(saved)
+    node_rows(spark, nodes).coalesce(1).write.mode("overwrite").parquet(f"{saved}/data")
+    return None if folder else RandomForestClassificationModel.load(saved)
+
+
+def growing_rule(min_samples_leaf: float, max_depth: int, min_samples_split: float, min_impurity_decrease: float) -> dict:
+    return {"max_depth": min(max_depth, DEEPEST), "min_samples_leaf": min_samples_leaf,
+            "min_samples_split": min_samples_split, "min_impurity_decrease": min_impurity_decrease}
+
+
+def _labelled(train: DataFrame, cols, *more: str) -> DataFrame:
+    return train.select(*more, F.col(LABEL).cast("int").alias(LABEL), *[F.col(c).cast("double").alias(c) for c in cols])
 
 
 def training_cells(train: DataFrame, cols=FEATURE_COLS) -> Cells:
-    return Cells(train.select(F.col(LABEL).cast("int").alias(LABEL), *[F.col(c).cast("double").alias(c) for c in cols]), LABEL)
+    return Cells(_labelled(train, cols), LABEL)
 
 
 @cache
@@ -156,29 +166,70 @@ def stop_shares(nodes: DataFrame, points: list[dict]) -> DataFrame:
     return nodes.groupBy("tree").applyInPandas(stops, "tree int, leaf int, shares array<double>")
 
 
-def share_table(nodes: DataFrame, points: list[dict]) -> np.ndarray:
-    """[point, tree, leaf] → share of label 1; as large as the model."""
+class StopShares:
+    """The trees of a forest as arrays, and [point, tree, leaf] → share of label 1; as large as the model."""
+
+    def __init__(self, nodes: pd.DataFrame, table: np.ndarray):
+        # Points of one table have one score: the table of the first of them, and its place for every point.
+        self.first, self.place = [], []
+        for k in range(len(table)):
+            same = next((j for j, f in enumerate(self.first) if np.array_equal(table[k], table[f])), len(self.first))
+            if same == len(self.first):
+                self.first.append(k)
+            self.place.append(same)
+        self.table = table[self.first]
+        self.trees = []
+        for _, tree in nodes.sort_values(["tree", "node"]).groupby("tree"):
+            left, right = (tree[c].to_numpy(dtype=np.int64) for c in ("left", "right"))
+            inner, own = left >= 0, np.arange(len(left))
+            depth = np.zeros(len(left), dtype=np.int64)
+            for node in np.flatnonzero(inner):
+                depth[[left[node], right[node]]] = depth[node] + 1
+            self.trees.append((
+                int(depth.max()), np.where(inner, tree["feature"], 0).astype(np.int64), tree["threshold"].to_numpy(np.float64),
+                np.stack([np.where(inner, left, own), np.where(inner, right, own)], axis=1).ravel(),
+                np.cumsum(~inner) - 1))
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """[distinct table, row] → mean share over the trees; ``x`` has a row a feature.  NaN goes right."""
+        out, n = np.zeros((len(self.table), x.shape[1])), x.shape[1]
+        flat, row = np.ascontiguousarray(x).ravel(), np.arange(x.shape[1])
+        for t, (depth, feature, threshold, child, leaf) in enumerate(self.trees):
+            at = np.zeros(n, dtype=np.int64)
+            for _ in range(depth):
+                at = child.take(at * 2 + ~(flat.take(feature.take(at) * n + row) <= threshold.take(at)))
+            at = leaf.take(at)
+            for k, shares in enumerate(self.table[:, t]):
+                out[k] += shares.take(at)
+        return out / len(self.trees)
+
+
+def share_table(nodes: DataFrame, points: list[dict]) -> StopShares:
     rows = stop_shares(nodes, points).toPandas()
     table = np.zeros((len(points), rows["tree"].max() + 1, rows["leaf"].max() + 1))
     table[:, rows["tree"], rows["leaf"]] = np.array(rows["shares"].tolist()).T
-    return table
+    return StopShares(nodes.toPandas(), table)
 
 
-def point_scores(model: RandomForestClassificationModel, table: np.ndarray, df: DataFrame, cols=FEATURE_COLS) -> DataFrame:
-    """``df`` with ``scores``: per point the mean share over the trees."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(table)
-    model = model.copy()
-    model.setLeafCol("_leaf")
+def mean_shares(spark: SparkSession, tables: list[StopShares], cols, every_point: bool) -> Column:
+    """An array of the mean shares over the trees, table after table: for each point, or for the first of equal ones."""
+    shared = spark.sparkContext.broadcast(tables)
 
-    @F.pandas_udf("array<double>")
-    def scores(leaves: pd.Series) -> pd.Series:
-        leaf = np.stack(leaves.to_numpy()).astype(np.int64)
-        per_point = shared.value[:, np.arange(leaf.shape[1]), leaf].mean(axis=2)
-        return pd.Series(per_point.T.tolist())
+    @F.arrow_udf("array<double>")
+    def scores(*columns: pa.Array) -> pa.Array:
+        x = np.stack([c.to_numpy(zero_copy_only=False) for c in columns])
+        per_point = np.concatenate([t.scores(x)[t.place if every_point else slice(None)] for t in shared.value])
+        ends = np.arange(x.shape[1] + 1, dtype=np.int32) * len(per_point)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(per_point.T.ravel()))
 
-    kept = df.columns
-    return model.transform(assembled(df, cols)).select(*kept, scores(vector_to_array("_leaf")).alias("scores"))
+    return scores(*[F.col(c).cast("double") for c in cols])
+
+
+def point_scores(model: RandomForestClassificationModel | None, table: StopShares, df: DataFrame, cols=FEATURE_COLS) -> DataFrame:
+    """``df`` with ``scores``: per point the mean share over the trees of ``table`` (those of ``model``, if it is given)."""
+    if model is not None and model.getNumTrees != len(table.trees):
+        raise ValueError("the table is of another forest")
+    return df.select("*", mean_shares(df.sparkSession, [table], cols, True).alias("scores"))
 
 
 def grid_points(grid: dict) -> list[dict]:
@@ -188,43 +239,71 @@ def grid_points(grid: dict) -> list[dict]:
             for leaf, depth, split in product(grid["min_samples_leaf"], grid["max_depth"], grid["min_samples_split"])]
 
 
-def out_of_fold_scores(train: DataFrame, grid: dict, folder: str, fold: str = "fold", n_folds: int = 5,
-                       cols=FEATURE_COLS) -> DataFrame:
-    """point, fold, label, score of every row and grid point; a forest a (leaf share, fold), kept under ``folder``.
+def out_of_fold_variants(train: DataFrame, grid: dict, folder: str, fold: str = "fold", n_folds: int = 5,
+                         cols=FEATURE_COLS) -> tuple[DataFrame, DataFrame]:
+    """Scores of every row, once for the points that cut a fold's forest alike; a forest a (leaf share, fold).
 
-    ``point`` is the place in :func:`grid_points`.
+    Forests are kept under ``folder``.  The first table has variant, fold, label, score; the second point, fold, variant.
+    ``point`` is the place in :func:`grid_points`, ``variant`` the first point of the same scores.
     """
-    spark = train.sparkSession
+    spark, leaves = train.sparkSession, grid["min_samples_leaf"]
     points = grid_points(grid)
-
-    def one(job: tuple[float, int]) -> str:
-        leaf, k = job
-        mine = [p for p in points if p["min_samples_leaf"] == leaf]
-        saved, scored = f"{folder}/forest-{leaf}-{k}", f"{folder}/scores-{leaf}-{k}"
-        model = grow(train.where(F.col(fold) != k), grid["n_trees"], leaf, max(grid["max_depth"]), cols=cols,
-                     min_samples_split=min(grid["min_samples_split"]),
-                     min_impurity_decrease=grid["min_impurity_decrease"], cells=cells[k])
-        model.write().overwrite().save(saved)
-        rows = point_scores(model, share_table(read_nodes(spark, saved), mine), train.where(F.col(fold) == k), cols)
-        rows.select(F.col(fold).alias("fold"), LABEL, F.posexplode("scores").alias("at", "score")).select(
-            (F.col("at") + points.index(mine[0])).alias("point"), "fold", LABEL, "score").write.mode(
+    by_leaf = [[k for k, p in enumerate(points) if p["min_samples_leaf"] == leaf] for leaf in leaves]
+    mildest = max(grid["max_depth"]), min(grid["min_samples_split"]), grid["min_impurity_decrease"]
+
+    def one(k: int) -> tuple[str, list[tuple[int, int, int]]]:
+        # The forests of one fold, whatever their leaf share, grow on the same cells, together.
+        grown = grow_forests(cells[k], grid["n_trees"], [growing_rule(leaf, *mildest) for leaf in leaves], SEED)
+        depth, split, decrease = mildest
+        tables, same, variants = [], [], []
+        for leaf, nodes, mine in zip(leaves, grown, by_leaf):
+            saved = f"{folder}/forest-{leaf}-{k}"
+            grow(train, grid["n_trees"], leaf, depth, cols=cols, min_samples_split=split, min_impurity_decrease=decrease,
+                 nodes=nodes, folder=saved)
+            table = share_table(read_nodes(spark, saved), [points[p] for p in mine])
+            tables.append(table)
+            variants += [mine[f] for f in table.first]
+            same += [(p, k, mine[table.first[at]]) for p, at in zip(mine, table.place)]
+        rows = train.where(F.col(fold) == k).select(
+            F.col(fold).alias("fold"), LABEL, F.posexplode(mean_shares(spark, tables, cols, False)).alias("at", "score"))
+        scored = f"{folder}/scores-{k}"
+        rows.select(F.get(F.array(*map(F.lit, variants)), "at").alias("variant"), "fold", LABEL, "score").write.mode(
             "overwrite").parquet(scored)
-        return scored
+        return scored, same
 
-    bare_roots(spark, grid["n_trees"], len(cols))  # once, not by each thread
     with ThreadPool(PARALLEL) as pool:
-        # The forests of one fold, whatever their leaf share, grow on the same cells.
-        cells = pool.map(lambda k: training_cells(train.where(F.col(fold) != k), cols), range(n_folds), chunksize=1)
-        paths = pool.map(one, list(product(grid["min_samples_leaf"], range(n_folds))), chunksize=1)
-    return spark.read.parquet(*paths)
+        roots = pool.apply_async(bare_roots, (spark, grid["n_trees"], len(cols)))  # once, not by each thread
+        cells = fold_cells(_labelled(train, cols, fold), LABEL, fold, list(range(n_folds)))
+        roots.get()
+        done = pool.map(one, range(n_folds), chunksize=1)
+    return (spark.read.parquet(*[scored for scored, _ in done]),
+            spark.createDataFrame([x for _, same in done for x in same], "point int, fold int, variant int"))
 
 
-def grid_metrics(scores: DataFrame, grid: dict) -> DataFrame:
-    """A row a grid point: its parameters, mean and deviation of the folds' area under the ROC curve, and its rank."""
+def out_of_fold_scores(train: DataFrame, grid: dict, folder: str, fold: str = "fold", n_folds: int = 5,
+                       cols=FEATURE_COLS) -> DataFrame:
+    """point, fold, label, score of every row and grid point."""
+    return every_point(*out_of_fold_variants(train, grid, folder, fold, n_folds, cols))
+
+
+def every_point(scores: DataFrame, same: DataFrame) -> DataFrame:
+    """point, fold, label, score from the two tables of :func:`out_of_fold_variants`."""
+    # A row a point and fold: a proven bound.
+    return scores.join(F.broadcast(same), ["variant", "fold"]).select("point", "fold", LABEL, "score")
+
+
+def grid_metrics(scores: DataFrame, grid: dict, same: DataFrame | None = None) -> DataFrame:
+    """A row a grid point: its parameters, mean and deviation of the folds' area under the ROC curve, and its rank.
+
+    With ``same``, ``scores`` has the variants of :func:`out_of_fold_variants`, each measured once.
+    """
     points = scores.sparkSession.createDataFrame(
         [(k, p["max_depth"], p["min_samples_split"], p["min_samples_leaf"]) for k, p in enumerate(grid_points(grid))],
         "point int, max_depth int, min_samples_split double, min_samples_leaf double")
-    per_fold = roc_auc(scores, by=["point", "fold"])
+    if same is None:
+        per_fold = roc_auc(scores, by=["point", "fold"])
+    else:
+        per_fold = roc_auc(scores, by=["variant", "fold"]).join(F.broadcast(same), ["variant", "fold"])
     means = per_fold.groupBy("point").agg(F.avg("roc_auc").alias("roc_auc"), F.stddev_pop("roc_auc").alias("roc_auc_std"))
     return points.join(means, "point")
 
@@ -234,20 +313,27 @@ class CutForest:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self.model = RandomForestClassificationModel.load(f"{folder}/forest")
         meta = spark.read.text(f"{folder}/point").first()["value"]
         self.point, self.cols = json.loads(meta)["point"], json.loads(meta)["cols"]
 
     @staticmethod
     def fit(train: DataFrame, point: dict, folder: str, cols=FEATURE_COLS) -> CutForest:
-        spark = train.sparkSession
-        model = grow(train, point["n_trees"], point["min_samples_leaf"], point["max_depth"], cols=cols,
-                     min_samples_split=point["min_samples_split"], min_impurity_decrease=point["min_impurity_decrease"])
-        return CutForest.write(spark, model, point, folder, cols)
+        grow(train, point["n_trees"], point["min_samples_leaf"], point["max_depth"], cols=cols,
+             min_samples_split=point["min_samples_split"], min_impurity_decrease=point["min_impurity_decrease"],
+             folder=f"{folder}/forest")
+        return CutForest._with_point(train.sparkSession, point, folder, cols)
+
+    @cached_property
+    def model(self) -> RandomForestClassificationModel:
+        return RandomForestClassificationModel.load(f"{self.folder}/forest")
 
     @staticmethod
     def write(spark: SparkSession, model, point: dict, folder: str, cols=FEATURE_COLS) -> CutForest:
         model.write().overwrite().save(f"{folder}/forest")
+        return CutForest._with_point(spark, point, folder, cols)
+
+    @staticmethod
+    def _with_point(spark: SparkSession, point: dict, folder: str, cols) -> CutForest:
         meta = json.dumps({"point": point, "cols": list(cols)})
         spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/point")
         return CutForest(spark, folder)
@@ -260,7 +346,7 @@ class CutForest:
 
     def probability(self, df: DataFrame) -> DataFrame:
         """``df`` with ``probability``: of label 1."""
-        scored = point_scores(self.model, share_table(self.nodes(), [self.point]), df, self.cols)
+        scored = point_scores(None, share_table(self.nodes(), [self.point]), df, self.cols)
         return scored.withColumn("probability", F.col("scores")[0]).drop("scores")
 
     def predict(self, df: DataFrame, keep=("click_id",)) -> DataFrame:

@@ -33,6 +33,9 @@ SPLIT_BANDS = (("train", 72), ("train_dev", 80), ("dev", 90), ("test", 100))
 
 TWO_32 = 2 ** 32
 
+#: Hex digits of a bucket of the seeded order: 4,096 buckets a label, so a label of a billion rows has some 250,000 in one.
+PREFIX_HEX = 3
+
 
 def stratified_sample(df: DataFrame, label_col: str, fractions: dict, seed: int = SEED) -> DataFrame:
     return df.sampleBy(label_col, fractions, seed)
@@ -66,7 +69,7 @@ def stratified_sample_hash(df: DataFrame, label_col: str, fractions: dict,
 
 
 def stratum_rank(df: DataFrame, label_col: str, seed: int = SEED, id_col: str = "click_id",
-                 prefix_hex: int = 5) -> DataFrame:
+                 prefix_hex: int = PREFIX_HEX) -> DataFrame:
     """Adds ``_rn`` (1-based position within the label) and ``_n`` (label size),
     plus ``_nmin`` (size of the smallest label)."""
     h = seeded_hash(id_col, seed)
@@ -86,21 +89,24 @@ def stratum_rank(df: DataFrame, label_col: str, seed: int = SEED, id_col: str =
     nmin = totals.select("_s", F.min("_n").over(Window.partitionBy()).alias("_nmin"))
     offsets = sizes.join(nmin, on="_s", how="inner")
     ranked = join_small(df, offsets, on=["_s", "_bucket"], max_rows=200_000)
-    w = Window.partitionBy("_s", "_bucket").orderBy("_h", id_col)
+    # The bucket first: Spark sorts by the first column's leading bytes, which are one for all rows of a label.
+    w = Window.partitionBy("_bucket", "_s").orderBy("_h", id_col)
     return (ranked.withColumn("_rn", F.col("_before") + F.row_number().over(w))
                   .drop("_s", "_h", "_bucket", "_before"))
 
 
 def stratified_split(df: DataFrame, label_col: str = "is_attributed", seed: int = SEED,
-                     id_col: str = "click_id", bands=SPLIT_BANDS) -> DataFrame:
+                     id_col: str = "click_id", bands=SPLIT_BANDS, position: str | None = None) -> DataFrame:
     """``split`` column: exact per-label shares (train 72 %, train_dev 8 %,
-    dev 10 %, test 10 %)."""
+    dev 10 %, test 10 %).  ``position`` names a column for the position within the label;
+    the rows of the first split are the first positions, without gaps."""
     r = stratum_rank(df, label_col, seed, id_col)
     expr = None
     for name, pct in bands[:-1]:
         cond = F.col("_rn") * 100 <= F.col("_n") * pct
         expr = F.when(cond, name) if expr is None else expr.when(cond, name)
-    return r.withColumn("split", expr.otherwise(bands[-1][0])).drop("_rn", "_n", "_nmin")
+    out = r.withColumn("split", expr.otherwise(bands[-1][0]))
+    return (out.withColumnRenamed("_rn", position) if position else out.drop("_rn")).drop("_n", "_nmin")
 
 
 def undersample(df: DataFrame, label_col: str = "is_attributed", seed: int = SEED,
@@ -116,3 +122,14 @@ def stratified_folds(df: DataFrame, k: int = 5, label_col: str = "is_attributed"
     r = stratum_rank(df, label_col, seed, id_col)
     return r.withColumn("fold", F.pmod(F.col("_rn") - 1, F.lit(k)).cast("int")).drop(
         "_rn", "_n", "_nmin")
+
+
+def undersampled_folds(ranked: DataFrame, position: str, k: int = 5, label_col: str = "is_attributed") -> DataFrame:
+    """The folds of the under-sampled rows.
+
+    ``position`` numbers the rows of each label from 1 in the seeded order, so under-sampling keeps the first of them
+    and deals folds along them; it is not in the result.
+    """
+    sizes = ranked.groupBy(label_col).count().agg(F.min("count")).first()[0] or 0
+    return ranked.where(F.col(position) <= sizes).withColumn(
+        "fold", F.pmod(F.col(position) - 1, F.lit(k)).cast("int")).drop(position)

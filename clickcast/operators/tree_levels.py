@@ -8,6 +8,9 @@ tree and the block of cells, so they are made again in each pass instead of bein
 A task sums, for every open node, the weights by bin of the columns the node may split by; Spark
 adds the tasks' sums by tree and picks each node's best split there.  The driver holds the
 nodes: at most 2 / least leaf share a tree.
+
+Forests of the same cells that differ in their rule grow together: a pass draws once for all of them and sums
+once for trees that have split alike so far.  Folds are binned together, too.
 """
 
 from __future__ import annotations
@@ -15,9 +18,11 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,33 +60,66 @@ def draw_weights(counts: np.ndarray, rnd: np.random.Generator) -> np.ndarray:
 
 def bin_cuts(rows: DataFrame, cols: list[str]) -> list[np.ndarray]:
     """Cuts of each column (a value is in bin b if it is above b of them): between all its values, or at quantiles."""
+    return fold_cuts(rows.withColumn("_fold", F.lit(0)), cols, "_fold", [None])[0]
+
+
+def _others(found: list, k: int | None) -> list:
+    """Rows a fold, but for fold ``k``; all of them for None."""
+    return [r for r in found if r[0] != k or k is None]
+
+
+def fold_cuts(rows: DataFrame, cols: list[str], fold: str, left_out: list[int | None]) -> list[list[np.ndarray]]:
+    """For each fold left out (None: none) the cuts of the rows of all others: two passes over the rows for all."""
     known = {c: F.when(~F.isnan(c), F.col(c)) for c in cols}
-    sizes = rows.agg(*[F.approx_count_distinct(known[c]).alias(c) for c in cols]).first()
-    few = [c for c in cols if sizes[c] <= 2 * MAX_BINS]
-    many = [c for c in cols if sizes[c] > MAX_BINS / 2]  # sizes are near, not exact
-    found = rows.agg(F.lit(0), *[F.collect_set(known[c]).alias(f"v_{c}") for c in few],
-                     *[F.percentile_approx(known[c], [k / MAX_BINS for k in range(1, MAX_BINS)], 1_000).alias(f"q_{c}")
-                       for c in many]).first()
-    cuts = []
-    for c in cols:
-        values = np.unique(found[f"v_{c}"]) if c in few else np.empty(0)
-        if c in few and len(values) <= MAX_BINS:
-            cuts.append((values[:-1] + values[1:]) / 2)
-        else:
-            cuts.append(np.unique(found[f"q_{c}"]))
-    return cuts
-
-
-def binned_blocks(rows: DataFrame, label: str, cols: list[str], cuts: list[np.ndarray]) -> DataFrame:
-    """cells, counts (both binary): blocks of cells, those of small counts first; a cell is a byte (bin, label) a column."""
-
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sizes = rows.groupBy(fold).agg(*[F.approx_count_distinct(known[c]).alias(c) for c in cols]).collect()
+    # A column of the rows of some folds has no fewer values than in one of them, no more than in all together.
+    few = {(c, k) for c in cols for k in left_out if max((r[c] for r in _others(sizes, k)), default=0) <= 2 * MAX_BINS}
+    # Sizes are near, not exact.
+    many = [(c, k) for c in cols for k in left_out if sum(r[c] for r in _others(sizes, k)) > MAX_BINS / 2]
+    sets = rows.groupBy(fold).agg(F.lit(0), *[F.collect_set(known[c]).alias(c) for c in cols
+                                              if any((c, k) in few for k in left_out)]).collect()
+    at_ranks = [k / MAX_BINS for k in range(1, MAX_BINS)]
+    quantiles = rows.agg(F.lit(0), *[
+        F.percentile_approx(known[c] if k is None else F.when(F.col(fold) != k, known[c]), at_ranks, 1_000).alias(f"{c} {k}")
+        for c, k in many]).first()
+
+    def cuts(c: str, k: int | None) -> np.ndarray:
+        if (c, k) in few:
+            values = np.unique([v for r in _others(sets, k) for v in r[c]])
+            if len(values) <= MAX_BINS:
+                return (values[:-1] + values[1:]) / 2
+        return np.unique(quantiles[f"{c} {k}"])
+
+    return [[cuts(c, k) for c in cols] for k in left_out]
+
+
+def binned_blocks(rows: DataFrame, label: str, cols: list[str], fold: str, left_out: list[int | None],
+                  cuts: list[list[np.ndarray]]) -> list[DataFrame]:
+    """For each fold left out: cells, counts (both binary): blocks of cells, those of small counts first.
+
+    A cell is a byte (bin, label) a column.  One pass over the rows bins them for all.
+    """
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(cols)
         for batch in batches:
-            y = batch[label].to_numpy(dtype=np.int64)
-            bins = np.stack([np.searchsorted(cut, batch[c].to_numpy(dtype=np.float64)) * 2 + y
-                             for c, cut in zip(cols, cuts)], axis=1).astype(np.uint8)
-            data, width = bins.tobytes(), len(cols)
-            yield pd.DataFrame({"cell": [data[k:k + width] for k in range(0, len(data), width)]})
+            y, folds = (batch.column(c).to_numpy(zero_copy_only=False) for c in (label, fold))
+            x = [batch.column(c).to_numpy(zero_copy_only=False) for c in cols]
+            made: dict[tuple[int, bytes], np.ndarray] = {}
+            for at, k in enumerate(left_out):
+                bins = np.empty((len(y), width), dtype=np.uint8)
+                for j, cut in enumerate(cuts[at]):
+                    key = j, cut.tobytes()
+                    if key not in made:
+                        made[key] = np.searchsorted(cut, x[j]) * 2 + y
+                    bins[:, j] = made[key]
+                if k is not None:
+                    bins = bins[folds != k]
+                ends = np.arange(len(bins) + 1, dtype=np.int32) * width
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(bins), at, dtype=np.int32)),
+                     pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(ends), pa.py_buffer(bins.tobytes())])],
+                    names=["at", "cell"])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def block(parts: list[pd.DataFrame]) -> pd.DataFrame:
@@ -98,10 +136,17 @@ def binned_blocks(rows: DataFrame, label: str, cols: list[str], cuts: list[np.nd
         if held:
             yield block(parts)
 
-    cells = materialised(rows.mapInPandas(code, "cell binary").groupBy("cell").agg(F.count(F.lit(1)).alias("n")),
+    cells = materialised(rows.mapInArrow(code, "at int, cell binary").groupBy("at", "cell").agg(F.count(F.lit(1)).alias("n")),
                          "forest-cells")
-    dealt = cells.repartition(cells.count() // BLOCK_ROWS + 1, "cell").sortWithinPartitions("cell")
-    return materialised(dealt.mapInPandas(pack, "cells binary, counts binary"), "forest-blocks")
+    sizes = dict(cells.groupBy("at").count().collect())
+
+    def blocks(at: int) -> DataFrame:
+        mine = cells.where(F.col("at") == at).select("cell", "n")
+        dealt = mine.repartition(sizes[at] // BLOCK_ROWS + 1, "cell").sortWithinPartitions("cell")
+        return materialised(dealt.mapInPandas(pack, "cells binary, counts binary"), "forest-blocks")
+
+    with ThreadPool(len(left_out)) as pool:
+        return pool.map(blocks, range(len(left_out)), chunksize=1)
 
 
 class Level:
@@ -122,10 +167,22 @@ class Level:
             t["sub"] = np.stack([np.sort(np.random.default_rng([seed, t["tree"], node, 1]).choice(columns, k, replace=False))
                                  for node in t["open"]]).astype(np.int32)
 
-    def sums(self, tree: dict, depth: int, flat: np.ndarray, counts: np.ndarray, block_seed: int) -> np.ndarray:
-        """[open node, column of its choice, bin and label] → weight in one block."""
+    def drawn(self, tree: dict, counts: np.ndarray, block_seed: int) -> np.ndarray:
+        """The weights of one block's cells in a tree: the same in all forests."""
+        return draw_weights(counts, np.random.default_rng([self.seed, tree["tree"], block_seed]))
+
+    def sums(self, tree: dict, depth: int, flat: np.ndarray, counts: np.ndarray, block_seed: int,
+             weights: np.ndarray | None = None, by_column: np.ndarray | None = None) -> np.ndarray:
+        """[open node, column of its choice, bin and label] → weight in one block.
+
+        ``weights`` are those drawn, ``by_column`` the block with a row a column, if made already.
+        """
         feature, cut, child, place = tree["walk"]
-        weights = draw_weights(counts, np.random.default_rng([self.seed, tree["tree"], block_seed]))
+        if weights is None:
+            weights = self.drawn(tree, counts, block_seed)
+        if not depth and by_column is not None:  # all cells are at the root
+            weights = weights.astype(np.float64)
+            return np.stack([np.bincount(by_column[j], weights, CODES) for j in tree["sub"][0]])[None]
         drawn = np.flatnonzero(weights)
         base, weights = (drawn * self.columns).astype(np.int64), weights[drawn].astype(np.float64)
         at = np.zeros(len(drawn), dtype=np.int32)
@@ -167,37 +224,38 @@ def best_splits(sums: np.ndarray, sub: np.ndarray, least: float) -> pd.DataFrame
         "low_ones": low[node, j, cut, 1], "zeros": every[:, 0, 0, 0], "ones": every[:, 0, 0, 1]})
 
 
-def level_splits(blocks: DataFrame, level: Level, depth: int, least: float) -> pd.DataFrame:
-    """tree, place, best split of every open node: one pass over all cells."""
-    by_tree = {t["tree"]: t["sub"] for t in level.trees}
+SPLITS = ("forest int, tree int, place int, feature int, cut int, gain double, low_zeros double, low_ones double, "
+          "zeros double, ones double")
+
+
+def level_splits(blocks: DataFrame, level: Level, depth: int) -> pd.DataFrame:
+    """forest, tree, place, best split of every open node: one pass over all cells."""
+    wanted, names = [(t["sub"], t["forests"]) for t in level.trees], [c.split()[0] for c in SPLITS.split(", ")]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[int, np.ndarray] = {}
+        totals: list[np.ndarray | None] = [None] * len(level.trees)
         for batch in batches:
             for cells, counts in zip(batch["cells"], batch["counts"]):
                 flat, n = np.frombuffer(cells, dtype=np.uint8), np.frombuffer(counts, dtype=np.int64)
+                by_column = None if depth else flat.reshape(-1, level.columns).T.astype(np.int64, order="C")
                 block_seed = zlib.crc32(cells[:level.columns])  # a cell is in one block only
-                for t in level.trees:
-                    found = level.sums(t, depth, flat, n, block_seed)
-                    if t["tree"] in totals:
-                        totals[t["tree"]] += found
-                    else:
-                        totals[t["tree"]] = found
-        for tree, found in totals.items():
-            yield pd.DataFrame({"tree": [tree], "sums": [found.tobytes()]})
+                tree = weights = None
+                for at, t in enumerate(level.trees):
+                    if t["tree"] != tree:
+                        tree, weights = t["tree"], level.drawn(t, n, block_seed)
+                    found = level.sums(t, depth, flat, n, block_seed, weights, by_column)
+                    totals[at] = found if totals[at] is None else totals[at] + found
+        for at, found in enumerate(totals):
+            if found is not None:
+                yield pd.DataFrame({"at": [at], "sums": [found.tobytes()]})
 
     def best(parts: pd.DataFrame) -> pd.DataFrame:
-        tree = int(parts["tree"].iloc[0])
-        sub = by_tree[tree]
+        sub, forests = wanted[int(parts["at"].iloc[0])]
         sums = sum(np.frombuffer(x) for x in parts["sums"]).reshape(len(sub), level.k, CODES)
-        found = best_splits(sums, sub, least)
-        return found.assign(tree=tree, place=range(len(found)))[[c.split()[0] for c in SPLITS.split(", ")]]
-
-    return blocks.mapInPandas(count, "tree int, sums binary").groupBy("tree").applyInPandas(best, SPLITS).toPandas()
-
+        return pd.concat([best_splits(sums[slots], sub[slots], least).assign(forest=forest, tree=tree, place=range(len(slots)))
+                          for forest, tree, slots, least in forests])[names]
 
-SPLITS = ("tree int, place int, feature int, cut int, gain double, low_zeros double, low_ones double, zeros double, "
-          "ones double")
+    return blocks.mapInPandas(count, "at int, sums binary").groupBy("at").applyInPandas(best, SPLITS).toPandas()
 
 
 def _add(tree: dict, zeros: float, ones: float) -> int:
@@ -232,13 +290,41 @@ def numbered(tree: dict, cuts: list[np.ndarray]) -> pd.DataFrame:
 class Cells:
     """Training rows (an int label 0/1, all other columns doubles) in bins, ready to grow any number of forests on."""
 
-    def __init__(self, rows: DataFrame, label: str):
+    def __init__(self, rows: DataFrame, label: str, **made):
         self.cols = [c for c in rows.columns if c != label]
-        facts = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(label).isin(0, 1), 1)).alias("known")).first()
-        if not facts["n"] or facts["known"] < facts["n"]:
-            raise ValueError("a forest needs rows, and labels of 0 or 1")
-        self.n, self.cuts = facts["n"], bin_cuts(rows, self.cols)
-        self.blocks = binned_blocks(rows, label, self.cols, self.cuts)
+        if not made:
+            made = vars(fold_cells(rows.withColumn("_fold", F.lit(0)), label, "_fold", [None])[0])
+        self.n, self.cuts, self.blocks = made["n"], made["cuts"], made["blocks"]
+
+
+def fold_cells(rows: DataFrame, label: str, fold: str, left_out: list[int | None]) -> list[Cells]:
+    """For each fold left out (None: none) the cells of the rows of all others, made together."""
+    cols = [c for c in rows.columns if c not in (label, fold)]
+    rows = rows.where(F.col(fold).isNotNull())
+    facts = rows.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(label).isin(0, 1), 1)).alias("known")).collect()
+    ns = [sum(r["n"] for r in _others(facts, k)) for k in left_out]
+    if not all(ns) or any(r["known"] < r["n"] for r in facts):
+        raise ValueError("a forest needs rows, and labels of 0 or 1")
+    cuts = fold_cuts(rows, cols, fold, left_out)
+    blocks = binned_blocks(rows, label, cols, fold, left_out, cuts)
+    return [Cells(rows.drop(fold), label, n=n, cuts=c, blocks=b) for n, c, b in zip(ns, cuts, blocks)]
+
+
+def _shapes(forests: list[list[dict]], leasts: list[float]) -> list[dict]:
+    """Trees to sum for: those of several forests that have split alike so far have the same draws, columns and sums."""
+    shapes: dict[tuple, dict] = {}
+    for forest, trees in enumerate(forests):
+        for t in trees:
+            if t["open"]:
+                key = t["tree"], *(tuple(t[c]) for c in ("left", "feature", "cut"))
+                shape = shapes.setdefault(key, {c: t[c] for c in ("tree", "left", "right", "feature", "cut")} | {"of": []})
+                shape["of"].append((forest, t["open"]))
+    for shape in shapes.values():
+        shape["open"] = sorted({node for _, nodes in shape["of"] for node in nodes})
+        slot = {node: k for k, node in enumerate(shape["open"])}
+        shape["forests"] = [(forest, shape["tree"], [slot[node] for node in nodes], leasts[forest])
+                            for forest, nodes in shape.pop("of")]
+    return sorted(shapes.values(), key=lambda shape: shape["tree"])
 
 
 def grow_trees(cells: Cells, n_trees: int, rule: dict, seed: int) -> pd.DataFrame:
@@ -247,18 +333,23 @@ def grow_trees(cells: Cells, n_trees: int, rule: dict, seed: int) -> pd.DataFram
     A node splits above a depth, if it has enough of the rows, the decrease weighed by its share of rows is
     enough, and both children keep the least leaf share; NaN is above all values.
     """
-    least = max(1.0, rule["min_samples_leaf"] * cells.n)
+    return grow_forests(cells, n_trees, [rule], seed)[0]
+
+
+def grow_forests(cells: Cells, n_trees: int, rules: list[dict], seed: int) -> list[pd.DataFrame]:
+    """For each rule what :func:`grow_trees` gives: all forests grow in the same passes and share what they have in common."""
+    leasts = [max(1.0, rule["min_samples_leaf"] * cells.n) for rule in rules]
     k = math.ceil(math.sqrt(len(cells.cols)))
-    trees = [{"tree": t, "open": [0], **{c: [] for c in ("left", "right", "feature", "cut", "gain", "zeros", "ones")}}
-             for t in range(n_trees)]
-    for t in trees:
+    forests = [[{"tree": t, "open": [0], **{c: [] for c in ("left", "right", "feature", "cut", "gain", "zeros", "ones")}}
+                for t in range(n_trees)] for _ in rules]
+    for t in (t for trees in forests for t in trees):
         _add(t, 0.0, 0.0)
     depth = 0
-    while depth < max(rule["max_depth"], 1) and any(t["open"] for t in trees):
-        found = level_splits(cells.blocks, Level(trees, k, len(cells.cols), seed), depth, least)
-        opened: dict[int, list[int]] = {t["tree"]: [] for t in trees}
-        for s in found.sort_values(["tree", "place"]).itertuples():
-            t = trees[s.tree]
+    while shapes := _shapes([trees if depth < max(rule["max_depth"], 1) else [] for trees, rule in zip(forests, rules)], leasts):
+        found = level_splits(cells.blocks, Level(shapes, k, len(cells.cols), seed), depth)
+        opened: list[dict[int, list[int]]] = [{t["tree"]: [] for t in trees} for trees in forests]
+        for s in found.sort_values(["forest", "tree", "place"]).itertuples():
+            t, rule, least = forests[s.forest][s.tree], rules[s.forest], leasts[s.forest]
             node = t["open"][s.place]
             t["zeros"][node], t["ones"][node] = s.zeros, s.ones
             n, total = s.zeros + s.ones, t["zeros"][0] + t["ones"][0]
@@ -268,9 +359,10 @@ def grow_trees(cells: Cells, n_trees: int, rule: dict, seed: int) -> pd.DataFram
             t["feature"][node], t["cut"][node], t["gain"][node] = s.feature, s.cut, s.gain
             t["left"][node] = _add(t, s.low_zeros, s.low_ones)
             t["right"][node] = _add(t, s.zeros - s.low_zeros, s.ones - s.low_ones)
-            opened[s.tree] += [child for child in (t["left"][node], t["right"][node])
-                               if _may_split(t["zeros"][child], t["ones"][child], total, rule, least)]
-        for t in trees:
-            t["open"] = opened[t["tree"]]
+            opened[s.forest][s.tree] += [child for child in (t["left"][node], t["right"][node])
+                                         if _may_split(t["zeros"][child], t["ones"][child], total, rule, least)]
+        for trees, new in zip(forests, opened):
+            for t in trees:
+                t["open"] = new[t["tree"]]
         depth += 1
-    return pd.concat([numbered(t, cells.cuts) for t in trees], ignore_index=True)
+    return [pd.concat([numbered(t, cells.cuts) for t in trees], ignore_index=True) for trees in forests]

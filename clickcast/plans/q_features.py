@@ -443,34 +443,43 @@ def evaluation_report(spark, sf):
 
 # ---------------------------------------------------------------- models
 
-def _train_dev(spark, sf):
-    """The under-sampled, folded training rows, the dev rows, and their signature; made once for a log."""
-    made_from = ms.signature(clicks_from_events(spark, sf))
+def _made_from(spark, sf):
+    """The signature of the log."""
+    return ms.signature(clicks_from_events(spark, sf))
+
+
+def _train_dev(spark, sf, made_from):
+    """The under-sampled, folded training rows and the dev rows; made once for a log."""
 
     def split():
-        matrix = fe.model_matrix(_extract(spark, sf), keep=("click_id", "is_attributed"))
-        return sa.stratified_split(matrix)
+        # Read for the bounds, the sizes and the split.  Flags are set after the split, which then moves narrow rows.
+        extract = materialised(_extract(spark, sf), "extract")
+        return fe.hour_flags(sa.stratified_split(fe.min_max_scale(extract, NUMERIC), position="position"),
+                             ("click_id", "is_attributed"), more=("split", "position"))
 
     rows = ms.stored_table(spark, "split", {"bands": sa.SPLIT_BANDS, "seed": sa.SEED}, made_from, split)
-    train = ms.stored_table(
-        spark, "train", {"bands": sa.SPLIT_BANDS, "seed": sa.SEED}, made_from,
-        lambda: sa.stratified_folds(sa.undersample(rows.where(F.col("split") == "train"))))
-    return train, rows.where(F.col("split") == "dev"), made_from
+    train = ms.stored_table(spark, "train", {"bands": sa.SPLIT_BANDS, "seed": sa.SEED}, made_from,
+                            lambda: sa.undersampled_folds(rows.where(F.col("split") == "train"), "position"))
+    return train, rows.where(F.col("split") == "dev").drop("position")
+
+
+def _forest_scores(spark, sf, made_from):
+    """Out-of-fold scores of all grid points and which points share them; the 15 forests are grown once for a log."""
+
+    def make(folder):
+        scores, same = fo.out_of_fold_variants(_train_dev(spark, sf, made_from)[0], fo.GRID, folder)
+        same.coalesce(1).write.parquet(f"{folder}/same")
 
+    return ms.stored(spark, "forest-variants", fo.GRID, made_from, make,
+                     lambda folder: (spark.read.parquet(f"{folder}/scores-*"), spark.read.parquet(f"{folder}/same")))
 
-def _forest_scores(spark, sf):
-    """Out-of-fold scores of every grid point; the 15 forests behind them are grown once for a log."""
-    train, _, made_from = _train_dev(spark, sf)
-    return ms.stored(
-        spark, "forest-scores", fo.GRID, made_from,
-        lambda folder: fo.out_of_fold_scores(train, fo.GRID, folder).write.parquet(f"{folder}/rows"),
-        lambda folder: spark.read.parquet(f"{folder}/rows"))
 
+def _forest_metrics(spark, sf, made_from):
+    def make():
+        scores, same = _forest_scores(spark, sf, made_from)
+        return fo.grid_metrics(scores, fo.GRID, same)
 
-def _forest_metrics(spark, sf):
-    made_from = ms.signature(clicks_from_events(spark, sf))
-    return ms.stored_table(spark, "forest-metrics", fo.GRID, made_from,
-                           lambda: fo.grid_metrics(_forest_scores(spark, sf), fo.GRID))
+    return ms.stored_table(spark, "forest-metrics", fo.GRID, made_from, make)
 
 
 def _best(metrics):
@@ -480,8 +489,9 @@ def _best(metrics):
 
 def _best_forest(spark, sf):
     """The best point's forest, grown on all training rows once for a log; and the dev rows."""
-    train, dev, made_from = _train_dev(spark, sf)
-    point = fo.grid_points(fo.GRID)[_best(_forest_metrics(spark, sf))]
+    made_from = _made_from(spark, sf)
+    train, dev = _train_dev(spark, sf, made_from)
+    point = fo.grid_points(fo.GRID)[_best(_forest_metrics(spark, sf, made_from))]
     model = ms.stored(spark, "forest", point, made_from, lambda folder: fo.CutForest.fit(train, point, folder),
                       lambda folder: fo.CutForest(spark, folder))
     return model, dev
@@ -501,7 +511,7 @@ def _fold_table(scored):
 @register("rf_grid_search")
 def rf_grid_search(spark, sf):
     """All 27 points of the forest grid: parameters, mean and deviation of the folds' ROC AUC."""
-    return _forest_metrics(spark, sf).drop("point")
+    return _forest_metrics(spark, sf, _made_from(spark, sf)).drop("point")
 
 
 @register("rf_predictions")
@@ -513,8 +523,10 @@ def rf_predictions(spark, sf):
 @register("rf_fold_metrics")
 def rf_fold_metrics(spark, sf):
     """Fold metrics of the best forest's parameters: the search has grown these very forests already."""
-    best = _best(_forest_metrics(spark, sf))
-    return _fold_table(_forest_scores(spark, sf).where(F.col("point") == best))
+    made_from = _made_from(spark, sf)
+    best = _best(_forest_metrics(spark, sf, made_from))
+    scores, same = _forest_scores(spark, sf, made_from)
+    return _fold_table(fo.every_point(scores, same.where(F.col("point") == best)))
 
 
 @register("feature_importances")
@@ -533,7 +545,8 @@ def submission(spark, sf):
 
 def _boosted_scores(spark, sf):
     """Out-of-fold scores of every point of the boosted grid, made once for a log."""
-    train, _, made_from = _train_dev(spark, sf)
+    made_from = _made_from(spark, sf)
+    train, _ = _train_dev(spark, sf, made_from)
     return ms.stored_table(spark, "boosted-scores", {**bo.GRID, "rows": bo.MAX_FIT_ROWS}, made_from,
                            lambda: bo.out_of_fold_scores(bo.bounded_rows(train), bo.GRID))
 
@@ -543,7 +556,8 @@ def _boosted_metrics(spark, sf):
 
 
 def _best_boosted(spark, sf):
-    train, dev, made_from = _train_dev(spark, sf)
+    made_from = _made_from(spark, sf)
+    train, dev = _train_dev(spark, sf, made_from)
     point = bo.grid_points(bo.GRID)[_best(_boosted_metrics(spark, sf))]
     return ms.stored_table(spark, "boosted", {**point, "rows": bo.MAX_FIT_ROWS}, made_from,
                            lambda: bo.fit_nodes(bo.bounded_rows(train), point)), dev
