@@ -53,6 +53,8 @@ GRID = {"n_trees": 300, "max_depth": [8, 16, 32], "min_samples_split": [0.025, 0
 DEEPEST = 30
 #: Folds worked on at a time.
 PARALLEL = 5
+#: Nodes a level of depth up to which comparing all rows at each node is faster than walking each row down.
+DENSE = 8
 
 
 def assembled(df: DataFrame, cols=FEATURE_COLS) -> DataFrame:
@@ -132,18 +134,58 @@ def read_nodes(spark: SparkSession, saved: str) -> DataFrame:
         F.when(total > 0, F.get(n["impurityStats"], F.lit(1)) / total).otherwise(0.0).alias("share"))
 
 
-def splits(tree: pd.DataFrame, point: dict) -> np.ndarray:
-    """Which nodes of one tree (rows in node order, numbered from 0) split under a grid point."""
-    left, right, rows = (tree[c].to_numpy() for c in ("left", "right", "rows"))
-    total = rows[0]
-    ok = (left >= 0) & (rows >= math.ceil(point["min_samples_split"] * total)) & (
-        tree["gain"].to_numpy() * rows / total >= point["min_impurity_decrease"])
-    depth = np.zeros(len(rows), dtype=np.int64)
-    for node in np.flatnonzero(left >= 0):
-        depth[[left[node], right[node]]] = depth[node] + 1
+def grown_nodes(nodes: pd.DataFrame) -> pd.DataFrame:
+    """What :func:`read_nodes` gives when grown nodes are saved."""
+    total = nodes["zeros"] + nodes["ones"]
+    return nodes.assign(rows=total.astype(np.int64), share=nodes["ones"] / total.where(total > 0, 1.0))
+
+
+class Shape:
+    """The trees of a node table (rows by tree, then node, numbered from 0 in each) as arrays over all nodes."""
+
+    def __init__(self, nodes: pd.DataFrame):
+        tree = nodes["tree"].to_numpy()
+        self.roots = np.flatnonzero(np.diff(tree, prepend=tree[:1] - 1))
+        self.of = np.repeat(np.arange(len(self.roots)), np.diff(self.roots, append=len(tree)))  # place of a node's tree
+        self.left, self.right = (np.where(own >= 0, own + self.roots[self.of], -1) for own in (
+            nodes[c].to_numpy(dtype=np.int64) for c in ("left", "right")))
+        self.inner = self.left >= 0
+        self.leaf = np.cumsum(~self.inner) - 1  # leaves are numbered left to right in their tree
+        self.leaf -= (self.leaf + self.inner)[self.roots][self.of]
+        self.depth = np.zeros(len(tree), dtype=np.int64)
+        self.levels = []  # the nodes with children, level by level
+        at = self.roots
+        while len(at := at[self.inner[at]]):
+            self.levels.append(at)
+            at = np.concatenate([self.left[at], self.right[at]])
+            self.depth[at] = len(self.levels)
+
+
+def splits(nodes: pd.DataFrame, point: dict, shape: Shape | None = None) -> np.ndarray:
+    """Which nodes of one or more trees (rows by tree, in node order, numbered from 0) split under a grid point."""
+    shape = shape or Shape(nodes)
+    rows = nodes["rows"].to_numpy()
+    total = rows[shape.roots][shape.of]
+    ok = shape.inner & (rows >= np.ceil(point["min_samples_split"] * total)) & (
+        nodes["gain"].to_numpy() * rows / total >= point["min_impurity_decrease"])
+    for at in shape.levels:
         # A node below one that does not split is never reached.
-        ok[[left[node], right[node]]] &= ok[node]
-    return ok & (depth < point["max_depth"])
+        for child in (shape.left[at], shape.right[at]):
+            ok[child] &= ok[at]
+    return ok & (shape.depth < point["max_depth"])
+
+
+def stop_table(nodes: pd.DataFrame, points: list[dict], shape: Shape) -> np.ndarray:
+    """[point, tree, leaf] → the share of label 1 where the point stops (0 beyond a tree's leaves)."""
+    share, leaves = nodes["share"].to_numpy(), np.flatnonzero(~shape.inner)
+    table = np.zeros((len(points), len(shape.roots), shape.leaf.max() + 1))
+    for k, point in enumerate(points):
+        ok, stop = splits(nodes, point, shape), np.arange(len(share))
+        for at in shape.levels:
+            for child in (shape.left[at], shape.right[at]):
+                stop[child] = np.where(ok[at], child, stop[at])
+        table[k, shape.of[leaves], shape.leaf[leaves]] = share[stop[leaves]]
+    return table
 
 
 def stop_shares(nodes: DataFrame, points: list[dict]) -> DataFrame:
@@ -151,16 +193,8 @@ def stop_shares(nodes: DataFrame, points: list[dict]) -> DataFrame:
 
     def stops(tree: pd.DataFrame) -> pd.DataFrame:
         tree = tree.sort_values("node")
-        left, right, share = (tree[c].to_numpy() for c in ("left", "right", "share"))
-        at = np.zeros((len(points), len(left)), dtype=np.int64)
-        for k, point in enumerate(points):
-            ok = splits(tree, point)
-            for node in np.flatnonzero(left >= 0):
-                for child in (left[node], right[node]):
-                    at[k, child] = child if ok[node] else at[k, node]
-        leaves = np.flatnonzero(left < 0)
-        return pd.DataFrame({"tree": int(tree["tree"].iloc[0]), "leaf": range(len(leaves)),
-                             "shares": share[at[:, leaves]].T.tolist()})
+        table = stop_table(tree, points, Shape(tree))[:, 0]
+        return pd.DataFrame({"tree": int(tree["tree"].iloc[0]), "leaf": range(table.shape[1]), "shares": table.T.tolist()})
 
     # A tree has at most 2 / min_samples_leaf nodes.
     return nodes.groupBy("tree").applyInPandas(stops, "tree int, leaf int, shares array<double>")
@@ -169,7 +203,7 @@ def stop_shares(nodes: DataFrame, points: list[dict]) -> DataFrame:
 class StopShares:
     """The trees of a forest as arrays, and [point, tree, leaf] → share of label 1; as large as the model."""
 
-    def __init__(self, nodes: pd.DataFrame, table: np.ndarray):
+    def __init__(self, nodes: pd.DataFrame, table: np.ndarray, shape: Shape):
         # Points of one table have one score: the table of the first of them, and its place for every point.
         self.first, self.place = [], []
         for k in range(len(table)):
@@ -178,58 +212,89 @@ class StopShares:
                 self.first.append(k)
             self.place.append(same)
         self.table = table[self.first]
+        feature = np.where(shape.inner, nodes["feature"], 0).astype(np.int64)
+        threshold = nodes["threshold"].to_numpy(np.float64)
+        base, own = shape.roots[shape.of], np.arange(len(feature))
+        child = np.stack([np.where(shape.inner, c, own) - base for c in (shape.left, shape.right)], axis=1)
         self.trees = []
-        for _, tree in nodes.sort_values(["tree", "node"]).groupby("tree"):
-            left, right = (tree[c].to_numpy(dtype=np.int64) for c in ("left", "right"))
-            inner, own = left >= 0, np.arange(len(left))
-            depth = np.zeros(len(left), dtype=np.int64)
-            for node in np.flatnonzero(inner):
-                depth[[left[node], right[node]]] = depth[node] + 1
-            self.trees.append((
-                int(depth.max()), np.where(inner, tree["feature"], 0).astype(np.int64), tree["threshold"].to_numpy(np.float64),
-                np.stack([np.where(inner, left, own), np.where(inner, right, own)], axis=1).ravel(),
-                np.cumsum(~inner) - 1))
+        for lo, hi in zip(shape.roots, [*shape.roots[1:], len(own)]):
+            self.trees.append((int(shape.depth[lo:hi].max()), feature[lo:hi], threshold[lo:hi], child[lo:hi].ravel(),
+                               shape.leaf[lo:hi], np.flatnonzero(shape.inner[lo:hi])))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """[distinct table, row] → mean share over the trees; ``x`` has a row a feature.  NaN goes right."""
         out, n = np.zeros((len(self.table), x.shape[1])), x.shape[1]
-        flat, row = np.ascontiguousarray(x).ravel(), np.arange(x.shape[1])
-        for t, (depth, feature, threshold, child, leaf) in enumerate(self.trees):
-            at = np.zeros(n, dtype=np.int64)
-            for _ in range(depth):
-                at = child.take(at * 2 + ~(flat.take(feature.take(at) * n + row) <= threshold.take(at)))
-            at = leaf.take(at)
+        x = np.ascontiguousarray(x)
+        row, low = np.arange(n), {}
+        for t, (depth, feature, threshold, child, leaf, inner) in enumerate(self.trees):
+            if len(inner) <= DENSE * depth:
+                # Few nodes: each compares all rows, from the last to the root.
+                found = list(leaf)
+                for node in inner[::-1]:
+                    cut = feature[node], threshold[node]
+                    if cut not in low:
+                        low[cut] = x[cut[0]] <= cut[1]
+                    found[node] = np.where(low[cut], found[child[2 * node]], found[child[2 * node + 1]])
+                at = found[0]
+            else:
+                at = np.zeros(n, dtype=np.int64)
+                for _ in range(depth):
+                    at = child.take(at * 2 + ~(x.ravel().take(feature.take(at) * n + row) <= threshold.take(at)))
+                at = leaf.take(at)
             for k, shares in enumerate(self.table[:, t]):
                 out[k] += shares.take(at)
         return out / len(self.trees)
 
 
-def share_table(nodes: DataFrame, points: list[dict]) -> StopShares:
-    rows = stop_shares(nodes, points).toPandas()
-    table = np.zeros((len(points), rows["tree"].max() + 1, rows["leaf"].max() + 1))
-    table[:, rows["tree"], rows["leaf"]] = np.array(rows["shares"].tolist()).T
-    return StopShares(nodes.toPandas(), table)
+def share_table(nodes: DataFrame | pd.DataFrame, points: list[dict]) -> StopShares:
+    """Worked out where the table is to be broadcast from: a forest has at most 2 / least leaf share nodes a tree."""
+    table = (nodes if isinstance(nodes, pd.DataFrame) else nodes.toPandas()).sort_values(["tree", "node"], ignore_index=True)
+    shape = Shape(table)
+    return StopShares(table, stop_table(table, points, shape), shape)
 
 
-def mean_shares(spark: SparkSession, tables: list[StopShares], cols, every_point: bool) -> Column:
-    """An array of the mean shares over the trees, table after table: for each point, or for the first of equal ones."""
+def mean_shares(spark: SparkSession, tables: list[StopShares], cols) -> Column:
+    """An array of the mean shares over the trees for each point, table after table."""
     shared = spark.sparkContext.broadcast(tables)
 
     @F.arrow_udf("array<double>")
     def scores(*columns: pa.Array) -> pa.Array:
         x = np.stack([c.to_numpy(zero_copy_only=False) for c in columns])
-        per_point = np.concatenate([t.scores(x)[t.place if every_point else slice(None)] for t in shared.value])
+        per_point = np.concatenate([t.scores(x)[t.place] for t in shared.value])
         ends = np.arange(x.shape[1] + 1, dtype=np.int32) * len(per_point)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(per_point.T.ravel()))
 
     return scores(*[F.col(c).cast("double") for c in cols])
 
 
+def fold_mean_shares(spark: SparkSession, tables: dict[int, list[StopShares]], fold: str, cols) -> Column:
+    """An array of the mean shares by the tables of the row's fold, for the first of equal points: one pass for all folds."""
+    shared = spark.sparkContext.broadcast(tables)
+
+    @F.arrow_udf("array<double>")
+    def scores(folds: pa.Array, *columns: pa.Array) -> pa.Array:
+        x, folds = np.stack([c.to_numpy(zero_copy_only=False) for c in columns]), folds.to_numpy(zero_copy_only=False)
+        lengths = np.zeros(len(folds), dtype=np.int32)
+        found = []
+        for k, of in shared.value.items():
+            mine = np.flatnonzero(folds == k)
+            if len(mine):
+                found.append((mine, np.concatenate([t.scores(x[:, mine]) for t in of])))
+                lengths[mine] = len(found[-1][1])
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        flat = np.empty(ends[-1])
+        for mine, per_point in found:
+            flat[ends[mine] + np.arange(len(per_point))[:, None]] = per_point
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+    return scores(F.col(fold), *[F.col(c).cast("double") for c in cols])
+
+
 def point_scores(model: RandomForestClassificationModel | None, table: StopShares, df: DataFrame, cols=FEATURE_COLS) -> DataFrame:
     """``df`` with ``scores``: per point the mean share over the trees of ``table`` (those of ``model``, if it is given)."""
     if model is not None and model.getNumTrees != len(table.trees):
         raise ValueError("the table is of another forest")
-    return df.select("*", mean_shares(df.sparkSession, [table], cols, True).alias("scores"))
+    return df.select("*", mean_shares(df.sparkSession, [table], cols).alias("scores"))
 
 
 def grid_points(grid: dict) -> list[dict]:
@@ -251,33 +316,34 @@ def out_of_fold_variants(train: DataFrame, grid: dict, folder: str, fold: str =
     by_leaf = [[k for k, p in enumerate(points) if p["min_samples_leaf"] == leaf] for leaf in leaves]
     mildest = max(grid["max_depth"]), min(grid["min_samples_split"]), grid["min_impurity_decrease"]
 
-    def one(k: int) -> tuple[str, list[tuple[int, int, int]]]:
+    def one(k: int) -> list[pd.DataFrame]:
         # The forests of one fold, whatever their leaf share, grow on the same cells, together.
         grown = grow_forests(cells[k], grid["n_trees"], [growing_rule(leaf, *mildest) for leaf in leaves], SEED)
         depth, split, decrease = mildest
-        tables, same, variants = [], [], []
-        for leaf, nodes, mine in zip(leaves, grown, by_leaf):
-            saved = f"{folder}/forest-{leaf}-{k}"
-            grow(train, grid["n_trees"], leaf, depth, cols=cols, min_samples_split=split, min_impurity_decrease=decrease,
-                 nodes=nodes, folder=saved)
-            table = share_table(read_nodes(spark, saved), [points[p] for p in mine])
-            tables.append(table)
-            variants += [mine[f] for f in table.first]
-            same += [(p, k, mine[table.first[at]]) for p, at in zip(mine, table.place)]
-        rows = train.where(F.col(fold) == k).select(
-            F.col(fold).alias("fold"), LABEL, F.posexplode(mean_shares(spark, tables, cols, False)).alias("at", "score"))
-        scored = f"{folder}/scores-{k}"
-        rows.select(F.get(F.array(*map(F.lit, variants)), "at").alias("variant"), "fold", LABEL, "score").write.mode(
-            "overwrite").parquet(scored)
-        return scored, same
-
-    with ThreadPool(PARALLEL) as pool:
+        # Saving is many small jobs: beside the growing and scoring, which need the nodes only.
+        saves.extend(savers.apply_async(grow, (train, grid["n_trees"], leaf, depth), {
+            "cols": cols, "min_samples_split": split, "min_impurity_decrease": decrease, "nodes": nodes,
+            "folder": f"{folder}/forest-{leaf}-{k}"}) for leaf, nodes in zip(leaves, grown))
+        return grown
+
+    saves: list = []
+    with ThreadPool(PARALLEL) as pool, ThreadPool(2 * PARALLEL) as savers:
         roots = pool.apply_async(bare_roots, (spark, grid["n_trees"], len(cols)))  # once, not by each thread
         cells = fold_cells(_labelled(train, cols, fold), LABEL, fold, list(range(n_folds)))
         roots.get()
-        done = pool.map(one, range(n_folds), chunksize=1)
-    return (spark.read.parquet(*[scored for scored, _ in done]),
-            spark.createDataFrame([x for _, same in done for x in same], "point int, fold int, variant int"))
+        tables, variants, same = {}, [], []
+        for k, grown in enumerate(pool.map(one, range(n_folds), chunksize=1)):
+            tables[k] = [share_table(grown_nodes(nodes), [points[p] for p in mine]) for nodes, mine in zip(grown, by_leaf)]
+            variants.append([mine[first] for t, mine in zip(tables[k], by_leaf) for first in t.first])
+            same += [(p, k, mine[t.first[at]]) for t, mine in zip(tables[k], by_leaf) for p, at in zip(mine, t.place)]
+        rows = train.where(F.col(fold).isin(list(range(n_folds)))).select(
+            F.col(fold).alias("fold"), LABEL, F.posexplode(fold_mean_shares(spark, tables, fold, cols)).alias("at", "score"))
+        of_fold = F.get(F.array(*[F.array(*map(F.lit, v)) for v in variants]), F.col("fold").cast("int"))
+        scored = f"{folder}/scores-all"
+        rows.select(F.get(of_fold, F.col("at")).alias("variant"), "fold", LABEL, "score").write.mode("overwrite").parquet(scored)
+        for save in saves:
+            save.get()
+    return spark.read.parquet(scored), spark.createDataFrame(same, "point int, fold int, variant int")
 
 
 def out_of_fold_scores(train: DataFrame, grid: dict, folder: str, fold: str = "fold", n_folds: int = 5,

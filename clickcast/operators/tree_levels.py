@@ -23,7 +23,7 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickcast.session import materialised
@@ -32,6 +32,8 @@ MAX_BINS = 32
 CODES = 2 * MAX_BINS  # a bin and a label in one byte
 #: Cells of a block, whose work arrays a task holds at a time.
 BLOCK_ROWS = 16_384
+#: Trees whose sums a task adds up, each as its tasks' sums come in.
+SUMMED_TREES = 32
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
 
@@ -68,20 +70,35 @@ def _others(found: list, k: int | None) -> list:
     return [r for r in found if r[0] != k or k is None]
 
 
-def fold_cuts(rows: DataFrame, cols: list[str], fold: str, left_out: list[int | None]) -> list[list[np.ndarray]]:
-    """For each fold left out (None: none) the cuts of the rows of all others: two passes over the rows for all."""
-    known = {c: F.when(~F.isnan(c), F.col(c)) for c in cols}
-    sizes = rows.groupBy(fold).agg(*[F.approx_count_distinct(known[c]).alias(c) for c in cols]).collect()
+def _known(c: str) -> Column:
+    return F.when(~F.isnan(c), F.col(c))
+
+
+def _sizes(cols: list[str]) -> list[Column]:
+    return [F.approx_count_distinct(_known(c)).alias(c) for c in cols]
+
+
+def fold_cuts(rows: DataFrame, cols: list[str], fold: str, left_out: list[int | None],
+              sizes: list | None = None) -> list[list[np.ndarray]]:
+    """For each fold left out (None: none) the cuts of the rows of all others: two passes over the rows for all.
+
+    ``sizes`` are the folds' numbers of values (:func:`_sizes`), if counted already.
+    """
+    known = {c: _known(c) for c in cols}
+    if sizes is None:
+        sizes = rows.groupBy(fold).agg(*_sizes(cols)).collect()
     # A column of the rows of some folds has no fewer values than in one of them, no more than in all together.
     few = {(c, k) for c in cols for k in left_out if max((r[c] for r in _others(sizes, k)), default=0) <= 2 * MAX_BINS}
     # Sizes are near, not exact.
     many = [(c, k) for c in cols for k in left_out if sum(r[c] for r in _others(sizes, k)) > MAX_BINS / 2]
-    sets = rows.groupBy(fold).agg(F.lit(0), *[F.collect_set(known[c]).alias(c) for c in cols
-                                              if any((c, k) in few for k in left_out)]).collect()
     at_ranks = [k / MAX_BINS for k in range(1, MAX_BINS)]
-    quantiles = rows.agg(F.lit(0), *[
-        F.percentile_approx(known[c] if k is None else F.when(F.col(fold) != k, known[c]), at_ranks, 1_000).alias(f"{c} {k}")
-        for c, k in many]).first()
+    with ThreadPool(1) as pool:
+        found = pool.apply_async(rows.groupBy(fold).agg(F.lit(0), *[
+            F.collect_set(known[c]).alias(c) for c in cols if any((c, k) in few for k in left_out)]).collect)
+        quantiles = rows.agg(F.lit(0), *[
+            F.percentile_approx(known[c] if k is None else F.when(F.col(fold) != k, known[c]), at_ranks, 1_000).alias(f"{c} {k}")
+            for c, k in many]).first()
+        sets = found.get()
 
     def cuts(c: str, k: int | None) -> np.ndarray:
         if (c, k) in few:
@@ -231,6 +248,7 @@ SPLITS = ("forest int, tree int, place int, feature int, cut int, gain double, l
 def level_splits(blocks: DataFrame, level: Level, depth: int) -> pd.DataFrame:
     """forest, tree, place, best split of every open node: one pass over all cells."""
     wanted, names = [(t["sub"], t["forests"]) for t in level.trees], [c.split()[0] for c in SPLITS.split(", ")]
+    k = level.k
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: list[np.ndarray | None] = [None] * len(level.trees)
@@ -249,13 +267,20 @@ def level_splits(blocks: DataFrame, level: Level, depth: int) -> pd.DataFrame:
             if found is not None:
                 yield pd.DataFrame({"at": [at], "sums": [found.tobytes()]})
 
-    def best(parts: pd.DataFrame) -> pd.DataFrame:
-        sub, forests = wanted[int(parts["at"].iloc[0])]
-        sums = sum(np.frombuffer(x) for x in parts["sums"]).reshape(len(sub), level.k, CODES)
-        return pd.concat([best_splits(sums[slots], sub[slots], least).assign(forest=forest, tree=tree, place=range(len(slots)))
-                          for forest, tree, slots, least in forests])[names]
+    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, np.ndarray] = {}
+        for part in parts:
+            for at, sums in zip(part["at"], part["sums"]):
+                totals[at] = totals.get(at, 0.0) + np.frombuffer(sums)
+        for at, sums in totals.items():
+            sub, forests = wanted[at]
+            sums = sums.reshape(len(sub), k, CODES)
+            for forest, tree, slots, least in forests:
+                yield best_splits(sums[slots], sub[slots], least).assign(forest=forest, tree=tree, place=range(len(slots)))[names]
 
-    return blocks.mapInPandas(count, "at int, sums binary").groupBy("at").applyInPandas(best, SPLITS).toPandas()
+    # A fixed number of tasks: sums of so few bytes would be put into one otherwise.
+    summed = blocks.mapInPandas(count, "at int, sums binary").repartition(len(level.trees) // SUMMED_TREES + 1, "at")
+    return summed.mapInPandas(best, SPLITS).toPandas()
 
 
 def _add(tree: dict, zeros: float, ones: float) -> int:
@@ -301,11 +326,12 @@ def fold_cells(rows: DataFrame, label: str, fold: str, left_out: list[int | None
     """For each fold left out (None: none) the cells of the rows of all others, made together."""
     cols = [c for c in rows.columns if c not in (label, fold)]
     rows = rows.where(F.col(fold).isNotNull())
-    facts = rows.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(label).isin(0, 1), 1)).alias("known")).collect()
-    ns = [sum(r["n"] for r in _others(facts, k)) for k in left_out]
-    if not all(ns) or any(r["known"] < r["n"] for r in facts):
+    facts = rows.groupBy(fold).agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col(label).isin(0, 1), 1)).alias("_known"),
+                                   *_sizes(cols)).collect()
+    ns = [sum(r["_n"] for r in _others(facts, k)) for k in left_out]
+    if not all(ns) or any(r["_known"] < r["_n"] for r in facts):
         raise ValueError("a forest needs rows, and labels of 0 or 1")
-    cuts = fold_cuts(rows, cols, fold, left_out)
+    cuts = fold_cuts(rows, cols, fold, left_out, facts)
     blocks = binned_blocks(rows, label, cols, fold, left_out, cuts)
     return [Cells(rows.drop(fold), label, n=n, cuts=c, blocks=b) for n, c, b in zip(ns, cuts, blocks)]
 

@@ -499,7 +499,7 @@ def _best_forest(spark, sf):
 
 def _fold_table(scored):
     """roc_auc, accuracy, f1, precision and recall per fold, and their mean and population std."""
-    per_fold = ev.fold_metrics(scored.withColumn("predicted", (F.col("score") > 0.5).cast("int")))
+    per_fold = materialised(ev.fold_metrics(scored.withColumn("predicted", (F.col("score") > 0.5).cast("int"))), "fold-metrics")
     summary = ev.fold_metrics_summary(per_fold)
     return (per_fold.select(F.col("fold").cast("string").alias("fold"), *ev.METRICS)
             .unionByName(summary.groupBy().pivot("metric", list(ev.METRICS)).agg(F.first("mean"))

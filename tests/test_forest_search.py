@@ -81,3 +81,52 @@ def test_folds_from_the_position_of_the_split_equal_a_new_ranking(spark):
     got = sa.undersampled_folds(train, "at")
     assert got.columns == want.columns and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
     assert got.count() == 3 * 72
+
+
+def walked(nodes, x, tree, point):
+    """The share where a row stops, node by node."""
+    nodes, at = nodes[nodes["tree"] == tree].reset_index(drop=True), 0
+    ok = fo.splits(nodes, point)
+    while ok[at]:
+        n = nodes.iloc[at]
+        at = int(n["left"] if x[int(n["feature"])] <= n["threshold"] else n["right"])
+    return nodes["share"][at]
+
+
+@pytest.mark.parametrize("dense", [0, 1000])
+def test_shares_of_grown_nodes_equal_those_saved_and_a_walk(spark, rows, monkeypatch, dense):
+    monkeypatch.setattr(fo, "DENSE", dense)
+    monkeypatch.setattr(tl, "SUMMED_TREES", 2)  # several tasks add up sums
+    nodes = tl.grow_trees(fo.training_cells(rows, COLS), 5, RULES[0], 5)
+    folder = scratch_path(spark, "saved")
+    fo.grow(rows, 5, 0.01, cols=COLS, nodes=nodes, folder=folder)
+    points = [{"max_depth": d, "min_samples_split": s, "min_impurity_decrease": 0.001} for d in (1, 3, 30) for s in (0.02, 0.3)]
+    saved = fo.read_nodes(spark, folder)
+    found, want = fo.share_table(fo.grown_nodes(nodes), points), fo.share_table(saved, points)
+    assert np.array_equal(found.table, want.table) and found.place == want.place and found.first == want.first
+    by_leaf = {(r.tree, r.leaf): r.shares for r in fo.stop_shares(saved, points).collect()}
+    assert all(list(found.table[found.place, t, leaf]) == shares for (t, leaf), shares in by_leaf.items())
+    x = np.array([[r[c] for c in COLS] for r in rows.limit(60).collect()]).T
+    got, table = found.scores(x), saved.toPandas().sort_values(["tree", "node"])
+    assert np.isnan(x).any()
+    for k, point in enumerate(points):
+        shares = [np.mean([walked(table, x[:, i], t, point) for t in range(5)]) for i in range(x.shape[1])]
+        assert got[found.place[k]] == pytest.approx(shares, abs=1e-12)
+
+
+def test_all_folds_are_scored_in_one_pass_by_their_own_forests(spark, rows, monkeypatch):
+    grid = {"n_trees": 4, "max_depth": [1, 16], "min_samples_split": [0.02], "min_samples_leaf": [0.05, 0.2],
+            "min_impurity_decrease": 0.001}
+    passes, shares, folder = [], fo.fold_mean_shares, scratch_path(spark, "variants")
+    monkeypatch.setattr(fo, "fold_mean_shares", lambda *a: passes.append(1) or shares(*a))
+    got = fo.out_of_fold_scores(rows, grid, folder, n_folds=3, cols=COLS)
+    assert len(passes) == 1
+    points = fo.grid_points(grid)
+    for k in range(3):
+        for leaf in grid["min_samples_leaf"]:
+            mine = [p for p, point in enumerate(points) if point["min_samples_leaf"] == leaf]
+            table = fo.share_table(fo.read_nodes(spark, f"{folder}/forest-{leaf}-{k}"), [points[p] for p in mine])
+            want = fo.point_scores(None, table, rows.where(F.col("fold") == k), COLS).collect()
+            for at, p in enumerate(mine):
+                have = got.where((F.col("fold") == k) & (F.col("point") == p)).collect()
+                assert sorted((r.is_attributed, r.score) for r in have) == sorted((r.is_attributed, r.scores[at]) for r in want)
