@@ -539,7 +539,9 @@ def feature_importances(spark, sf):
 def submission(spark, sf):
     """Scoring log → features → matrix → forest → (click_id, is_attributed)."""
     model, _ = _best_forest(spark, sf)
-    matrix = fe.scoring_matrix(_scoring_features(spark, sf))
+    # Read for the bounds and for the matrix.
+    scoring_rows = _scoring_features(spark, sf).select("click_id", *NUMERIC, "click_time_hour")
+    matrix = fe.scoring_matrix(materialised(scoring_rows, "scoring"))
     return model.predict(matrix).select("click_id", F.col("predicted").alias("is_attributed"))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from clickcast.operators import features as fe
 from clickcast.operators import forest as fo
 from clickcast.operators import sampling as sa
 from clickcast.operators import tree_levels as tl
@@ -130,3 +131,25 @@ def test_all_folds_are_scored_in_one_pass_by_their_own_forests(spark, rows, monk
             for at, p in enumerate(mine):
                 have = got.where((F.col("fold") == k) & (F.col("point") == p)).collect()
                 assert sorted((r.is_attributed, r.score) for r in have) == sorted((r.is_attributed, r.scores[at]) for r in want)
+
+
+def test_submission_reads_its_scoring_rows_from_one_copy(spark, monkeypatch):
+    from clickcast.plans.catalog import QUERIES
+    from clickcast.plans import q_features as qf
+
+    kept, materialised = [], qf.materialised
+    monkeypatch.setattr(qf, "materialised", lambda df, name: kept.append(df.columns) or materialised(df, name))
+
+    class Model:
+        def predict(self, df):
+            assert df.columns == fe.scoring_matrix(features).columns
+            assert sorted(df.collect()) == sorted(fe.scoring_matrix(features).collect())
+            return df.select("click_id", F.lit(1).alias("predicted"))
+
+    features = spark.range(50).select(
+        F.col("id").alias("click_id"), *[F.when(F.col("id") % 7 > 0, F.col("id") * 0.5).alias(c) for c in fe.NUMERIC_COLS],
+        (F.col("id") % 24).cast("string").alias("click_time_hour"), F.lit(1).alias("ip"))
+    monkeypatch.setattr(qf, "_best_forest", lambda *a: (Model(), None))
+    monkeypatch.setattr(qf, "_scoring_features", lambda *a: features)
+    assert QUERIES["submission"](spark, "").count() == 50
+    assert kept == [["click_id", *fe.NUMERIC_COLS, "click_time_hour"]]
