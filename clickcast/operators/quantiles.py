@@ -78,3 +78,27 @@ def quantiles(counts: DataFrame, probs, names, by=(), discrete: bool = False,
     result = found.groupBy(*by).agg(*out)
     # A group of nulls alone has a row too.
     return same_group(counts.select(*by).distinct(), result, by, "left") if by else result
+
+
+def around_steps(counts: DataFrame, steps: int, by, range_values: int = RANGE_VALUES) -> DataFrame:
+    """by…, _v, _upto, _total, _values: the values of ``counts`` at and next to the ranks ``k / steps * (n - 1)``, all k up to ``steps``.
+
+    ``_upto`` is the number of rows up to the value, ``_total`` that of all, ``_values`` that of the group's values: if they
+    are at most ``steps``, all are there.
+    """
+    by = list(by)
+    known = counts.where("_v IS NOT NULL")
+    pieces = known.count() // range_values + 1
+    cuts = [] if pieces == 1 else known.agg(F.percentile_approx(
+        "_v", [k / pieces for k in range(1, pieces)], max(10_000, 10 * pieces)).alias("q")).first()["q"]
+    splits = [float("-inf"), *(sorted(set(cuts or [])) or [0.0]), float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(known)
+    whole = Window.partitionBy(*by)  # a row a range: bounded by the number of ranges
+    sums = ranged.groupBy(*by, "_b").agg(F.sum("_n").alias("_m"), F.count(F.lit(1)).alias("_k")).select(
+        *by, "_b", (F.sum("_m").over(whole.orderBy("_b")) - F.col("_m")).alias("_before"),
+        F.sum("_m").over(whole).alias("_total"), F.sum("_k").over(whole).alias("_values"))
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_b").orderBy("_v"))
+    ranked = same_group(ranged, sums, [*by, "_b"]).withColumn("_upto", upto)
+    step = F.lit(float(steps)) / F.greatest(F.col("_total") - 1, F.lit(1))
+    near = F.floor((F.col("_upto") + 1) * step) >= F.ceil((F.col("_upto") - F.col("_n") - 1) * step)
+    return ranked.where(near | (F.col("_values") <= steps)).select(*by, "_v", "_upto", "_total", "_values")

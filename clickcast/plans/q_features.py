@@ -549,8 +549,8 @@ def _boosted_scores(spark, sf):
     """Out-of-fold scores of every point of the boosted grid, made once for a log."""
     made_from = _made_from(spark, sf)
     train, _ = _train_dev(spark, sf, made_from)
-    return ms.stored_table(spark, "boosted-scores", {**bo.GRID, "rows": bo.MAX_FIT_ROWS}, made_from,
-                           lambda: bo.out_of_fold_scores(bo.bounded_rows(train), bo.GRID))
+    return ms.stored_table(spark, "boosted-scores", {**bo.GRID, "rows": "all"}, made_from,
+                           lambda: bo.out_of_fold_scores(train, bo.GRID))
 
 
 def _boosted_metrics(spark, sf):
@@ -561,8 +561,7 @@ def _best_boosted(spark, sf):
     made_from = _made_from(spark, sf)
     train, dev = _train_dev(spark, sf, made_from)
     point = bo.grid_points(bo.GRID)[_best(_boosted_metrics(spark, sf))]
-    return ms.stored_table(spark, "boosted", {**point, "rows": bo.MAX_FIT_ROWS}, made_from,
-                           lambda: bo.fit_nodes(bo.bounded_rows(train), point)), dev
+    return ms.stored_table(spark, "boosted", {**point, "rows": "all"}, made_from, lambda: bo.fit_nodes(train, point)), dev
 
 
 @register("gbt_grid_search")
