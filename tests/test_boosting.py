@@ -109,6 +109,13 @@ def test_cuts_are_exact_quantiles_of_the_other_folds(spark):
     assert in_one == in_many and len(in_one) < counts.count()
 
 
+def test_jobs_in_one_partition_are_fitted_one_after_the_other(spark, train, monkeypatch):
+    rows, grid = train[1].where("click_id < 2000"), {**bo.GRID, "rounds": 3, "max_depth": [2, 40]}
+    apart = sorted(bo.out_of_fold_scores(rows, grid, cols=COLS).collect())
+    monkeypatch.setattr(bo, "_keys", lambda _, n: [5] * n)
+    assert sorted(bo.out_of_fold_scores(rows, grid, cols=COLS).collect()) == apart and len(apart) == 4000
+
+
 def test_other_labels_are_refused_and_no_rows_give_no_scores(spark, train):
     grid = {**bo.GRID, "rounds": 1, "max_depth": [2]}
     with pytest.raises(Exception, match="labels of 0 or 1"):
